@@ -39,28 +39,28 @@ def first_of(pairs: Iterable[tuple[Column, str]]) -> Column:
     return F.coalesce(F.lit(None).cast("string"), *[F.when(c, F.lit(v)) for c, v in pairs])
 
 
-def with_scheme(url: ColumnOrName) -> Column:
-    return F.when(F.contains(col(url), F.lit("://")), col(url)).otherwise(F.concat(F.lit("http://"), col(url)))
+def matches_any(text: Column, needles: Iterable[str]) -> Column:
+    """As contains_any, in one pass of a pattern."""
+    import re
+
+    return text.rlike("|".join(re.escape(n) for n in needles))
 
 
 def host(url: ColumnOrName) -> Column:
     """Lower-case host without user and port; '' if there is none."""
-    authority = F.regexp_extract(with_scheme(F.trim(col(url))), r"^[^:/?#]+://([^/?#]*)", 1)
+    authority = F.regexp_extract(F.trim(col(url)), r"^(?:[^:/?#]+://|(?!.*://))([^/?#]*)", 1)
     return F.coalesce(F.lower(F.regexp_replace(authority, r"^[^@]*@|:[0-9]*$", "")), F.lit(""))
 
 
 def site_host(url: ColumnOrName) -> Column:
     """Lower-case authority (port kept) without a leading www.; '' if there is none."""
-    u = F.trim(col(url))
-    full = F.when(u.rlike("(?i)^https?://"), u).otherwise(F.concat(F.lit("http://"), u))
-    authority = F.lower(F.regexp_extract(full, r"^[^:/?#]+://([^/?#]*)", 1))
-    return F.coalesce(F.regexp_replace(authority, r"^www\.", ""), F.lit(""))
+    authority = F.regexp_extract(F.trim(col(url)), r"^(?:(?i)https?://)?([^/?#]*)", 1)
+    return F.coalesce(F.regexp_replace(F.lower(authority), r"^www\.", ""), F.lit(""))
 
 
 def registrable(h: ColumnOrName) -> Column:
     """The last two labels of a host."""
-    labels = F.split(col(h), "[.]")
-    return F.when(F.size(labels) >= 2, F.array_join(F.slice(labels, -2, 2), ".")).otherwise(col(h))
+    return F.regexp_extract(col(h), r"([^.]*\.)?[^.]*$", 0)
 
 
 def on_domain(h: Column, domain: str) -> Column:
@@ -68,15 +68,22 @@ def on_domain(h: Column, domain: str) -> Column:
     return (h == domain) | h.endswith(f".{domain}")
 
 
+def listed_domain(h: Column, domains: Iterable[str]) -> Column:
+    """The listed domain a host equals or lies under; null if none. Domains of two labels
+    are looked up by the host's last two, longer ones first and one by one."""
+    longer = [d for d in domains if d.count(".") > 1]
+    short = [d for d in domains if d.count(".") == 1]
+    by_label = F.when(registrable(h).isin(*short), registrable(h))
+    return F.coalesce(first_of((on_domain(h, d), d) for d in longer), by_label) if longer else by_label
+
+
 def weak_domain(url: ColumnOrName, domains: Iterable[str] = V.WEAK_DOMAINS) -> Column:
-    """The first listed domain a web address is on; 'no website' for none; else null."""
-    h = host(url)
-    found = first_of((on_domain(h, d), d) for d in domains)
-    return F.when(~present(url), F.lit("no website")).otherwise(found)
+    """The listed domain a web address is on; 'no website' for none; else null."""
+    return F.when(~present(url), F.lit("no website")).otherwise(listed_domain(host(url), domains))
 
 
 def weak_substring(url: ColumnOrName, patterns: Iterable[str] = V.WEAK_SUBSTRINGS) -> Column:
-    return F.coalesce(contains_any(F.lower(col(url)), patterns), F.lit(False))
+    return F.coalesce(matches_any(F.lower(col(url)), patterns), F.lit(False))
 
 
 def name_key(name: ColumnOrName) -> Column:
@@ -96,8 +103,7 @@ def name_tokens(name: ColumnOrName) -> Column:
 
 
 def _ten_digits(phone: Column) -> Column:
-    d = F.regexp_replace(phone, "[^0-9]", "")
-    return F.when((F.length(d) == 11) & d.startswith("1"), F.substring(d, 2, 10)).otherwise(d)
+    return F.regexp_replace(F.regexp_replace(phone, "[^0-9]", ""), "^1([0-9]{10})$", "$1")
 
 
 def format_ten(d: Column) -> Column:
@@ -107,7 +113,7 @@ def format_ten(d: Column) -> Column:
 def phone_fmt(phone: ColumnOrName) -> Column:
     p = F.nullif(col(phone), F.lit(""))
     d = _ten_digits(p)
-    return F.when(F.length(d) == 10, format_ten(d)).otherwise(p)
+    return F.when(d.rlike("^[0-9]{10}$"), F.regexp_replace(d, "^([0-9]{3})([0-9]{3})([0-9]{4})$", "($1) $2-$3")).otherwise(p)
 
 
 def area_code(phone: ColumnOrName) -> Column:
@@ -122,16 +128,12 @@ def social_platforms(socials: ColumnOrName, loose: bool = True) -> Column:
     counts as x.com), as the rule has always done.
     """
 
-    def of(url: Column) -> Column:
-        h = site_host(url)
-        reg = registrable(h)
-        hits = [
-            F.when((reg == d) | (h.endswith(d) if loose else h.endswith(f".{d}")), F.lit(label))
-            for d, label in V.SOCIAL_DOMAINS.items()
-        ]
-        return F.array_compact(F.array(*hits))
+    def of(h: Column) -> Column:
+        ends = lambda d: h.endswith(d) if loose else on_domain(h, d)
+        return F.array_compact(F.array(*[F.when(ends(d), F.lit(label)) for d, label in V.SOCIAL_DOMAINS.items()]))
 
-    found = F.array_distinct(F.flatten(F.transform(F.split(col(socials), r"\|"), of)))
+    hosts = F.transform(F.split(col(socials), r"\|"), site_host)
+    found = F.array_distinct(F.flatten(F.transform(hosts, of)))
     return F.nullif(F.array_join(found, "|"), F.lit(""))
 
 

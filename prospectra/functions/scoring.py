@@ -2,11 +2,11 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from . import values as V
-from .columns import ColumnOrName, any_of, col, contains_any, email_domain, filled, first_of, on_domain, present, registrable, site_host, weak_domain, weak_substring
+from .columns import ColumnOrName, any_of, col, contains_any, filled, listed_domain, matches_any, present, registrable, site_host, weak_domain, weak_substring
 
 # Reasons of a tier.
 NO_SITE = "No website"
@@ -39,30 +39,23 @@ def tier_v1_reason(website: ColumnOrName) -> Column:
     return F.when(missing, NO_SITE).when(weak_substring(website), LISTING).otherwise(AUDIT_FIRST)
 
 
-def _is_listing(website: ColumnOrName) -> Column:
-    h = site_host(website)
-    return any_of(on_domain(h, d) | (registrable(h) == d) for d in V.LISTING_DOMAINS)
-
-
-def builder(website: ColumnOrName) -> Column:
-    """Name of the builder whose domain a site is on, unless it is a listing page."""
-    h = site_host(website)
-    found = first_of((on_domain(h, d) | (registrable(h) == d), name) for d, name in V.BUILDER_DOMAINS.items())
-    return F.when(present(website) & ~_is_listing(website), found)
-
-
-def tier_v2(website: ColumnOrName) -> Column:
-    return (
-        F.when(~present(website), "A").when(_is_listing(website), "A").when(builder(website).isNotNull(), "B").otherwise("C")
-    )
-
-
-def tier_v2_reason(website: ColumnOrName) -> Column:
-    on_builder = F.concat(F.lit("DIY builder site ("), builder(website), F.lit(") - upsell to custom"))
-    return (
-        F.when(~present(website), NO_SITE).when(_is_listing(website), LISTING)
-        .when(builder(website).isNotNull(), on_builder).otherwise(REAL_SITE)
-    )
+def tiers(df: DataFrame, website: str = "website") -> DataFrame:
+    """builder, tier and tier_reason by the host of the website: blank or on a social or
+    listing page is A, on a builder's domain B, else C. Host and domain are worked out
+    once for all of them."""
+    h = df.withColumn("_host", site_host(website)).withColumn("_reg", registrable("_host"))
+    listed = listed_domain(F.col("_host"), V.LISTING_DOMAINS).isNotNull()
+    names = F.create_map(*[F.lit(x) for pair in V.BUILDER_DOMAINS.items() for x in pair])
+    h = h.withColumn("_listed", present(website) & listed)
+    h = h.withColumn("builder", F.when(present(website) & ~F.col("_listed"), F.try_element_at(names, F.col("_reg"))))
+    on_builder = F.concat(F.lit("DIY builder site ("), F.col("builder"), F.lit(") - upsell to custom"))
+    missing, made = ~present(website), F.col("builder").isNotNull()
+    return h.withColumns(
+        {
+            "tier": F.when(missing | F.col("_listed"), "A").when(made, "B").otherwise("C"),
+            "tier_reason": F.when(missing, NO_SITE).when(F.col("_listed"), LISTING).when(made, on_builder).otherwise(REAL_SITE),
+        }
+    ).drop("_host", "_reg", "_listed")
 
 
 def _half_even(x: Column) -> Column:
@@ -82,7 +75,7 @@ def completeness(name, phone, email, website, socials, address, category) -> Col
 
 def industry_fit(category: ColumnOrName) -> Column:
     c = F.lower(F.coalesce(col(category), F.lit("")))
-    return F.when(c == "", "medium").when(contains_any(c, V.LOW_FIT), "low").when(contains_any(c, V.HIGH_FIT), "high").otherwise("medium")
+    return F.when(c == "", "medium").when(matches_any(c, V.LOW_FIT), "low").when(matches_any(c, V.HIGH_FIT), "high").otherwise("medium")
 
 
 def outreach_score(tier, fit, phone, email, socials, complete, confidence) -> Column:
