@@ -1,0 +1,344 @@
+"""Each operator against brute force on a small awkward table, and its edge cases."""
+
+import hashlib
+import re
+import zlib
+from collections import Counter
+
+import numpy as np
+import pytest
+import xxhash
+from prospectra.llm import components, gbdt, langid, packing, quality_classifier, quality_rules, rans, secrets, sharding, simhash, tokens, warc
+from pyspark.sql import functions as F
+
+SPACE = "[\x20\x09-\x0d]+"
+
+
+def words(text):
+    return [w for w in re.split(SPACE, text or "") if w]
+
+
+def by_id(df):
+    return {r.doc_id: r for r in df.collect()}
+
+
+# --- 1 -----------------------------------------------------------------------------
+
+
+def brute_print(text):
+    w = (text or "").encode().lower().split()
+    if not w:
+        return 0
+    grams = [b" ".join(w[k : k + 4]) for k in range(max(1, len(w) - 3))]
+    hashes = [xxhash.xxh64(g, seed=42).intdigest() for g in grams]
+    return sum(1 << b for b in range(64) if 2 * sum(h >> b & 1 for h in hashes) > len(hashes))
+
+
+def brute_components(prints, radius=4):
+    ids = sorted(prints)
+    parent = {i: i for i in ids}
+
+    def find(x):
+        while parent[x] != x:
+            x = parent[x]
+        return x
+
+    for k, a in enumerate(ids):
+        for b in ids[k + 1 :]:
+            if (prints[a] ^ prints[b]).bit_count() <= radius:
+                x, y = sorted((find(a), find(b)))
+                parent[y] = x
+    return {i: find(i) for i in ids}
+
+
+def test_simhash_equals_brute_force(docs, rows):
+    found = simhash.near_duplicates(docs).collect()
+    assert len(found) == len(rows)
+    prints = {r[0]: brute_print(r[1]) for r in rows}
+    assert {r.doc_id: r.fingerprint for r in found} == {i: f"{p:016x}" for i, p in prints.items()}
+    assert {r.doc_id: r.component_id for r in found} == brute_components(prints)
+
+
+def test_simhash_of_nothing(empty):
+    assert simhash.near_duplicates(empty).count() == 0
+    assert simhash.keep_one(empty).count() == 0
+
+
+def test_masks_cover_the_radius():
+    masks = [m & (1 << 64) - 1 for m in simhash.covering_masks()]
+    rng = np.random.default_rng(3)
+    for _ in range(3000):
+        diff = sum(1 << int(b) for b in rng.choice(64, 4, replace=False))
+        assert any(not diff & m for m in masks)
+
+
+def test_links_of_a_large_bucket_are_whole(spark):
+    rng = np.random.default_rng(5)
+    base = int(rng.integers(1, 1 << 62))
+    near = {base ^ sum(1 << int(b) for b in rng.choice(64, rng.integers(0, 9), replace=False)) for _ in range(400)}
+    signed = [v - (1 << 64) if v >> 63 else v for v in near]
+    links = simhash.fingerprint_links(spark.createDataFrame([(v,) for v in signed], "fp long"), cell=50)
+    roots = {r.node: r.root for r in components.components(links).collect()}
+    expect = brute_components({v: v & (1 << 64) - 1 for v in signed})
+    assert {v: roots.get(v, v) for v in signed} == expect
+
+
+def test_keep_one_keeps_columns_and_one_of_each_group(docs, rows):
+    kept = simhash.keep_one(docs)
+    assert kept.columns == docs.columns
+    expect = set(brute_components({r[0]: brute_print(r[1]) for r in rows}).values())
+    assert sorted(r.doc_id for r in kept.collect()) == sorted(expect)
+
+
+def test_components_of_a_chain(spark):
+    edges = [(k, k + 1) for k in range(200)] + [(500, 500), (700, 800), (800, 700)]
+    found = {r.node: r.root for r in components.components(spark.createDataFrame(edges, "u long, v long")).collect()}
+    assert found == {**{k: 0 for k in range(201)}, 700: 700, 800: 700}
+
+
+# --- 2 -----------------------------------------------------------------------------
+
+
+def test_language_of_each_document(docs, rows):
+    found = by_id(langid.identify(docs, docs))
+    assert len(found) == len({r[0] for r in rows})
+    for r in rows:
+        got = found[r[0]]
+        assert 0 <= got.score <= 1
+        if not re.search(r"[^\W\d_]", r[1] or ""):
+            assert (got.lang_pred, got.score) == ("und", 0.0)
+        else:
+            assert got.lang_pred in ("de", "en")
+
+
+def test_language_proportions_of_a_mixture(spark):
+    en, de = "the house and the river are there with other things ", "der fluss und die häuser sind nicht über dem wasser "
+    train = spark.createDataFrame([(k, (en if k % 2 else de) * 5, "en" if k % 2 else "de") for k in range(40)], "doc_id long, text string, lang string")
+    found = by_id(langid.identify(spark.createDataFrame([(1, en * 6 + de * 3, None), (2, en * 4, None), (3, de * 4, None)], "doc_id long, text string, lang string"), train))
+    assert abs(found[1].proportions["en"] - 2 / 3) < 0.1 and found[1].lang_pred == "en"
+    assert list(found[2].proportions) == ["en"] and found[3].lang_pred == "de"
+
+
+def test_language_without_training(docs, empty):
+    assert {r.lang_pred for r in langid.identify(docs, empty).collect()} == {"und"}
+    assert langid.held_out(empty).count() == 0
+
+
+# --- 4 -----------------------------------------------------------------------------
+
+
+def brute_rules(text):
+    w = words(text)
+    windows = [tuple(w[k : k + 8]) for k in range(len(w) - 7)]
+    often, covered = Counter(windows), set()
+    for k, x in enumerate(windows):
+        if often[x] > 1:
+            covered.update(range(k, k + 8))
+    lines = [x for x in (text or "").split("\n") if words(x)]
+    return len(w), sum(map(len, w)), len(re.findall(r"[#*$%&|<>]", text or "")), len(lines) - len(set(lines)), len(covered)
+
+
+def test_rules_equal_brute_force(docs, rows, labels):
+    found = by_id(quality_rules.judge(docs, labels.filter("quality = 1").select("doc_id")))
+    for r in rows:
+        got, expect = found[r[0]], brute_rules(r[1])
+        assert (got.n_words, got.word_chars, got.n_symbols, got.n_dup_lines, got.n_repeat_words) == expect
+        assert got.base_failed == (expect[0] < 20 or 100 * expect[4] > 30 * expect[0])
+        assert not (got.base_failed and got.kept)
+
+
+def test_rules_without_trusted_or_rows(docs, empty, labels):
+    none = labels.filter("false").select("doc_id")
+    assert {r.log_ratio for r in quality_rules.judge(docs, none).collect()} <= {0.0, None}
+    assert quality_rules.judge(empty, none).count() == 0
+
+
+# --- 5 -----------------------------------------------------------------------------
+
+
+def test_boosted_trees_learn_and_flatten():
+    rng = np.random.default_rng(1)
+    x = rng.normal(size=(2000, 4))
+    y = ((x[:, 0] > 0) ^ (x[:, 2] > 0.5)).astype(float)
+    model = gbdt.fit(x[:1500], y[:1500])
+    assert ((model.score(x[1500:]) > 0.5) == y[1500:]).mean() > 0.95
+    one = gbdt.fit(x, np.ones(2000))
+    assert (one.score(x) > 0.99).all()
+    assert gbdt.fit(x[:0], y[:0]).score(x[:3]).tolist() == [0.5] * 3
+
+
+def test_classifier_scores_every_row(docs, rows, labels, empty):
+    found = quality_classifier.held_out(docs, labels).collect()
+    assert len(found) == len(rows)
+    for r in found:
+        assert r.held_out == (zlib.crc32(str(r.doc_id).encode()) % 5 == 0)
+        assert 0 <= r.score <= 1 and r.predicted == int(r.score >= 0.3)
+    assert quality_classifier.held_out(empty, labels).count() == 0
+    kept = quality_classifier.keep_good(docs, labels)
+    assert kept.schema == docs.schema
+    assert sorted(r.doc_id for r in kept.collect()) == sorted(r.doc_id for r in found if r.predicted)
+
+
+# --- tokens, 6 and 9 ---------------------------------------------------------------
+
+
+@pytest.mark.parametrize("name", ["byte_bpe_50k.json", "word_bpe_49k.json"])
+def test_ids_equal_the_tokenizers(rows, name):
+    import random
+
+    import pyarrow as pa
+    from tokenizers import Tokenizer
+
+    rng = random.Random(11)
+    alphabet = list("abXY .,\n\t'’!?01éßÇİΣσç²ª  \n") + ["<|", "<|endoftext|>", " ", "'ll", " the", "　", "日本", "́", "😀", "\r\n", "\x1c", "\x85"]
+    texts = [r[1] for r in rows] + ["".join(rng.choice(alphabet) for _ in range(rng.randint(0, 40))) for _ in range(6000)]
+    ids, counts = tokens.Encoder(tokens.public_path(name)).encode(pa.array(texts, pa.string()))
+    plain, at = Tokenizer.from_file(tokens.public_path(name)), 0
+    for t, n in zip(texts, counts, strict=True):
+        assert ids[at : at + n].tolist() == plain.encode(t or "", add_special_tokens=False).ids
+        at += n
+
+
+def encoded(rows, name, end):
+    from tokenizers import Tokenizer
+
+    t = Tokenizer.from_file(tokens.public_path(name))
+    return {r[0]: np.array([*t.encode(r[1] or "", add_special_tokens=False).ids, end], "<u4") for r in rows}
+
+
+def test_packing_places_each_id_once(docs, rows, empty):
+    ids = encoded(rows, packing.VOCABULARY, packing.END)
+    found = packing.pack(docs, shard_ids=20_000).collect()
+    times = Counter(r[0] for r in rows)
+    seen, filled = Counter(), {}
+    for p in found:
+        assert zlib.crc32(ids[p.doc_id][p.start : p.start + p.length].tobytes()) == p.ids_crc32 and p.doc_tokens == len(ids[p.doc_id])
+        seen[p.doc_id] += p.length
+        filled.setdefault(p.sequence_id, []).append((p.offset, p.length))
+    assert seen == {i: len(v) * times[i] for i, v in ids.items()}
+    for parts in filled.values():
+        parts.sort()
+        assert [o for o, _ in parts] == np.cumsum([0, *(n for _, n in parts)])[:-1].tolist() and sum(n for _, n in parts) <= 1024
+    assert sum(sum(n for _, n in parts) < 1024 for parts in filled.values()) <= 6
+    assert packing.pack(empty).count() == 0
+
+
+def test_packing_prefers_neighbours():
+    docs = [np.array(x) for x in ([1, 2, 3, 4], [50, 51, 52, 53], [1, 2, 3, 9], [60, 61, 52, 53])]
+    near = packing._nearest(packing.Index(docs))
+    assert near(0) == [0, 2] and near(1) == [1, 3]  # itself first
+    order = [p[0] for p in packing.pack_shard(np.array([4, 4, 4, 4]), near, window=8)]
+    assert order == [0, 2, 1, 3]
+
+
+def test_rans_round_trip_of_blocks():
+    rng = np.random.default_rng(2)
+    for n in (0, 1, 511, 512, 513, 70_000):
+        ids = np.minimum(rng.geometric(0.01, n) - 1, 999)
+        freq = rans.quantize(np.bincount(ids, minlength=1000) if n else np.zeros(1000, int))
+        assert freq.sum() == (1 << rans.SCALE if n else 0)
+        if n:
+            payload = rans.encode_block(ids, freq)
+            assert (rans.Decoder(freq).block(payload, n) == ids).all()
+            with pytest.raises(ValueError):
+                rans.Decoder(freq).block(payload[:-4] if n > 600 else payload + b"1234", n)
+    assert (rans.Decoder(f := rans.quantize(np.array([0, 9]))).block(rans.encode_block(np.ones(5000, int), f), 5000) == 1).all()
+
+
+def test_token_files_read_back(docs, rows, empty):
+    ids = encoded(rows, rans.VOCABULARY, rans.END)
+    found = sorted(rans.token_files(docs).collect(), key=lambda r: r.start)
+    assert [r.doc_id for r in found] == sorted(r[0] for r in rows)
+    at = 0
+    for r in found:
+        assert (r.start, r.n_tokens, r.ids_crc32) == (at, len(ids[r.doc_id]), zlib.crc32(ids[r.doc_id].tobytes()))
+        at += r.n_tokens
+    assert rans.token_files(empty).count() == 0
+
+
+# --- 7 -----------------------------------------------------------------------------
+
+
+def test_shards_are_even_and_mixed(docs, rows, empty):
+    found = sharding.shard(docs, shards=8).collect()
+    text = {r[0]: (r[1] or "").encode() for r in rows}
+    source = {r[0]: r[3] for r in rows}
+    assert Counter(r.doc_id for r in found) == Counter(r[0] for r in rows)
+    sizes = Counter(r.shard for r in found)
+    assert set(sizes) == set(range(8)) and max(sizes.values()) - min(sizes.values()) <= 1
+    for s, n in sizes.items():
+        assert sorted(r.slot for r in found if r.shard == s) == list(range(n))
+    for r in found:
+        assert r.size == len(text[r.doc_id]) + 16 and r.text_crc32 == zlib.crc32(text[r.doc_id]) and r.law == "rows" and r.grown_shard is None
+    for s in ("s1", "s2"):
+        counts = Counter(r.shard for r in found if source[r.doc_id] == s)
+        assert max(counts[k] for k in range(8)) - min(counts[k] for k in range(8)) <= 2
+    assert sharding.shard(empty).count() == 0
+
+
+# --- 8 -----------------------------------------------------------------------------
+
+
+def test_warc_round_trip(spark, tmp_path):
+    long_, crlf = "<p>é" + "x" * 200, "a\r\n\r\nWARC/1.1\r\nContent-Length: 5\r\n\r\n" * 8
+    rows = [(5, "u5", long_), (3, "u\r\n3", long_), (9, None, long_), (1, "u1", "short"), (2, "u2", "short"), (4, "u4", None), (6, "u6", crlf), (7, "u7", crlf), (None, "n", long_)]
+    pages = spark.createDataFrame(rows, "page_id long, url string, html string")
+    found = warc.round_trip(pages.withColumn("extra", F.lit(1))).collect()
+    assert len(found) == len(rows)
+    html = {i: (h or "").encode() for i, _, h in rows}
+    refers = {5: 3, 9: 3, 7: 6}
+    for r in found:
+        data = html[r.page_id]
+        assert (r.payload_bytes, r.payload_digest) == (len(data), hashlib.sha256(data).hexdigest())
+        assert (r.record_type, r.refers_to) == (("revisit", refers[r.page_id]) if r.page_id in refers else ("response", None))
+    assert warc.round_trip(pages.filter("false")).count() == 0
+
+
+# --- 10 ----------------------------------------------------------------------------
+
+ASSIGN = r"""((?i:password|passwd|secret|token|api_?key))["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)"""
+
+
+def brute_secrets(text):
+    text = text or ""
+    spans = [(m.start(), 0, m.end(), "assign") for m in re.finditer(ASSIGN, text) if len(m[2]) >= 6]
+    spans += [(m.start(), 1, m.end(), "access") for m in re.finditer("AKIA[A-Z0-9]+", text) if len(m[0]) >= 20]
+    spans += [(m.start(), 2, m.end(), "hex") for m in re.finditer("[0-9a-f]+", text) if len(m[0]) >= 24]
+    return sorted(spans)
+
+
+def test_secrets_equal_brute_force(docs, rows, empty):
+    found = by_id(secrets.find_secrets(docs))
+    hits = 0
+    for r in rows:
+        spans, got = brute_secrets(r[1]), found[r[0]]
+        text = ",".join(f"{k}:{s}:{e}" for s, _, e, k in spans)
+        assert (got.n_assign, got.n_access, got.n_hex) == tuple(sum(s[1] == k for s in spans) for k in range(3))
+        assert got.base_sha256 == hashlib.sha256(text.encode()).hexdigest()
+        hits += len(spans)
+    assert hits >= 3
+    assert secrets.find_secrets(empty).count() == 0
+
+
+def test_secret_ledger_scans_only_what_is_new(spark):
+    v = secrets.versions(spark.createDataFrame([(1, "token = abcdef123"), (2, "token = abcdef123"), (3, "none")], "doc_id long, text string"))
+    _, found, seen = secrets.scan(v)
+    assert found.count() == 1 and seen.count() == 2
+    ledger = seen.limit(2).union(spark.createDataFrame([("x", "0")], seen.schema))
+    _, again, more = secrets.scan(v, ledger)
+    assert again.count() == 0 and more.count() == 0
+    _, other, _ = secrets.scan(v, ledger, rule_version="2")
+    assert other.count() == 1
+
+
+def test_redaction_masks_spans_only(docs, rows):
+    done = secrets.redact(docs)
+    assert done.schema == docs.schema
+    found = by_id(done)
+    for r in rows:
+        got = found[r[0]]
+        assert not brute_secrets(got.text)
+        if not brute_secrets(r[1]):
+            assert got.text == r[1]
+        else:
+            assert secrets.MASK in got.text and got.n_chars == len(got.text)
