@@ -92,9 +92,12 @@ def contact_emails(t: Tables) -> DataFrame:
 _PHONES = f"list_filter(list_transform({_all('html', H.PHONE)}, lambda x: {O.ten_digits('x')}), lambda d: length(d) = 10 AND substr(d, 1, 1) NOT IN ('0', '1'))"
 
 
-@query(f"SELECT doc_id, array_to_string(list_transform({_PHONES.replace('html', 'text')}, lambda d: {O.format_ten('d')}), '|') AS phones FROM documents WHERE len({_PHONES.replace('html', 'text')}) = 1")
+_DOC_PHONES = f"list_distinct(list_transform({_PHONES.replace('html', 'text')}, lambda d: {O.format_ten('d')}))"
+
+
+@query(f"SELECT doc_id, {_DOC_PHONES}[1] AS phones FROM documents WHERE len({_DOC_PHONES}) = 1")
 def document_phones(t: Tables) -> DataFrame:
-    found = t.read("documents").select("doc_id", H.raw_phones("text").alias("p"), H.every("text", H.PHONE).alias("all"))
+    found = t.read("documents").select("doc_id", H.raw_phones("text").alias("p"))
     return found.filter(F.size("p") == 1).select("doc_id", F.array_join("p", "|").alias("phones"))
 
 
