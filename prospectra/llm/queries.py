@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import decontaminate, langid, packing, quality_classifier, quality_rules, rans, secrets, sharding, simhash, warc
+from . import decontaminate, langid, oracle, packing, quality_classifier, quality_rules, rans, secrets, sharding, simhash, warc
 from .common import ship_package, table
 
 
@@ -73,4 +73,4 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return {"op3_decontamination": oracle.decontamination(), "op8_warc": oracle.warc(), "op10_secrets": oracle.secret_scans()}
