@@ -95,12 +95,16 @@ def write_archives(pages: DataFrame, path: str, when: str = "1970-01-01T00:00:00
     A null html is an empty payload; a null page_id has an empty record id, and as
     nothing can refer to it, such a record is never a revisit.
     """
-    rows = resolve(headers(pages))
-    total = pages.agg(F.sum(F.octet_length(F.col("html").cast("string")))).first()[0] or 0
+    rows = headers(pages)
+    # only headers meet by digest; what comes back is a row for each revisit
+    again = resolve(rows.select("page_id", "payload_digest", "payload_bytes")).filter("refers_to is not null")
+    again = again.select(F.col("page_id").alias("_page"), F.col("payload_digest").alias("_digest"), "refers_to").distinct()
+    marked = rows.join(again, (F.col("page_id") == F.col("_page")) & (F.col("payload_digest") == F.col("_digest")), "left")
+    size = pages.agg(F.count("*").alias("n"), F.sum(F.octet_length(F.col("html").cast("string"))).alias("bytes")).first()
+    per_file = max(1, FILE_BYTES * size.n // max(1, size.bytes or 0))
     (
-        rows.select(record(when).alias("value"))
-        .repartition(max(1, -(-total // FILE_BYTES)))
-        .write.option("lineSep", "\r\n\r\n").option("compression", "gzip").text(path)
+        marked.select(record(when).alias("value"))
+        .write.option("lineSep", "\r\n\r\n").option("compression", "gzip").option("maxRecordsPerFile", per_file).text(path)
     )
 
 
