@@ -2,7 +2,8 @@
 
 Kiveris et al., "Connected Components in MapReduce and Beyond" (SoCC 2014). Every
 round is two grouped minima and two equi-joins on vertex ids; a hub's rows meet its
-minimum in a join whose other side has one row a vertex, so a skewed hub is split.
+minimum in a join whose other side has one row a vertex. The minima are cut off first:
+with a plain exchange on either side Spark can split a hub's partition.
 """
 
 from __future__ import annotations
@@ -16,7 +17,7 @@ from .common import cut
 def _large_star(edges: DataFrame) -> DataFrame:
     """Each vertex links its larger neighbours to its smallest neighbour."""
     both = edges.union(edges.select(F.col("v").alias("u"), F.col("u").alias("v")))
-    least = both.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m"))
+    least = cut(both.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m")))
     return (
         both.filter("v > u").join(least, "u").select(F.col("v").alias("u"), F.col("m").alias("v")).distinct()
     )
@@ -25,7 +26,7 @@ def _large_star(edges: DataFrame) -> DataFrame:
 def _small_star(edges: DataFrame) -> DataFrame:
     """Each vertex links its smaller neighbours and itself to the smallest of them.
     ``edges`` hold u > v."""
-    least = edges.groupBy("u").agg(F.min("v").alias("m"))
+    least = cut(edges.groupBy("u").agg(F.min("v").alias("m")))
     moved = edges.join(least, "u").filter("v > m").select(F.col("v").alias("u"), F.col("m").alias("v"))
     return moved.union(least.select("u", F.col("m").alias("v"))).distinct()
 

@@ -234,7 +234,9 @@ def near_duplicates(docs: DataFrame, radius: int = RADIUS) -> DataFrame:
     roots = vertices.join(found, vertices.fp == found.node, "left").select(
         "fp", "least_id", F.coalesce("root", "fp").alias("root")
     )
-    named = roots.groupBy("root").agg(F.min("least_id").alias("component_id"))
+    roots = cut(roots)
+    # cut off from its aggregate, so that the rows of a large component can be split
+    named = cut(roots.groupBy("root").agg(F.min("least_id").alias("component_id")))
     by_print = roots.join(named, "root").select("fp", "component_id")
     return prints.join(by_print, "fp").select(
         "doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id"
