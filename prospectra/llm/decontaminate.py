@@ -34,36 +34,41 @@ BROADCAST_WINDOWS = 1_000_000
 NUMBER, NAME, UNIT = "\ue000", "\ue001", "\ue002"
 
 
-def _kind(token: Column) -> Column:
-    """Placeholder of a token, or the token in lower case."""
+#: The two forms of a text: names as slots, names as words.
+FORMS = ("named", "worded")
+
+
+def _worded(token: Column) -> Column:
+    """Placeholder of a number or unit, or the token in lower case."""
     low = F.lower(token)
-    return (
-        F.when((token >= "0") & (token < ":"), F.lit(NUMBER))
-        .when(low.isin(UNITS), F.lit(UNIT))
-        .when(token != low, F.lit(NAME))
-        .when(F.substring(token, 1, 1).rlike(r"\p{Nd}"), F.lit(NUMBER))
-        .otherwise(low)
-    )
+    number = (token >= "0") & (token < ":") | F.substring(token, 1, 1).rlike(r"^\p{Nd}")
+    return F.when(number, F.lit(NUMBER)).when(low.isin(UNITS), F.lit(UNIT)).otherwise(low)
+
+
+def _named(token: Column, worded: Column) -> Column:
+    """The same with a placeholder for a token that has a capital."""
+    return F.when(~worded.isin(NUMBER, UNIT) & (token != worded), F.lit(NAME)).otherwise(worded)
 
 
 def templates(rows: DataFrame, *keep: str) -> DataFrame:
-    """``keep`` columns, raw tokens and template tokens of each text."""
+    """``keep`` columns, raw tokens and the two forms of template tokens of each text."""
     text = text_or_empty(F.col("text").cast("string"))
     raw = rows.select(*keep, F.regexp_extract_all(text, F.lit(TOKEN), F.lit(0)).alias("raw"))
-    return raw.withColumn("template", F.transform("raw", _kind))
+    worded = raw.withColumn("worded", F.transform("raw", _worded))
+    return worded.withColumn("named", F.zip_with("raw", "worded", _named))
 
 
 def _slot(token: Column) -> Column:
     return token.isin(NUMBER, NAME, UNIT)
 
 
-def _windows(size: Column, step: int, length: int | Column) -> Column:
-    """Windows of ``template`` at multiples of ``step``: (at, h), h null if all are slots."""
+def _windows(form: str, size: Column, step: int, length: int | Column) -> Column:
+    """Windows of a form at multiples of ``step``: (at, h), h null if all are slots."""
     length = F.lit(length) if isinstance(length, int) else length
 
     def window(i: Column) -> Column:
-        part = F.slice("template", i + 1, length)
-        return F.struct(i.alias("at"), F.when(~F.forall(part, _slot), F.xxhash64(part)).alias("h"))
+        part = F.slice(form, i + 1, length)
+        return F.struct(i.alias("at"), F.when(~F.forall(part, _slot), F.xxhash64(F.lit(form), part)).alias("h"))
 
     return F.when(size >= length, F.transform(F.sequence(F.lit(0), size - length, F.lit(step)), window))
 
@@ -75,21 +80,26 @@ def _values(raw: str, template: str) -> Column:
 
 def _candidates(docs: DataFrame, items: DataFrame) -> DataFrame:
     """(doc_id, item_id, shifts): places in the document, less those in the item, of the
-    windows that they share."""
-    size = F.size("template")
+    windows that they share in either form."""
+    size = F.size("worded")
     short = (size >= SHORTEST) & (size < 2 * GRAM - 1)
-    cut_up = items.filter(size >= 2 * GRAM - 1).select("item_id", F.lit(GRAM).alias("length"), F.lit(GRAM).alias("step"), F.explode(_windows(size, 1, GRAM)).alias("w"))
-    whole = items.filter(short).select("item_id", size.alias("length"), F.lit(1).alias("step"), F.explode(_windows(size, 1, size)).alias("w"))
-    item_side = cut_up.unionByName(whole).select("item_id", "length", "step", F.col("w.at").alias("item_at"), "w.h").filter("h is not null")
-    item_side = cut(item_side)
+    parts = []
+    for form in FORMS:
+        cut_up = items.filter(size >= 2 * GRAM - 1).select("item_id", F.lit(GRAM).alias("length"), F.lit(GRAM).alias("step"), F.explode(_windows(form, size, 1, GRAM)).alias("w"))
+        whole = items.filter(short).select("item_id", size.alias("length"), F.lit(1).alias("step"), F.explode(_windows(form, size, 1, size)).alias("w"))
+        parts += [cut_up, whole]
+    item_side = parts[0]
+    for p in parts[1:]:
+        item_side = item_side.unionByName(p)
+    item_side = cut(item_side.select("item_id", "length", "step", F.col("w.at").alias("item_at"), "w.h").filter("h is not null"))
     # the lengths of short items, and GRAM: a handful at most
     kinds = sorted(item_side.select("length", "step").distinct().collect())
 
-    def tagged(length: int, step: int) -> Column:
+    def tagged(form: str, length: int, step: int) -> Column:
         tag = lambda w: F.struct(F.lit(length).alias("length"), F.lit(step).alias("step"), w["at"].alias("at"), w["h"].alias("h"))
-        return F.transform(_windows(size, step, length), tag)
+        return F.transform(_windows(form, size, step, length), tag)
 
-    windows = [tagged(*kind) for kind in kinds]
+    windows = [tagged(form, *kind) for kind in kinds for form in FORMS]
     if item_side.count() <= BROADCAST_WINDOWS:
         item_side = F.broadcast(item_side)
     none = F.expr("cast(array() AS array<struct<length: int, step: int, at: int, h: bigint>>)")
@@ -99,24 +109,34 @@ def _candidates(docs: DataFrame, items: DataFrame) -> DataFrame:
     return hits.groupBy("doc_id", "item_id").agg(F.collect_set(F.col("at") - F.col("item_at")).alias("shifts"))
 
 
-def _fits() -> Column:
+def _fits(form: str) -> Column:
     """Offsets in an item of spans in which no GRAM tokens in a row are all slots."""
     n = F.col("n")
-    barren = F.filter(F.sequence(F.lit(0), F.size("template") - GRAM), lambda k: F.forall(F.slice("template", k + 1, GRAM), _slot))
+    barren = F.filter(F.sequence(F.lit(0), F.size(form) - GRAM), lambda k: F.forall(F.slice(form, k + 1, GRAM), _slot))
     return F.filter(
-        F.sequence(F.lit(0), F.size("template") - n),
+        F.sequence(F.lit(0), F.size(form) - n),
         lambda i: ~F.exists(barren, lambda k: (k >= i) & (k <= i + n - GRAM)),
     )
 
 
-def _holds(shift: Column, i: Column) -> Column:
-    """The spans at i of the item and at i + shift of the document agree."""
+def _forms(prefix: str) -> list[Column]:
+    """Tokens and values of both forms under the names <prefix>_<form>[_value]."""
+    return [c for f in FORMS for c in (F.col(f).alias(f"{prefix}_{f}"), _values("raw", f).alias(f"{prefix}_{f}_value"))]
+
+
+def _holds(form: str, shift: Column, i: Column) -> Column:
+    """The spans at i of the item and at i + shift of the document agree in a form."""
     n, j = F.col("n"), i + shift
-    mine, theirs = F.slice("item_value", i + 1, n), F.slice("doc_value", j + 1, n)
+    mine, theirs = F.slice(f"item_{form}_value", i + 1, n), F.slice(f"doc_{form}_value", j + 1, n)
     kinds = F.size(F.array_distinct(F.arrays_zip(mine, theirs)))
     one_to_one = (kinds == F.size(F.array_distinct(mine))) & (kinds == F.size(F.array_distinct(theirs)))
-    same = F.slice("item", i + 1, n) == F.slice("doc", j + 1, n)
-    return F.when((j >= 0) & (j + n <= F.size("doc")), F.when(same, one_to_one).otherwise(F.lit(False))).otherwise(F.lit(False))
+    same = F.slice(f"item_{form}", i + 1, n) == F.slice(f"doc_{form}", j + 1, n)
+    inside = (j >= 0) & (j + n <= F.size(f"doc_{form}"))
+    return F.when(inside, F.when(same, one_to_one).otherwise(F.lit(False))).otherwise(F.lit(False))
+
+
+def _held(form: str):
+    return lambda shift: F.exists(f"fits_{form}", lambda i: _holds(form, shift, i))
 
 
 def contaminated(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
@@ -127,16 +147,16 @@ def contaminated(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
     tokens, spans with GRAM slots in a row, or documents with a null id. Rows repeated
     with one id count once. Empty tables give an empty result.
     """
-    size = F.size("template")
+    size = F.size("worded")
     read = templates(benchmark.select("item_id", "text"), "item_id").filter(size >= SHORTEST).withColumn("n", F.least(size, F.lit(SPAN)))
-    items = cut(read.select("item_id", "n", "template", _values("raw", "template").alias("item_value"), _fits().alias("fits")))
+    items = cut(read.select("item_id", "n", "worded", "named", *_forms("item"), *[_fits(f).alias(f"fits_{f}") for f in FORMS]))
     pairs = cut(_candidates(templates(docs.filter("doc_id is not null"), "doc_id"), items))
     chosen = pairs.select(F.col("doc_id").alias("_chosen")).distinct().hint("shuffle_hash")
     few = docs.select("doc_id", "text").join(chosen, F.col("doc_id") == F.col("_chosen"), "left_semi")
-    read = templates(few, "doc_id").select("doc_id", F.col("template").alias("doc"), _values("raw", "template").alias("doc_value"))
-    both = read.join(pairs, "doc_id").join(items.withColumnRenamed("template", "item"), "item_id")
-    found = both.filter(F.exists("shifts", lambda s: F.exists("fits", lambda i: _holds(s, i))))
-    return found.select("doc_id", "item_id", F.size("item").cast("long").alias("item_tokens")).distinct()
+    read = templates(few, "doc_id").select("doc_id", *_forms("doc"))
+    both = read.join(pairs, "doc_id").join(items.drop("worded", "named"), "item_id")
+    found = both.filter(F.exists("shifts", _held("named")) | F.exists("shifts", _held("worded")))
+    return found.select("doc_id", "item_id", F.size("item_worded").cast("long").alias("item_tokens")).distinct()
 
 
 def drop_contaminated(docs: DataFrame, benchmark: DataFrame) -> DataFrame:

@@ -10,28 +10,33 @@ def _lit(s: str) -> str:
     return "'" + s.replace("'", "''") + "'"
 
 
-def _templates(table: str, key: str) -> str:
+def _templates(table: str, key: str, named: bool) -> str:
     slots = ", ".join(map(_lit, (D.NUMBER, D.NAME, D.UNIT)))
+    name = f"WHEN t <> lower(t) THEN {_lit(D.NAME)}" if named else ""
     kind = (
-        f"CASE WHEN t >= '0' AND t < ':' THEN {_lit(D.NUMBER)} WHEN lower(t) IN ({', '.join(map(_lit, D.UNITS))}) THEN {_lit(D.UNIT)}"
-        f" WHEN t <> lower(t) THEN {_lit(D.NAME)} WHEN regexp_matches(t, '^\\p{{Nd}}') THEN {_lit(D.NUMBER)} ELSE t END"
+        f"CASE WHEN regexp_matches(t, '^\\p{{Nd}}') THEN {_lit(D.NUMBER)} WHEN lower(t) IN ({', '.join(map(_lit, D.UNITS))}) THEN {_lit(D.UNIT)}"
+        f" {name} ELSE lower(t) END"
     )
     return f"""SELECT {key}, tpl, list_transform(range(1, len(raw) + 1), lambda i: CASE WHEN tpl[i] IN ({slots}) THEN tpl[i] || lower(raw[i]) ELSE tpl[i] END) AS val
  FROM (SELECT {key}, raw, list_transform(raw, lambda t: {kind}) AS tpl FROM (SELECT {key}, regexp_extract_all(coalesce(text, ''), {_lit(D.TOKEN)}) AS raw FROM {table}))"""
 
 
-def decontamination() -> str:
+def _held(named: bool) -> str:
     slots = ", ".join(map(_lit, (D.NUMBER, D.NAME, D.UNIT)))
     barren = f"coalesce(list_bool_or(list_transform(range(0, n - {D.GRAM} + 1), lambda k: list_bool_and(list_transform(span[k + 1:k + {D.GRAM}], lambda t: t IN ({slots}))))), false)"
     cut = lambda key, extra="": f"SELECT {key}, n, tpl[i + 1:i + n] AS span, val[i + 1:i + n] AS vals{extra} FROM (SELECT *, unnest(range(0, len(tpl) - n + 1)) AS i FROM"
-    return f"""WITH docs AS ({_templates('documents', 'doc_id')}), items AS ({_templates('benchmark', 'item_id')}),
+    return f"""WITH docs AS ({_templates('documents', 'doc_id', named)}), items AS ({_templates('benchmark', 'item_id', named)}),
 b AS (SELECT *, least(len(tpl), {D.SPAN}) AS n, len(tpl) AS item_tokens FROM items WHERE len(tpl) >= {D.SHORTEST}),
 bw AS ({cut('item_id', ', item_tokens')} b)),
 dw AS ({cut('doc_id')} (SELECT docs.*, l.n FROM docs JOIN (SELECT DISTINCT n FROM b) l ON len(tpl) >= l.n WHERE doc_id IS NOT NULL)))
-SELECT DISTINCT doc_id, item_id, item_tokens FROM dw JOIN (SELECT * FROM bw WHERE NOT {barren}) bw ON dw.n = bw.n AND dw.span = bw.span
+SELECT doc_id, item_id, item_tokens FROM dw JOIN (SELECT * FROM bw WHERE NOT {barren}) bw ON dw.n = bw.n AND dw.span = bw.span
 WHERE len(list_distinct(list_zip(dw.vals, bw.vals))) = len(list_distinct(dw.vals)) AND len(list_distinct(dw.vals)) = len(list_distinct(bw.vals))"""
 
 
+def decontamination() -> str:
+    return f"SELECT DISTINCT doc_id, item_id, item_tokens FROM (SELECT * FROM ({_held(True)}) UNION ALL SELECT * FROM ({_held(False)}))"
+
+
 def warc(least: int = 100) -> str:
     return f"""WITH p AS (SELECT page_id, strlen(coalesce(html, '')) AS payload_bytes, sha256(coalesce(html, '')) AS payload_digest FROM pages),
 f AS (SELECT payload_digest, min(page_id) AS first_id FROM p WHERE payload_bytes >= {least} GROUP BY payload_digest)

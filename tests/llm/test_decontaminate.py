@@ -1,5 +1,6 @@
 """Template decontamination against brute force, and what it must and must not find."""
 
+import itertools
 import re
 
 from prospectra.llm import decontaminate as D
@@ -33,7 +34,9 @@ def test_verbatim_reparameterised_and_clean(spark):
         "no",
         "word " * 2000 + ITEMS[1][1].upper().lower(),
     ]
-    assert found(spark, texts) == [(0, 1), (1, 1), (4, 3), (9, 2)]
+    texts.append("!! ".join(ITEMS[1][1].upper().split()))
+    texts.append(ITEMS[3][1].lower() + " and more")
+    assert found(spark, texts) == [(0, 1), (1, 1), (4, 3), (5, 4), (9, 2), (10, 2), (11, 4)]
 
 
 def test_slots_must_stand_for_one_value_each(spark):
@@ -46,20 +49,20 @@ def test_slots_must_stand_for_one_value_each(spark):
 def brute(texts, items):
     token = re.compile(r"[^\W\d_]+|\d+(?:[.,:/]\d+)*|[%$€£]")
 
-    def read(text):
+    def read(text, named):
         raw = token.findall(text or "")
-        kind = ["N" if t[0].isdigit() else "U" if t.lower() in D.UNITS else "P" if t != t.lower() else t for t in raw]
-        return kind, [k + t.lower() if k in "NUP" and len(k) == 1 else t for k, t in zip(kind, raw, strict=True)]
+        kind = ["N" if t[0].isdigit() else "U" if t.lower() in D.UNITS else "P" if named and t != t.lower() else t.lower() for t in raw]
+        return kind, [k + t.lower() if k in "NUP" and len(k) == 1 else k for k, t in zip(kind, raw, strict=True)]
 
     slots = {"N", "U", "P"}
     out = []
-    for i, text in items:
-        b, bv = read(text)
+    for (i, text), named in itertools.product(items, (True, False)):
+        b, bv = read(text, named)
         n = min(len(b), D.SPAN)
         if len(b) < D.SHORTEST:
             continue
         for k, t in enumerate(texts):
-            d, dv = read(t)
+            d, dv = read(t, named)
             hit = False
             for x in range(len(b) - n + 1):
                 if any(all(s in slots for s in b[x + j : x + j + D.GRAM]) for j in range(n - D.GRAM + 1)):
@@ -70,7 +73,7 @@ def brute(texts, items):
                         hit |= len(pairs) == len(set(bv[x : x + n])) == len(set(dv[y : y + n]))
             if hit:
                 out.append((k, i))
-    return sorted(out)
+    return sorted(set(out))
 
 
 def test_equals_brute_force_on_random_text(spark):
