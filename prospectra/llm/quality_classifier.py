@@ -131,8 +131,8 @@ def train(docs: DataFrame, labels: DataFrame, label: str = "quality", rows: int
     size = known.count()
     draw = F.pmod(F.xxhash64("doc_id", F.lit(5)), F.lit(1 << 20)) / float(1 << 20)
     known = known.filter(draw < min(1.0, rows / max(size, 1)))
-    # labels are small beside texts and of bounded number now; Spark checks their size
-    chosen = docs.select("doc_id", F.col("text").cast("string")).join(known, "doc_id").select("label", "text")
+    # about ``rows`` ids at most, 16 bytes each: texts need no shuffle to meet them
+    chosen = docs.select("doc_id", F.col("text").cast("string")).join(F.broadcast(known), "doc_id").select("label", "text")
     found = chosen.mapInArrow(_feature_rows, "label int, x array<double>").toArrow()
     x = np.array(found["x"].to_pylist(), float).reshape(-1, len(FEATURES))
     y = found["label"].to_numpy().astype(float)
