@@ -14,12 +14,12 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import stored, text_or_empty
+from .common import cut, stored, text_or_empty
 
 SHARDS = 40
 SEED = 20_241
 #: Rows in one part of a ranking, on average.
-PART_ROWS = 20_000
+PART_ROWS = 4_000
 ROW_BYTES = 16
 
 
@@ -40,17 +40,15 @@ def rows_to_place(docs: DataFrame, seed: int = SEED) -> DataFrame:
 
 def interleave(rows: DataFrame, n: int) -> DataFrame:
     """``rows`` with place: 0 to n - 1 in the interleaved order."""
-    parts = max(1, -(-n // PART_ROWS))
-    # 1. rank within the stratum: ordered by (part, draw), a random order as well
-    drawn = rows.withColumn("part", F.pmod("draw", F.lit(parts)))
+    # 1. rank within the stratum: ordered by (part, draw), a random order as well; a
+    # stratum has as many parts as its size asks for
+    totals = cut(rows.groupBy("stratum").agg(F.count("*").alias("total")))
+    drawn = rows.join(totals, "stratum").withColumn("part", F.pmod("draw", F.ceil(F.col("total") / PART_ROWS)))
+    # else the join's placement by stratum would do for the windows, too
+    drawn = drawn.repartition("stratum", "part")
     counts = drawn.groupBy("stratum", "part").agg(F.count("*").alias("n"))
-    of_stratum = Window.partitionBy("stratum")
-    firsts = counts.select(
-        "stratum",
-        "part",
-        (F.sum("n").over(of_stratum.orderBy("part")) - F.col("n")).alias("first"),
-        F.sum("n").over(of_stratum).alias("total"),
-    )
+    earlier = Window.partitionBy("stratum").orderBy("part")
+    firsts = counts.select("stratum", "part", (F.sum("n").over(earlier) - F.col("n")).alias("first"))
     in_part = Window.partitionBy("stratum", "part").orderBy("draw", "doc_id", "text_crc32", "size")
     ranked = (
         drawn.withColumn("k", F.row_number().over(in_part))
@@ -58,15 +56,16 @@ def interleave(rows: DataFrame, n: int) -> DataFrame:
         .withColumn("fraction", (F.col("first") + F.col("k") - 0.5) / F.col("total"))
     )
     ranked = stored(ranked.select("doc_id", "size", "text_crc32", "stratum", "fraction"), "shard-ranks")
+    parts = max(1, -(-n // PART_ROWS))
     # 2. place by fractional rank: each stretch of fractions holds its share of all rows
-    cut = ranked.withColumn("part", F.least(F.floor(F.col("fraction") * parts), F.lit(parts - 1)))
+    pieces = ranked.withColumn("part", F.least(F.floor(F.col("fraction") * parts), F.lit(parts - 1)))
     before = (
-        cut.groupBy("part").agg(F.count("*").alias("n"))
+        pieces.groupBy("part").agg(F.count("*").alias("n"))
         .select("part", (F.sum("n").over(Window.orderBy("part")) - F.col("n")).alias("first"))
     )
     in_stretch = Window.partitionBy("part").orderBy("fraction", "stratum")
     return (
-        cut.withColumn("k", F.row_number().over(in_stretch))
+        pieces.withColumn("k", F.row_number().over(in_stretch))
         .join(before, "part")
         .withColumn("place", F.col("first") + F.col("k") - 1)
         .drop("part", "first", "k")
