@@ -24,8 +24,10 @@ END = 0
 WINDOW = 1024
 #: Ids in one shard, on average.
 SHARD_IDS = 1_000_000
-#: A seed's terms that make its query: those of the largest BM25 weight.
-QUERY_TERMS = 40
+#: Terms in at least one of so many documents have a full row of weights.
+DENSE = 4
+#: Neighbours that are put in order at first; each time more are asked for, GROWTH times as many.
+FIRST, GROWTH = 64, 8
 K1, B = 1.2, 0.75
 
 SCHEMA = "doc_id long, start long, length long, ids_crc32 long, doc_tokens long, sequence_id long, offset long"
@@ -46,20 +48,31 @@ class Index:
         weight = (idf[term] * tf * (K1 + 1) / (tf + norm[doc])).astype(np.float32)
         self.n, self.doc, self.weight = n, doc, weight
         self.cuts = np.concatenate(([0], np.cumsum(df)))
-        # the terms of each document, heaviest first; a term in one document leads nowhere
+        # the terms of each document; a term in one document leads nowhere
         shared = np.flatnonzero(df[term] > 1)
-        order = shared[np.lexsort((term[shared], -weight[shared], doc[shared]))]
+        order = shared[np.argsort(doc[shared], kind="stable")]
         self.terms = term[order]
         self.own = np.searchsorted(doc[order], np.arange(n + 1))
+        # full rows of common terms, DENSE times the postings at most
+        common = np.flatnonzero((df > 1) & (df * DENSE >= n))
+        self.row = np.full(len(df), -1, np.int64)
+        self.row[common] = np.arange(len(common))
+        self.rows = np.zeros((len(common), n))
+        full = np.flatnonzero(self.row[term] >= 0)
+        self.rows[self.row[term[full]], doc[full]] = weight[full]
 
     def scores(self, seed: int) -> np.ndarray:
-        query = self.terms[self.own[seed] : self.own[seed + 1]][:QUERY_TERMS]
+        """BM25 of all documents, with all terms of the seed as the query."""
+        query = self.terms[self.own[seed] : self.own[seed + 1]]
+        row = self.row[query]
+        score = self.rows[row[row >= 0]].sum(axis=0)
+        query = query[row < 0]
         a, n = self.cuts[query], self.cuts[query + 1] - self.cuts[query]
         ends = np.cumsum(n)
         if not len(ends):
-            return np.zeros(self.n)
+            return score
         at = np.arange(ends[-1]) + np.repeat(a - (ends - n), n)
-        return np.bincount(self.doc[at], self.weight[at], self.n)
+        return score + np.bincount(self.doc[at], self.weight[at], self.n)
 
 
 def pack_shard(sizes: np.ndarray, neighbours, window: int = WINDOW) -> list[tuple[int, int, int, int, int]]:
@@ -109,19 +122,28 @@ def pack_shard(sizes: np.ndarray, neighbours, window: int = WINDOW) -> list[tupl
     return pieces
 
 
-def _nearest(index: Index):
-    def of(seed: int) -> list[int]:
+def _nearest_first(index: Index):
+    def of(seed: int) -> Iterator[int]:
         score = index.scores(seed)
-        found = np.flatnonzero(score)
-        return found[np.lexsort((found, -score[found]))].tolist()
+        left, some = np.flatnonzero(score), FIRST
+        while len(left):
+            best = np.ones(len(left), bool)
+            if len(left) > some:
+                best = score[left] >= np.partition(score[left], -some)[-some]
+            found, left, some = left[best], left[~best], some * GROWTH
+            yield from found[np.lexsort((found, -score[found]))].tolist()
 
     return of
 
 
+def _nearest(index: Index):
+    return lambda seed: list(_nearest_first(index)(seed))
+
+
 def _shard_pieces(shard: int, doc_ids: pa.Array, docs: list[np.ndarray], window: int) -> pa.RecordBatch:
     index = Index(docs)
     sizes = np.array([len(d) for d in docs], np.int64)
-    rows = np.array(pack_shard(sizes, _nearest(index), window), np.int64).reshape(-1, 5)
+    rows = np.array(pack_shard(sizes, _nearest_first(index), window), np.int64).reshape(-1, 5)
     doc, start, length, sequence, offset = rows.T
     crc = [
         zlib.crc32(docs[d][s : s + n].astype("<u4").tobytes())

@@ -231,6 +231,23 @@ def test_packing_prefers_neighbours():
     assert order == [0, 2, 1, 3]
 
 
+def test_packing_scores_with_all_terms():
+    rng = np.random.default_rng(5)
+    docs = [np.append(rng.zipf(1.3, int(n)) % 3000, 0) for n in rng.integers(1, 900, 150)]
+    docs.append(np.array([9999] * 2))
+    index, sizes = packing.Index(docs), np.array([len(d) for d in docs])
+    own = [Counter(d.tolist()) for d in docs]
+    df = Counter(t for o in own for t in o)
+    idf = {t: np.log(1 + (len(docs) - n + 0.5) / (n + 0.5)) for t, n in df.items()}
+    norm = packing.K1 * (1 - packing.B + packing.B * sizes / sizes.mean())
+    for seed in range(0, len(docs), 10):
+        query = [t for t in own[seed] if df[t] > 1]
+        full = [sum(idf[t] * o[t] * (packing.K1 + 1) / (o[t] + m) for t in query) for o, m in zip(own, norm, strict=True)]
+        assert np.allclose(index.scores(seed), full, rtol=1e-5)
+        score = index.scores(seed)
+        assert list(packing._nearest(index)(seed)) == sorted(np.flatnonzero(score).tolist(), key=lambda d: (-score[d], d))
+
+
 def test_rans_round_trip_of_blocks():
     rng = np.random.default_rng(2)
     for n in (0, 1, 511, 512, 513, 70_000):
