@@ -4,7 +4,7 @@ After Xie et al., "Data Selection for Language Models via Importance Resampling"
 (NeurIPS 2023): hashed n-grams of a trusted target and of the raw corpus give two
 multinomials; a document's score is the mean log ratio of its n-grams, and each
 document is kept or not by a fixed threshold on it instead of by resampling.
-The n-grams are words, and the characters at both ends of each word.
+The n-grams are words, the characters at both ends of each word, and word pairs.
 """
 
 from __future__ import annotations
@@ -19,12 +19,11 @@ WINDOW = 8
 LEAST_WORDS = 20
 MOST_REPEATED = 30  # percent of words
 SYMBOLS = "#*$%&|<>"
-#: Trusted documents that are counted, on average at most; chosen by a hash of the id.
-TARGET_DOCS = 20_000
 #: Mean log ratio from which on a document is kept.
 THRESHOLD = -0.25
 SMOOTHING = 0.5
 EDGE = 3
+GRAMS_PER_WORD = 4
 
 
 def words_of(text: Column) -> Column:
@@ -33,13 +32,16 @@ def words_of(text: Column) -> Column:
 
 
 def _grams(words: Column) -> Column:
-    """Buckets of all n-grams, repeats included: three for each word."""
-    hashed = F.transform(
+    """Buckets of all n-grams, repeats included: GRAMS_PER_WORD for each word, the last
+    word's pair being that with the end of the text."""
+    hashed = F.zip_with(
         words,
-        lambda w: F.array(
+        F.slice(words, F.lit(2), F.size(words)),
+        lambda w, after: F.array(
             F.pmod(F.xxhash64(w), F.lit(BUCKETS)),
             F.pmod(F.xxhash64(F.right(w, F.lit(EDGE)), F.lit(1)), F.lit(BUCKETS)),
             F.pmod(F.xxhash64(F.left(w, F.lit(EDGE)), F.lit(2)), F.lit(BUCKETS)),
+            F.pmod(F.xxhash64(w, after, F.lit(3)), F.lit(BUCKETS)),
         ),
     )
     return F.flatten(hashed)
@@ -48,22 +50,22 @@ def _grams(words: Column) -> Column:
 def weights(docs: DataFrame, trusted: DataFrame) -> DataFrame:
     """(bucket, weight): log of the target's over the corpus's smoothed share.
 
-    ``trusted`` has the doc_id of documents of the target; a hash-chosen sample of at
-    most about TARGET_DOCS of them is used, small enough to broadcast. Counts run over
-    the n-grams of all documents, pre-aggregated into at most BUCKETS sums a task.
+    ``trusted`` has the doc_id of documents of the target; all of them are counted, and
+    met by a shuffle of the texts. Counts run over the n-grams of all documents,
+    pre-aggregated into at most BUCKETS sums a task.
     """
     size = trusted.count()
-    draw = F.pmod(F.xxhash64("doc_id", F.lit(4)), F.lit(1 << 20)) / float(1 << 20)
-    target = trusted.filter(draw < min(1.0, TARGET_DOCS / max(size, 1))).select(F.col("doc_id").alias("_trusted")).distinct()
+    target = trusted.select(F.col("doc_id").alias("_trusted")).distinct().hint("shuffle_hash")
     grams = (
         docs.select("doc_id", F.col("text").cast("string").alias("text"))
-        .join(F.broadcast(target), F.col("doc_id") == F.col("_trusted"), "left")
+        .join(target, F.col("doc_id") == F.col("_trusted"), "left")
         .select(
             F.col("_trusted").isNotNull().cast("int").alias("in_target"),
             F.explode(_grams(words_of(F.col("text")))).alias("bucket"),
         )
     )
-    counts = grams.groupBy("bucket").agg(F.count("*").alias("raw"), F.sum("in_target").alias("target"))
+    # at most BUCKETS rows; read twice below
+    counts = stored(grams.groupBy("bucket").agg(F.count("*").alias("raw"), F.sum("in_target").alias("target")), "rule-counts")
     every = docs.sparkSession.range(BUCKETS).withColumnRenamed("id", "bucket").join(counts, "bucket", "left")
     every = every.select("bucket", *[(F.coalesce(c, F.lit(0)) + SMOOTHING).alias(c) for c in ("raw", "target")])
     sums = every.agg(F.sum("raw").alias("raws"), F.sum("target").alias("targets")).first()
@@ -129,7 +131,7 @@ def judge(docs: DataFrame, trusted: DataFrame, threshold: float = THRESHOLD) ->
     counted = counts_of(docs.select(F.col("doc_id").cast("long"), "text"))
     grams = _grams(F.col("words"))
     total = F.aggregate(grams, F.lit(0.0), lambda s, g: s + F.get("_w", g.cast("int")))
-    scored = counted.withColumn("_w", known.scalar()).withColumn("log_ratio", F.when(F.col("n_words") > 0, total / (3 * F.col("n_words"))))
+    scored = counted.withColumn("_w", known.scalar()).withColumn("log_ratio", F.when(F.col("n_words") > 0, total / (GRAMS_PER_WORD * F.col("n_words"))))
     failed = (F.col("n_words") < LEAST_WORDS) | (100 * F.col("n_repeat_words") > MOST_REPEATED * F.col("n_words"))
     return scored.select(
         "doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words",

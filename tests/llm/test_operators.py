@@ -147,6 +147,19 @@ def test_rules_equal_brute_force(docs, rows, labels):
         assert not (got.base_failed and got.kept)
 
 
+def test_rules_count_every_trusted_document(spark):
+    docs = spark.range(30_000).selectExpr("id AS doc_id", "concat('w', id) AS text")
+    found = quality_rules.weights(docs, docs.select("doc_id")).collect()
+    assert len(found) == quality_rules.BUCKETS and max(abs(r.weight) for r in found) < 1e-9
+
+
+def test_rules_tell_word_order(spark):
+    trusted, other = "red green blue black white brown " * 5, "white red brown blue green black " * 5
+    docs = spark.createDataFrame([(1, trusted), (2, other), (3, trusted)], "doc_id long, text string")
+    found = by_id(quality_rules.judge(docs, docs.filter("doc_id = 3").select("doc_id")))
+    assert found[1].log_ratio > found[2].log_ratio
+
+
 def test_rules_without_trusted_or_rows(docs, empty, labels):
     none = labels.filter("false").select("doc_id")
     assert {r.log_ratio for r in quality_rules.judge(docs, none).collect()} <= {0.0, None}
