@@ -4,7 +4,8 @@ Numbers, names and units become typed placeholders, so a question that was asked
 with other values keeps its template. A document holds an item if SPAN template tokens
 in a row (or all tokens of a shorter item) agree, no GRAM of them in a row are all
 slots, and over the span each slot value of the item stands for one value of the
-document and back.
+document and back. A span with such a run of numbers and units is held if all its
+tokens agree word for word, regardless of case.
 
 Candidates come from a hash join. Item windows of GRAM tokens are taken at every
 offset, document windows at multiples of GRAM only: a span of 2 * GRAM - 1 tokens
@@ -20,6 +21,10 @@ from pyspark.sql import functions as F
 from .common import cut, text_or_empty
 
 TOKEN = r"[\p{L}\p{M}]+|\p{Nd}+(?:[.,:/]\p{Nd}+)*|[%$€£]"
+#: Letters of scripts that put no spaces between words (Thai, Lao, Burmese, Khmer, kana, Han).
+SPACELESS = r"\u0E00-\u0EFF\u1000-\u109F\u1780-\u17FF\u3040-\u30FF\u3400-\u4DBF\u4E00-\u9FFF\uF900-\uFAFF\x{20000}-\x{3FFFF}"
+#: TOKEN, but each letter of SPACELESS is a token, with its marks.
+PIECE = TOKEN.replace(r"[\p{L}\p{M}]+", rf"[\p{{L}}&&[{SPACELESS}]]\p{{M}}*|[\p{{L}}\p{{M}}&&[^{SPACELESS}]]+", 1)
 #: Units written after (or before) a number.
 UNITS = (
     "% $ € £ kg mg km cm mm ml lb lbs oz ft mi mph kmh hr hrs hours hour minutes minute seconds second"
@@ -53,7 +58,7 @@ def _named(token: Column, worded: Column) -> Column:
 def templates(rows: DataFrame, *keep: str) -> DataFrame:
     """``keep`` columns, raw tokens and the two forms of template tokens of each text."""
     text = text_or_empty(F.col("text").cast("string"))
-    raw = rows.select(*keep, F.regexp_extract_all(text, F.lit(TOKEN), F.lit(0)).alias("raw"))
+    raw = rows.select(*keep, F.regexp_extract_all(text, F.lit(PIECE), F.lit(0)).alias("raw"))
     worded = raw.withColumn("worded", F.transform("raw", _worded))
     return worded.withColumn("named", F.zip_with("raw", "worded", _named))
 
@@ -63,12 +68,14 @@ def _slot(token: Column) -> Column:
 
 
 def _windows(form: str, size: Column, step: int, length: int | Column) -> Column:
-    """Windows of a form at multiples of ``step``: (at, h), h null if all are slots."""
+    """Windows of a form at multiples of ``step``: (at, h). If all are slots, h is null
+    with names as slots, and that of the raw tokens with names as words."""
     length = F.lit(length) if isinstance(length, int) else length
 
     def window(i: Column) -> Column:
         part = F.slice(form, i + 1, length)
-        return F.struct(i.alias("at"), F.when(~F.forall(part, _slot), F.xxhash64(F.lit(form), part)).alias("h"))
+        as_is = F.xxhash64(F.lit("raw"), F.transform(F.slice("raw", i + 1, length), F.lower)) if form == "worded" else F.lit(None)
+        return F.struct(i.alias("at"), F.when(~F.forall(part, _slot), F.xxhash64(F.lit(form), part)).otherwise(as_is).alias("h"))
 
     return F.when(size >= length, F.transform(F.sequence(F.lit(0), size - length, F.lit(step)), window))
 
@@ -119,6 +126,11 @@ def _fits(form: str) -> Column:
     )
 
 
+def _rest() -> Column:
+    """Offsets in an item of the other spans, with names as words."""
+    return F.array_except(F.sequence(F.lit(0), F.size("worded") - F.col("n")), _fits("worded"))
+
+
 def _forms(prefix: str) -> list[Column]:
     """Tokens and values of both forms under the names <prefix>_<form>[_value]."""
     return [c for f in FORMS for c in (F.col(f).alias(f"{prefix}_{f}"), _values("raw", f).alias(f"{prefix}_{f}_value"))]
@@ -139,23 +151,36 @@ def _held(form: str):
     return lambda shift: F.exists(f"fits_{form}", lambda i: _holds(form, shift, i))
 
 
+def _copied(shift: Column) -> Column:
+    """A span of the item that _fits leaves out is in the document word for word."""
+    n = F.col("n")
+
+    def same(i: Column) -> Column:
+        j = i + shift
+        inside = (j >= 0) & (j + n <= F.size("doc_worded"))
+        return F.when(inside, F.slice("item_worded_value", i + 1, n) == F.slice("doc_worded_value", j + 1, n)).otherwise(F.lit(False))
+
+    return F.exists("rest", same)
+
+
 def contaminated(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
     """(doc_id, item_id, item_tokens): documents that hold an item, with the number of
     the item's tokens. One row for each such pair of ids.
 
     Null, empty and short texts hold nothing, nor do items of fewer than SHORTEST
-    tokens, spans with GRAM slots in a row, or documents with a null id. Rows repeated
-    with one id count once. Empty tables give an empty result.
+    tokens, or documents with a null id; spans with GRAM slots in a row are held only
+    word for word. Rows repeated with one id count once. Empty tables give an empty
+    result.
     """
     size = F.size("worded")
     read = templates(benchmark.select("item_id", "text"), "item_id").filter(size >= SHORTEST).withColumn("n", F.least(size, F.lit(SPAN)))
-    items = cut(read.select("item_id", "n", "worded", "named", *_forms("item"), *[_fits(f).alias(f"fits_{f}") for f in FORMS]))
+    items = cut(read.select("item_id", "n", "raw", "worded", "named", *_forms("item"), *[_fits(f).alias(f"fits_{f}") for f in FORMS], _rest().alias("rest")))
     pairs = cut(_candidates(templates(docs.filter("doc_id is not null"), "doc_id"), items))
     chosen = pairs.select(F.col("doc_id").alias("_chosen")).distinct().hint("shuffle_hash")
     few = docs.select("doc_id", "text").join(chosen, F.col("doc_id") == F.col("_chosen"), "left_semi")
     read = templates(few, "doc_id").select("doc_id", *_forms("doc"))
-    both = read.join(pairs, "doc_id").join(items.drop("worded", "named"), "item_id")
-    found = both.filter(F.exists("shifts", _held("named")) | F.exists("shifts", _held("worded")))
+    both = read.join(pairs, "doc_id").join(items.drop("raw", "worded", "named"), "item_id")
+    found = both.filter(F.exists("shifts", _held("named")) | F.exists("shifts", _held("worded")) | F.exists("shifts", _copied))
     return found.select("doc_id", "item_id", F.size("item_worded").cast("long").alias("item_tokens")).distinct()
 
 

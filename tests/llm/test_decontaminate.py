@@ -46,6 +46,24 @@ def test_slots_must_stand_for_one_value_each(spark):
     assert found(spark, [good, bad], item) == [(0, 1)]
 
 
+def test_copies_with_runs_of_numbers(spark):
+    items = [
+        (1, "Sort 9 4 7 1 3 in ascending order"),
+        (2, "Compute 12 + 7 * 3 - 4 / 2"),
+        (3, "Which number comes next after all of these: 2, 4, 8, 16, 32, 64"),
+        (4, "1 2 3 4 5 6 7 8 9 10 11 12 13 14"),
+    ]
+    texts = [f"well then 5 {t} and so on" for _, t in items]
+    texts += ["sort 9 4 7 1 2 in ascending order", "compute 12 + 7 * 3 - 4 / 3", "2 3 4 5 6 7 8 9 10 11 12 13", "x " * 7 + items[3][1]]
+    assert found(spark, texts, items) == [(0, 1), (1, 2), (2, 3), (3, 4), (7, 4)]
+
+
+def test_scripts_without_spaces(spark):
+    items = [(1, "世界上最高的山峰叫什么名字"), (2, "ประเทศไทยมีกี่จังหวัด"), (3, "日本の首都はどこですか")]
+    texts = ["请问" + items[0][1] + "呢", "x" + items[1][1], items[2][1], "世界上最长的河流叫什么名字"]
+    assert found(spark, texts, items) == [(0, 1), (1, 2), (2, 3)]
+
+
 def brute(texts, items):
     token = re.compile(r"[^\W\d_]+|\d+(?:[.,:/]\d+)*|[%$€£]")
 
