@@ -98,6 +98,13 @@ def county_union(t: Tables) -> DataFrame:
     return rows.select("id", "county_file", readers.county_of("path").alias("county"))
 
 
+@query("SELECT id, state AS county_file, 'Santa ' || array_to_string(list_transform(string_split(lower(state), ' '), lambda w: upper(substr(w, 1, 1)) || substr(w, 2)), ' ') AS county FROM places_v")
+def county_union_all(t: Tables) -> DataFrame:
+    name = F.replace(F.lower("state"), F.lit(" "), F.lit("_"))
+    rows = t.places.select("id", F.col("state").alias("county_file"), F.concat(F.lit("x/santa_"), name, F.lit("_leads_full.csv")).alias("path"))
+    return rows.select("id", "county_file", readers.county_of("path").alias("county"))
+
+
 @query("SELECT coalesce(nullif(name, ''), '') AS name, coalesce(nullif(category, ''), '') AS category, coalesce(nullif(website, ''), '') AS website, '' AS phone FROM places_v")
 def alias_headers(t: Tables) -> DataFrame:
     rows = t.places.select(F.col("name").alias("Business"), F.col("category").alias("Niche"), F.col("website").alias("WebSite"))

@@ -101,6 +101,11 @@ def document_phones(t: Tables) -> DataFrame:
     return found.filter(F.size("p") == 1).select("doc_id", F.array_join("p", "|").alias("phones"))
 
 
+@query(f"SELECT doc_id, unnest({_DOC_PHONES}) AS phone FROM documents")
+def document_phone_rows(t: Tables) -> DataFrame:
+    return t.read("documents").select("doc_id", F.explode(H.raw_phones("text")).alias("phone"))
+
+
 @query(f"""WITH f AS (SELECT lead_id, page_ord, unnest(list_transform({_PHONES}, lambda d: {O.format_ten('d')})) AS v FROM crawl_v),
  g AS (SELECT lead_id, v, min(page_ord) AS o FROM f GROUP BY lead_id, v) SELECT lead_id, count(*) AS phones FROM g GROUP BY lead_id""")
 def lead_phone_counts(t: Tables) -> DataFrame:
