@@ -9,9 +9,9 @@ A file set is a folder of two Parquet tables:
            doc_ids, counts (ids of each document), n_ids, payload, payload_crc32,
            ids_crc32.
 
-A payload holds LANES 64-bit states (little-endian), then 32-bit words. Id t of the
-block belongs to lane t mod LANES; the decoder takes a word for each lane, in lane
-order, whose state falls under 2**31. Blocks need only the shared table, so each row
+A payload holds L 64-bit states (little-endian), then 32-bit words; L is LANES, or
+FEW_LANES in a short block. Id t of the block belongs to lane t mod L; the decoder
+takes a word for each lane, in lane order, whose state falls under 2**31. Blocks need only the shared table, so each row
 is a checkpoint at which decoding can begin, and the checksums show a damaged one.
 """
 
@@ -27,14 +27,15 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .common import shared_dir, stored
-from .tokens import encode_table
+from .tokens import encode_table, id_counts
 
 VOCABULARY = "word_bpe_49k.json"
 END = 2
-LANES = 512
+#: States of a block, and of one with fewer than 16 ids for each of them.
+LANES, FEW_LANES = 2048, 32
 SCALE = 18
 #: A block is closed when it has so many ids; it ends with a whole document.
-BLOCK_IDS = 1 << 17
+BLOCK_IDS = 1 << 18
 LOW = np.uint64(1 << 31)
 _32, _LOW32 = np.uint64(32), np.uint64(0xFFFFFFFF)
 
@@ -63,7 +64,12 @@ def quantize(counts: np.ndarray, scale: int = SCALE) -> np.ndarray:
     return freq
 
 
-def encode_block(ids: np.ndarray, freq: np.ndarray, lanes: int = LANES, scale: int = SCALE) -> bytes:
+def lanes_of(n: int) -> int:
+    return LANES if n >= 16 * LANES else FEW_LANES
+
+
+def encode_block(ids: np.ndarray, freq: np.ndarray, scale: int = SCALE) -> bytes:
+    lanes = lanes_of(len(ids))
     below = (np.cumsum(freq) - freq).astype(np.uint64)
     freq = freq.astype(np.uint64)
     shift, bits = np.uint64(31 - scale + 32), np.uint64(scale)
@@ -82,18 +88,19 @@ def encode_block(ids: np.ndarray, freq: np.ndarray, lanes: int = LANES, scale: i
 
 
 class Decoder:
-    def __init__(self, freq: np.ndarray, lanes: int = LANES, scale: int = SCALE) -> None:
-        self.lanes, self.scale = lanes, scale
+    def __init__(self, freq: np.ndarray, scale: int = SCALE) -> None:
+        self.scale = scale
         self.freq, self.below = freq.astype(np.uint64), (np.cumsum(freq) - freq).astype(np.uint64)
         self.id_of = np.repeat(np.arange(len(freq), dtype=np.int32), freq)
 
     def block(self, payload: bytes, n: int) -> np.ndarray:
-        x = np.frombuffer(payload, "<u8", self.lanes).astype(np.uint64)
-        words = np.frombuffer(payload, "<u4", offset=8 * self.lanes).astype(np.uint64)
+        lanes = lanes_of(n)
+        x = np.frombuffer(payload, "<u8", lanes).astype(np.uint64)
+        words = np.frombuffer(payload, "<u4", offset=8 * lanes).astype(np.uint64)
         mask, bits, at = np.uint64((1 << self.scale) - 1), np.uint64(self.scale), 0
         out = np.empty(n, np.int32)
-        for begin in range(0, n, self.lanes):
-            state = x[: min(self.lanes, n - begin)]
+        for begin in range(0, n, lanes):
+            state = x[: min(lanes, n - begin)]
             slot = state & mask
             now = self.id_of[slot]
             out[begin : begin + len(state)] = now
@@ -109,15 +116,6 @@ class Decoder:
         return out
 
 
-def _counter(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    counts = np.zeros(1 << 16, np.int64)
-    for b in batches:
-        for v in b.column(0):
-            counts += np.bincount(np.frombuffer(v.as_buffer(), "<u2"), minlength=1 << 16)
-    seen = np.flatnonzero(counts)
-    yield pa.RecordBatch.from_arrays([pa.array(seen, pa.int32()), pa.array(counts[seen])], ["id", "n"])
-
-
 def _block_writer(freq: np.ndarray):
     def row(part: int, block: int, first: int, doc_ids: list, docs: list[bytes]) -> pa.RecordBatch:
         ids = np.frombuffer(b"".join(docs), "<u2")
@@ -152,21 +150,19 @@ def _block_writer(freq: np.ndarray):
 def write_files(docs: DataFrame, path: str, vocabulary: str = VOCABULARY, end: int = END) -> None:
     """Encode ``docs`` (doc_id, text) and write the file set to ``path``.
 
-    Rows with a null id come first; rows of one id follow each other in the order of
-    their ids' bytes, so equal rows need no order.
+    Rows with a null id come first; rows of one id follow each other in the order of a
+    hash of their ids, equal rows in any order. A stored row number lets a range end
+    between equal rows, so that an id that very many rows share is no single task.
     """
     spark = docs.sparkSession
-    rows = stored(encode_table(docs.select(F.col("doc_id").cast("long"), "text"), vocabulary, end), "rans-ids")
-    counts = np.zeros(1 << 16, np.int64)
-    # at most one row for each id of the vocabulary
-    for r in rows.select("ids").mapInArrow(_counter, "id int, n long").groupBy("id").agg(F.sum("n").alias("n")).collect():
-        counts[r.id] = r.n
-    freq = quantize(counts)
+    encoded = encode_table(docs.select(F.col("doc_id").cast("long"), "text"), vocabulary, end)
+    rows = stored(encoded.withColumn("row", F.monotonically_increasing_id()), "rans-ids")
+    freq = quantize(id_counts(rows))
     model = [(int(i), int(freq[i])) for i in np.flatnonzero(freq)]
     spark.createDataFrame(model, "id int, frequency int").coalesce(1).write.parquet(f"{path}/table")
-    order = ["doc_id", F.xxhash64("ids")]
+    order = ["doc_id", F.xxhash64("ids"), "row"]
     (
-        rows.select("doc_id", "ids").repartitionByRange(*order).sortWithinPartitions(*order, "ids")
+        rows.select("doc_id", "ids", "row").repartitionByRange(*order).sortWithinPartitions(*order)
         .mapInArrow(_block_writer(freq), BLOCKS).write.parquet(f"{path}/blocks")
     )
 

@@ -3,10 +3,8 @@
 A text is cut before spaces and line feeds. Such a cut never falls inside a pre-token
 of either vocabulary, unless the character stands between two others of white space or
 between one and the end, or a special token's text is near; texts with those go to the
-tokenizer whole. The distinct pieces of a batch are encoded once and gathered back.
-
-Where the same byte-level vocabulary lies beside its file as ranks, the pieces without
-white space are joined by line feeds and encoded in one call, which costs a fifth.
+tokenizer whole. The distinct pieces of a batch are encoded once, by the library's model
+or, beyond Latin script, by the whole tokenizer, and gathered back.
 """
 
 from __future__ import annotations
@@ -20,15 +18,18 @@ import pyarrow as pa
 import pyarrow.compute as pc
 
 #: Bytes of text that are cut and gathered at once.
-STEP = 12 << 20
-#: Distinct pieces whose ids a worker remembers.
-REMEMBER = 300_000
+STEP = 4 << 20
+#: Repeated pieces whose ids a worker remembers.
+REMEMBER = 400_000
 _WHITE = r"[\s\p{Z}\x{0B}\x{1C}-\x{1F}\x{85}]"
-#: Pieces of ASCII and Latin characters without white space.
-_SIMPLE = r"^[!-~\x{A1}-\x{12F}\x{131}-\x{24F}]+\z"
-#: Pieces that end in a letter, before a tail of full stops and commas.
-_STEM = r"^ ?[!-~\x{A1}-\x{12F}\x{131}-\x{24F}]*[A-Za-z\x{C0}-\x{D6}\x{D8}-\x{F6}\x{F8}-\x{12F}\x{131}-\x{24F}]\z"
-_LED = _SIMPLE.replace("^", r"^\n", 1).replace("+", "*", 1)
+_LATIN = r"\x{C0}-\x{D6}\x{D8}-\x{F6}\x{F8}-\x{12F}\x{131}-\x{24F}"
+#: ASCII and Latin characters, on whose classes all Unicode versions agree; the dotted
+#: capital I is left out, as its small form is not one letter.
+_PLAIN = r"^[ \n!-~\x{A1}-\x{12F}\x{131}-\x{24F}]*\z"
+_LETTERS = rf"^ ?[A-Za-z{_LATIN}]+\z"
+#: Ends of a word that are one pre-token after a letter or digit.
+_TAIL = "!\"#$%&'()*+,-./:;<=>?@[\\]^_`{|}~"
+_STEM = rf"[0-9A-Za-z{_LATIN}]\z"
 _WHOLE = rf"{_WHITE}[ \n](?:{_WHITE}|\z)|<\|"
 
 
@@ -48,6 +49,16 @@ def _gathered(ids: np.ndarray, sizes: np.ndarray, codes: np.ndarray) -> np.ndarr
     return ids[at]
 
 
+def _ends(words: pa.Array, begins: pa.Array) -> pa.Array:
+    """What follows each of ``begins`` in its word."""
+    offsets = np.frombuffer(words.buffers()[1], np.int64)[words.offset : words.offset + len(words) + 1]
+    n = np.diff(offsets) - pc.binary_length(begins).to_numpy(zero_copy_only=False)
+    ends = np.cumsum(n)
+    at = np.arange(int(ends[-1]) if len(n) else 0) + np.repeat(offsets[1:] - ends, n)
+    data = np.frombuffer(words.buffers()[2] or b"", np.uint8)[at]
+    return pa.LargeStringArray.from_buffers(len(n), pa.py_buffer(np.concatenate(([0], ends)).astype(np.int64)), pa.py_buffer(data))
+
+
 class Encoder:
     """Encodes columns of texts; knows byte-level files with a leading-space pre-token
     rule and word-end files that drop white space."""
@@ -60,118 +71,88 @@ class Encoder:
         self.tokenizer = Tokenizer.from_file(path)
         self.spaced = self.tokenizer.normalizer is None
         self.model = self.tokenizer.model
-        self.chars = _byte_chars()
         tails = r"'s|'t|'re|'ve|'m|'ll|'d|"
         self.rule = regex.compile(
             tails + (r" ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+" if self.spaced else r"\p{L}+|\p{N}|[^\s\p{L}\p{N}]+")
         )
-        # ASCII and Latin characters, on whose classes all Unicode versions agree; the
-        # dotted capital I is left out, as its small form is not one letter
-        self.plain = regex.compile("[ \n!-~\u00a1-\u012f\u0131-\u024f]*")
-        self.known: dict[str, tuple[int, ...]] = {}
-        self.feed = self.whole("\n")[0] if self.spaced else -1
-        self.ranks = self._ranks(os.path.splitext(path)[0] + ".tiktoken") if self.spaced else None
-
-    @staticmethod
-    def _ranks(path: str):
-        """The vocabulary as ranks, or None if there is no such file."""
-        if not os.path.exists(path):
-            return None
-        import base64
-
-        import tiktoken
-
-        with open(path, "rb") as f:
-            ranks = {base64.b64decode(a): int(b) for a, b in map(bytes.split, f)}
-        rule = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
-        return tiktoken.Encoding("ranks", pat_str=rule, mergeable_ranks=ranks, special_tokens={})
-
-    def whole(self, text: str) -> tuple[int, ...]:
-        return tuple(self.tokenizer.encode(text, add_special_tokens=False).ids)
-
-    def _word(self, word: str) -> list[int]:
-        if not (word.isascii() and word.isalpha()):
-            word = word.encode().decode("latin-1").translate(self.chars)
-        return [t.id for t in self.model.tokenize(word)]
-
-    def piece(self, text: str) -> tuple[int, ...]:
-        letters = text[1:] if self.spaced and text[:1] == " " else text
-        if letters.isascii() and letters.isalpha():
-            return tuple(self._word(text if self.spaced else text.lower()))
-        if not self.plain.fullmatch(text):
-            return self.whole(text)
-        if not self.spaced:
-            text = text.lower()
-        if letters.isalpha():
-            return tuple(self._word(text))
-        out: list[int] = []
-        for word in self.rule.findall(text):
-            out += self._word(word)
-        return tuple(out)
-
-    def pieces(self, texts: list[str]) -> list[tuple[int, ...]]:
-        if len(self.known) > REMEMBER:
-            self.known.clear()
-        known, out = self.known, []
-        for t in texts:
-            ids = known.get(t)
-            if ids is None:
-                known[t] = ids = self.piece(t)
-            out.append(ids)
-        return out
-
-    def _joined(self, words: pa.Array, before: str) -> tuple[np.ndarray, np.ndarray]:
-        """(ids of all words, number of each), each word after ``before``."""
-        simple = pc.match_substring_regex(words, _SIMPLE).to_numpy(zero_copy_only=False)
-        sizes = np.zeros(len(words), np.int64)
-        chosen = words.filter(pa.array(simple)).to_pylist()
-        ids = self.ranks.encode_to_numpy(f"\n{before}".join(["", *chosen])).astype(np.int32)[: None if chosen else 0]
-        breaks = np.flatnonzero(ids == self.feed)
-        sizes[simple] = np.diff(np.append(breaks, len(ids))) - 1
-        rest = [self.whole(w if w[:1] == "\n" else before + w) for w in words.filter(pa.array(~simple)).to_pylist()]
-        if not rest:
-            return ids[ids != self.feed], sizes
-        sizes[~simple] = [len(r) for r in rest]
-        out, inside = np.empty(int(sizes.sum()), np.int32), np.repeat(simple, sizes)
-        out[inside] = ids[ids != self.feed]
-        out[~inside] = np.fromiter(chain.from_iterable(rest), np.int32)
-        return out, sizes
-
-    def _stemmed(self, words: pa.Array) -> tuple[np.ndarray, np.ndarray]:
-        """(ids, sizes) of words, whose letters and tails of full stops and commas are
-        encoded apart: the two are never in one pre-token."""
-        stems = pc.utf8_rtrim(words, ".,")
+        # pieces are joined by a character that is no stand-in of a byte
+        self.chars = _byte_chars() | {0x110000 - 1: "\x00"}
+        self.words = pa.array([], pa.large_string())
+        self.ids, self.sizes = np.empty(0, np.int32), np.empty(0, np.int64)
+
+    def whole(self, text: str) -> list[int]:
+        return self.tokenizer.encode(text, add_special_tokens=False).ids
+
+    def _tokens(self, words: list[str]) -> tuple[list[int], list[int]]:
+        """(ids, number of ids of each) of pre-tokens of plain characters."""
+        ids, sizes = [], []
+        if words:
+            tokenize, put, size = self.model.tokenize, ids.extend, sizes.append
+            for word in "\x00".join(words).encode().decode("latin-1").translate(self.chars).split(self.chars[0]):
+                found = tokenize(word)
+                size(len(found))
+                put([t.id for t in found])
+        return ids, sizes
+
+    def _fresh(self, words: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """Ids of each distinct piece: (ids, sizes, which run is each piece's)."""
+        flag = lambda rule: pc.match_substring_regex(words, rule).to_numpy(zero_copy_only=False)
+        letters, plain = flag(_LETTERS), flag(_PLAIN)
+        low = (lambda a: a) if self.spaced else pc.utf8_lower
+        take = lambda chosen: words.filter(pa.array(chosen))
+        ids, sizes = self._tokens(low(take(letters)).to_pylist())
+        cut = [self.rule.findall(t) for t in low(take(plain & ~letters)).to_pylist()]
+        more, parts = self._tokens(list(chain.from_iterable(cut)))
+        total = np.concatenate(([0], np.cumsum(parts, dtype=np.int64)))
+        ends = np.cumsum(np.fromiter(map(len, cut), np.int64, len(cut)))
+        rest = [self.whole(t) for t in take(~plain & ~letters).to_pylist()]
+        flat = np.concatenate([np.array(x, np.int32) for x in (ids, more, list(chain.from_iterable(rest)))])
+        runs = np.concatenate([np.array(sizes, np.int64), np.diff(total[ends], prepend=0), np.fromiter(map(len, rest), np.int64, len(rest))])
+        codes = np.empty(len(words), np.int64)
+        codes[np.argsort(np.where(letters, 0, np.where(plain, 1, 2)), kind="stable")] = np.arange(len(words))
+        return flat, runs, codes
+
+    def _pieces(self, words: pa.Array, often: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """(ids, sizes, code of each word): runs of ids, and which run is each word's.
+        ``words`` are distinct; those met more than ``often`` once are remembered."""
+        known = len(self.words)
+        found = pc.index_in(words, self.words)
+        new = pc.is_null(found).to_numpy(zero_copy_only=False)
+        codes = pc.fill_null(found, 0).to_numpy(zero_copy_only=False).astype(np.int64)
+        fresh = words.filter(pa.array(new))
+        flat, runs, at = self._fresh(fresh)
+        codes[new] = known + at
+        ids, sizes = np.concatenate([self.ids, flat]), np.concatenate([self.sizes, runs])
+        keep = np.flatnonzero(often[new] > 1)[: max(0, REMEMBER - known)]
+        if len(keep):
+            self.words = pa.concat_arrays([self.words, fresh.take(pa.array(keep))])
+            self.ids = np.concatenate([self.ids, _gathered(flat, runs, at[keep])])
+            self.sizes = np.concatenate([self.sizes, runs[at[keep]]])
+        return ids, sizes, codes
+
+    def _vocabulary(self, words: pa.Array, heads: pa.Array, often: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """(ids, sizes) of the words as they stand in a text, then of the heads, which
+        begin a text. Letters and tails of punctuation are encoded apart: the two are
+        never in one pre-token."""
+        if self.spaced:
+            words = pc.if_else(pc.starts_with(words, "\n"), words, pc.binary_join_element_wise(pa.scalar("", words.type), words, pa.scalar(" ", words.type)))
+        words = pa.concat_arrays([words, heads])
+        often = np.concatenate([often, np.ones(len(heads), np.int64)])
+        stems = pc.utf8_rtrim(words, _TAIL)
         parts = pc.and_(pc.less(pc.binary_length(stems), pc.binary_length(words)), pc.match_substring_regex(stems, _STEM))
-        tails = pc.replace_substring_regex(words.filter(parts), r"^.*[^.,]", "")
-        a, b = pc.if_else(parts, stems, words).dictionary_encode(), tails.dictionary_encode()
-        found = self.pieces(a.dictionary.to_pylist() + b.dictionary.to_pylist())
-        sizes = np.fromiter(map(len, found), np.int64, len(found))
-        ids = np.fromiter(chain.from_iterable(found), np.int32, int(sizes.sum()))
         tailed = np.flatnonzero(parts.to_numpy(zero_copy_only=False))
-        codes = np.insert(a.indices.to_numpy().astype(np.int64), tailed + 1, len(a.dictionary) + b.indices.to_numpy().astype(np.int64))
+        tails = _ends(words.filter(parts), stems.filter(parts))
+        both = pa.concat_arrays([pc.if_else(parts, stems, words), tails]).dictionary_encode()
+        at = both.indices.to_numpy().astype(np.int64)
+        times = np.bincount(at, np.concatenate([often, often[tailed]]), len(both.dictionary))
+        ids, sizes, codes = self._pieces(both.dictionary, times)
+        at = codes[at]
+        first, last = at[: len(words)], at[len(words) :]
+        codes = np.insert(first, tailed + 1, last)
         ends = np.arange(len(words)) + np.cumsum(np.bincount(tailed, minlength=len(words)))
         total = np.cumsum(sizes[codes])[ends] if len(words) else np.empty(0, np.int64)
         return _gathered(ids, sizes, codes), np.diff(total, prepend=0)
 
-    def _vocabulary(self, words: pa.Array, heads: pa.Array) -> tuple[np.ndarray, np.ndarray]:
-        """(ids, sizes) of the words as they stand in a text, then of the heads, which
-        begin a text."""
-        if self.ranks is None:
-            if self.spaced:
-                words = pc.if_else(pc.starts_with(words, "\n"), words, pc.binary_join_element_wise(pa.scalar("", words.type), words, pa.scalar(" ", words.type)))
-            return self._stemmed(pa.concat_arrays([words, heads]))
-        led = pc.match_substring_regex(words, _LED)
-        after_feed, after_space = words.filter(led), words.filter(pc.invert(led))
-        a, n = self._joined(pc.utf8_slice_codeunits(after_feed, 1), "")
-        b, m = self._joined(after_space, " ")
-        c, k = self._joined(heads, "")
-        sizes, feeds = np.zeros(len(words), np.int64), led.to_numpy(zero_copy_only=False)
-        sizes[feeds], sizes[~feeds] = n + 1, m
-        out, inside = np.empty(int(sizes.sum()), np.int32), np.repeat(feeds, sizes)
-        out[~inside] = b
-        out[inside] = np.insert(a, np.cumsum(n) - n, self.feed)
-        return np.concatenate([out, c]), np.concatenate([sizes, k])
-
     def _step(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
         odd = np.flatnonzero(pc.match_substring_regex(texts, _WHOLE).to_numpy(zero_copy_only=False))
         direct = [self.whole(texts[int(i)].as_py()) for i in odd]
@@ -190,7 +171,7 @@ class Encoder:
         first = offsets[:-1]
         heads, head_codes = np.unique(codes[first], return_inverse=True)
         codes[first] = len(words) + head_codes
-        ids, sizes = self._vocabulary(words, words.take(pa.array(heads)))
+        ids, sizes = self._vocabulary(words, words.take(pa.array(heads)), np.bincount(codes, minlength=len(words))[: len(words)])
         codes[first[odd]] = len(sizes) + np.arange(len(odd))
         sizes = np.concatenate([sizes, np.fromiter(map(len, direct), np.int64, len(direct))])
         ids = np.concatenate([ids, np.fromiter(chain.from_iterable(direct), np.int32)])
@@ -238,19 +219,49 @@ def id_arrays(ids: np.ndarray, counts: np.ndarray, end: int | None) -> tuple[pa.
     return column.cast(pa.binary()), counts
 
 
+def _histogram(ids: np.ndarray, end: int, rows: int) -> pa.Array:
+    """The count of each id that occurs, as pairs of little-endian 64-bit numbers in the
+    first row of a batch; null in its other rows."""
+    counts = np.bincount(ids, minlength=1 << 16)
+    counts[end] += rows
+    seen = np.flatnonzero(counts)
+    return pa.array([np.stack([seen, counts[seen]], axis=1).astype("<i8").tobytes(), *[None] * (rows - 1)][:rows], pa.binary())
+
+
 def encode_table(docs, path_name: str, end: int, keep: tuple[str, ...] = ("doc_id",)):
-    """``keep`` columns of ``docs``, n_ids long and ids binary (little-endian 16-bit),
-    one row for each row; vocabularies are below 65536 ids."""
+    """``keep`` columns of ``docs``, n_ids long, ids binary (little-endian 16-bit) and
+    counts binary (_histogram() of a batch), one row for each row; vocabularies are below
+    65536 ids."""
     from pyspark.sql import functions as F
 
     def run(batches):
         enc = encoder(public_path(path_name))
         for b in batches:
-            column, counts = id_arrays(*enc.encode(b.column(len(keep))), end)
+            ids, counts = enc.encode(b.column(len(keep)))
+            seen = _histogram(ids, end, len(counts))
+            column, counts = id_arrays(ids, counts, end)
             yield pa.RecordBatch.from_arrays(
-                [*b.columns[: len(keep)], pa.array(counts, pa.int64()), column], [*keep, "n_ids", "ids"]
+                [*b.columns[: len(keep)], pa.array(counts, pa.int64()), column, seen], [*keep, "n_ids", "ids", "counts"]
             )
 
     rows = docs.select(*keep, F.col("text").cast("string"))
     kept = ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in rows.select(*keep).schema)
-    return rows.mapInArrow(run, f"{kept}, n_ids long, ids binary")
+    return rows.mapInArrow(run, f"{kept}, n_ids long, ids binary, counts binary")
+
+
+def id_counts(rows) -> np.ndarray:
+    """How often each id occurs in a stored encode_table(), from its batches' counts."""
+    def add(batches):
+        total = np.zeros(1 << 16, np.int64)
+        for b in batches:
+            for v in b.column(0):
+                pairs = np.frombuffer(v.as_buffer(), "<i8").reshape(-1, 2)
+                total[pairs[:, 0]] += pairs[:, 1]
+        seen = np.flatnonzero(total)
+        yield pa.RecordBatch.from_arrays([pa.array(seen, pa.int32()), pa.array(total[seen])], ["id", "n"])
+
+    total = np.zeros(1 << 16, np.int64)
+    # at most one row for each id of the vocabulary
+    for r in rows.select("counts").filter("counts is not null").mapInArrow(add, "id int, n long").groupBy("id").agg({"n": "sum"}).collect():
+        total[r[0]] = r[1]
+    return total
