@@ -5,7 +5,7 @@ from __future__ import annotations
 from collections.abc import Iterable
 from functools import reduce
 
-from pyspark.sql import Column
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from . import values as V
@@ -46,6 +46,14 @@ def matches_any(text: Column, needles: Iterable[str]) -> Column:
     return text.rlike("|".join(re.escape(n) for n in needles))
 
 
+def settled(df: DataFrame, *names: str) -> DataFrame:
+    """``df`` with the named columns worked out once: the optimiser puts a filter on them
+    after this point instead of writing their expressions out in it, again and again."""
+    have = [c for c in names if c in df.columns]
+    rest = [c for c in df.columns if c not in have]
+    return df.select(*rest, F.inline(F.array(F.struct(*have)))).select(*df.columns) if have else df
+
+
 def host(url: ColumnOrName) -> Column:
     """Lower-case host without user and port; '' if there is none."""
     authority = F.regexp_extract(F.trim(col(url)), r"^(?:[^:/?#]+://|(?!.*://))([^/?#]*)", 1)

@@ -148,6 +148,32 @@ def site_need_opener(website, category, city) -> Column:
     )
 
 
+def site_need_opener_v0(website, niche, city) -> Column:
+    """The older line, which knows listing-only leads but no category words (own wording)."""
+    site = F.lower(F.coalesce(col(website), F.lit("")))
+    search = F.trim(F.concat_ws(" ", F.lower(F.coalesce(filled(niche), F.lit("business"))), filled(city)))
+    return (
+        F.when(site == "", F.concat(F.lit("No site: offer one page that is found for '"), search, F.lit("' and rings on a tap.")))
+        .when(F.contains(site, F.lit("yelp")), "Only a directory listing: offer a domain of their own.")
+        .when(contains_any(site, ("facebook", "instagram")), "Only social pages: offer a site beside them.")
+        .when(site.startswith("http://"), "No certificate, so browsers warn: offer a rebuild that has one.")
+        .otherwise("Has a site: see what it is worth first.")
+    )
+
+
+def coordinator_opener_v0(agents, gap, software) -> Column:
+    """The older line, without suppression and hiring (own wording)."""
+    n = F.coalesce(col(agents), F.lit(0))
+    size = F.when(n > 0, F.concat(n.cast("string"), F.lit("-agent "))).otherwise("")
+    rest = (
+        F.when(col(gap) == "open", "brokerage without coordination tools: ask who does the files now.")
+        .when(col(gap) == "software", F.concat(F.lit("brokerage with "), F.coalesce(filled(software), F.lit("coordination software")), F.lit(": ask who works it.")))
+        .when(col(gap) == "in_house", "brokerage with a coordinator of its own: offer to step in when files pile up.")
+        .otherwise("brokerage: ask how files are coordinated.")
+    )
+    return F.concat(size, rest)
+
+
 def coordinator_fit(agents, gap, phone, contact, suppressed, suppressed_by, software, weights=None) -> tuple[Column, Column, Column]:
     """(score, tier, why) of the transaction-coordination profile."""
     w = weights or V.COORDINATOR_WEIGHTS
@@ -161,12 +187,12 @@ def coordinator_fit(agents, gap, phone, contact, suppressed, suppressed_by, soft
     g = F.coalesce(col(gap), F.lit("unknown"))
     why = F.concat_ws(
         "; ",
-        F.when(n > 0, F.concat(n.cast("string"), F.lit(" agents (vol "), volume.cast("string"), F.lit(")"))).otherwise("volume unknown"),
+        F.when(n > 0, F.concat(n.cast("string"), F.lit(" agents, size points "), volume.cast("string"))).otherwise("size not known"),
         F.when(g == "hiring", "is hiring a coordinator").when(g == "open", "no coordinator found")
         .when(g == "software", F.concat(F.lit("uses "), F.coalesce(filled(software), F.lit("coordination software"))))
         .when(g == "in_house", "signs of a coordinator in house").when(g == "confirmed", "a competitor's client").otherwise("coordination unknown"),
         F.when(has_phone, "phone"),
-        F.when(has_contact, F.concat(F.lit("contact: "), col(contact))),
+        F.when(has_contact, F.concat(F.lit("ask for "), col(contact))),
         F.when(taken, F.concat(F.lit("client of "), F.coalesce(filled(suppressed_by), F.lit("a competitor")))),
     )
     return score, tier, why

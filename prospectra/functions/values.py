@@ -249,3 +249,40 @@ FULL_EXPORT_FIELDS = (
     "country", "lat", "lon", "tier", "tier_reason", "builder", "industry_fit", "outreach_score", "score",
     "completeness", "confidence", "is_chain", "pitch", "source_dataset", "source_id",
 )
+#: What the columns of an export hold (own wording).
+COLUMN_TEXTS = {
+    "id": "key of the lead; an import that meets it again updates the row",
+    "name": "name the business trades under",
+    "category": "main niche",
+    "alt_categories": "further niches, joined by |",
+    "phone": "first phone number as the source has it",
+    "phone_fmt": "first phone number as (XXX) XXX-XXXX if it has ten digits",
+    "area_code": "first three digits of the phone number",
+    "phones_all": "all phone numbers, joined by |",
+    "email": "first e-mail address",
+    "email_owned": "1 if the address is on the domain of the website",
+    "website": "first web address, empty if none is known",
+    "websites_all": "all web addresses, joined by |",
+    "socials": "addresses of social profiles, joined by |",
+    "social_platforms": "names of the platforms of these profiles, joined by |",
+    "best_contact": "channel to try first: phone, email, social or none",
+    "address": "street and number",
+    "city": "city",
+    "state": "state",
+    "zip": "postal code",
+    "country": "country",
+    "lat": "degrees north",
+    "lon": "degrees east",
+    "tier": "need of a website: A none of its own, B one from a site builder, C a site of its own",
+    "tier_reason": "what put the lead into its tier",
+    "builder": "site builder of a lead in tier B",
+    "industry_fit": "how likely the niche buys: high, medium or low",
+    "outreach_score": "0 to 100, in what order to call: need, reach and fit",
+    "score": "0 to 100 from need, reach and confidence, whatever the niche",
+    "completeness": "percent of six main fields that are filled",
+    "confidence": "0 to 1, how sure the source is that the business is there",
+    "is_chain": "1 for an office of a chain",
+    "pitch": "line to open a call with",
+    "source_dataset": "data set that the record comes from",
+    "source_id": "key of the record there",
+}

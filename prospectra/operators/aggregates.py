@@ -30,7 +30,7 @@ def facet_rows(leads: DataFrame, limit: int = 300) -> DataFrame:
 
 
 def stats(leads: DataFrame, crm: DataFrame, audit: DataFrame) -> DataFrame:
-    """One row; each table is read once and reduced to one row before they meet."""
+    """One row; each table is reduced to one row before they meet."""
     a = leads.agg(
         F.count("*").alias("total"),
         *[_count(F.col("tier") == t).alias(f"tier_{t.lower()}") for t in "ABC"],
@@ -81,6 +81,32 @@ def market_gap(leads: DataFrame, by: str = "category") -> DataFrame:
     )
 
 
+def market_gap_report(leads: DataFrame) -> dict[str, DataFrame]:
+    """The 25 niches and 20 cities with the most warm leads, and the 30 cells of niche and
+    city with the most leads without a site; ties go by name."""
+    return {
+        "top_niches": market_gap(leads, "category").orderBy(F.desc("warm_leads"), "niche").limit(25),
+        "top_cities": market_gap(leads, "city").orderBy(F.desc("warm_leads"), "city").limit(20),
+        "hottest_cells": opportunity_matrix(leads, 1).orderBy(F.desc("n"), "niche", "city").limit(30),
+    }
+
+
+def data_dictionary(leads: DataFrame, columns=V.FULL_EXPORT_FIELDS, docs: dict[str, str] | None = None, top: int = 25) -> dict[str, DataFrame]:
+    """What an export of leads holds: size (rows, niches and cities), columns (with fill
+    rate and text) that exist, in order, tiers, fits, and the niches with the most rows."""
+    docs = V.COLUMN_TEXTS if docs is None else docs
+    have = [c for c in columns if c in leads.columns]
+    told = leads.sparkSession.createDataFrame([(k, c, docs.get(c, "")) for k, c in enumerate(have)], "ord int, column_name string, text string")
+    distinct = lambda c: F.count_distinct(F.when(F.length(c) > 0, F.col(c)))
+    return {
+        "size": leads.agg(F.count("*").alias("businesses"), distinct("category").alias("niches"), distinct("city").alias("cities")),
+        "columns": told.join(F.broadcast(fill_rates(leads, have)), "column_name").select("ord", "column_name", "fill_pct", "text"),
+        "tiers": distribution(leads, "tier"),
+        "fits": distribution(leads, "industry_fit"),
+        "top_niches": counts_by(leads, "category", top),
+    }
+
+
 def opportunity_matrix(leads: DataFrame, least: int = 2) -> DataFrame:
     """(niche, city, n) of leads without a site, in cells of ``least`` or more."""
     niche = F.coalesce(F.nullif(F.trim("category"), F.lit("")), F.lit("(uncategorized)")).alias("niche")

@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from ..functions import scoring
 from ..functions import values as V
 from ..functions.columns import any_of, present, weak_domain, weak_substring
+from .shared import cut
 
 
 def in_bbox(df: DataFrame, south: float, west: float, north: float, east: float, lon: str = "lon", lat: str = "lat") -> DataFrame:
@@ -78,14 +79,16 @@ def name_counts(df: DataFrame, name: str = "name") -> DataFrame:
 
 
 def join_name_counts(df: DataFrame, name: str = "name") -> DataFrame:
-    """Each row with how often its name occurs. Counts are pre-aggregated, and the join
-    has one row a name on that side, so a very common name splits as a skewed join."""
-    return df.join(name_counts(df, name), name)
+    """Each row with how often its name occurs. Counts are pre-aggregated and cut off, so
+    that the join has a plain exchange on either side and Spark can split a very common
+    name's rows."""
+    return df.join(cut(name_counts(df, name)), name)
 
 
 def flag_chains(df: DataFrame, threshold: int = V.CHAIN_THRESHOLD) -> DataFrame:
     """is_chain: a brand is given, or the exact name occurs ``threshold`` times or more.
-    Only the frequent names are joined, far fewer than names."""
+    Only the frequent names are joined, of which there are at most rows / threshold and
+    as a rule very few: Spark broadcasts them once it knows their size."""
     frequent = name_counts(df).filter(F.col("n") >= threshold).select("name", F.lit(True).alias("_often"))
     branded = F.coalesce(F.length("brand") > 0, F.lit(False))
     return df.join(frequent, "name", "left").withColumn("is_chain", branded | F.coalesce("_often", F.lit(False))).drop("_often")
@@ -140,8 +143,8 @@ def assign_market(places: DataFrame, markets: DataFrame, cell: float = 0.5) -> D
 
 
 def office_counts(df: DataFrame, key: str = "name_key") -> DataFrame:
-    """How many rows share a key, on each row."""
-    counts = df.groupBy(key).agg(F.count("*").alias("offices"))
+    """How many rows share a key, on each row; counts are cut off as for names."""
+    counts = cut(df.groupBy(key).agg(F.count("*").alias("offices")))
     return df.join(counts, key)
 
 
@@ -153,15 +156,19 @@ def fill_in(df: DataFrame, columns: Iterable[str]) -> DataFrame:
 def rank_rows(df: DataFrame, *order, name: str = "rank", head: int | None = None) -> DataFrame:
     """1..n in an order that must be total.
 
-    Rows are range-partitioned by the order and numbered within partitions; the offset
-    of each partition is the sum of the earlier counts, a table of one row a partition.
-    With ``head`` only the first rows are needed, which a top-k takes without a sort.
+    Rows are range-partitioned by the order, sorted within partitions and numbered by
+    their places there. That table is stored once, so that counts and numbers come from
+    one partitioning; the offset of each partition is the sum of the earlier counts, a
+    table of one row a partition. With ``head`` only the first rows are needed, which a
+    top-k takes without a sort.
     """
     if head is not None:
         top = df.orderBy(*order).limit(head)
-        return top.withColumn(name, F.row_number().over(Window.orderBy(*order)))
-    ranged = df.repartitionByRange(*order).withColumn("_part", F.spark_partition_id())
-    within = ranged.withColumn("_k", F.row_number().over(Window.partitionBy("_part").orderBy(*order)))
-    counts = ranged.groupBy("_part").agg(F.count("*").alias("_n"))
+        return top.withColumn(name, F.row_number().over(Window.orderBy(*order)).cast("long"))
+    # the upper bits are the partition, the lower 33 the place in it
+    placed = cut(df.repartitionByRange(*order).sortWithinPartitions(*order).withColumn("_at", F.monotonically_increasing_id()))
+    part = F.shiftright("_at", 33)
+    counts = placed.groupBy(part.alias("_part")).agg(F.count("*").alias("_n"))
     before = counts.select("_part", (F.sum("_n").over(Window.orderBy("_part")) - F.col("_n")).alias("_before"))
-    return within.join(before, "_part").withColumn(name, (F.col("_before") + F.col("_k")).cast("int")).drop("_part", "_k", "_before")
+    numbered = placed.withColumn("_part", part).join(F.broadcast(before), "_part")  # one row a partition
+    return numbered.withColumn(name, F.col("_before") + F.col("_at").bitwiseAND(F.lit((1 << 33) - 1)) + 1).drop("_part", "_at", "_before")

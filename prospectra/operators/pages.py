@@ -14,13 +14,18 @@ from ..functions import scoring as S
 from ..functions import values as V
 from ..functions.columns import any_of, contains_any, host, listed_domain, name_key, name_tokens
 from .joins import first_per_key
+from .shared import cut
 
 
 def select_pages(crawl: DataFrame, cap: int = 4, least: int = 500) -> DataFrame:
     """The homepage (first in order) if it answered, and the first ``cap`` further pages
     that answered with more than ``least`` characters; by keys, without their HTML."""
     firsts = crawl.groupBy("lead_id").agg(F.min("page_ord").alias("_home"))
-    keys = crawl.select("lead_id", "page_ord", (F.col("status").between(1, 399)).alias("_ok"), F.length("html").alias("_size")).join(firsts, "lead_id")
+    return _selected(crawl.select("lead_id", "page_ord", "status", F.length("html").alias("size")), firsts, cap, least)
+
+
+def _selected(pages: DataFrame, firsts: DataFrame, cap: int, least: int) -> DataFrame:
+    keys = pages.select("lead_id", "page_ord", (F.col("status").between(1, 399)).alias("_ok"), F.col("size").alias("_size")).join(firsts, "lead_id")
     home = F.col("page_ord") == F.col("_home")
     good = keys.withColumn("is_home", home).filter(F.col("_ok") & (F.col("is_home") | (F.col("_size") > least)))
     order = Window.partitionBy("lead_id", "is_home").orderBy("page_ord")
@@ -80,6 +85,7 @@ def coordination_gap(leads: DataFrame, pages: DataFrame, hiring=V.HIRING_PHRASES
     return out.withColumn("evidence", evidence).drop("_read", "_hire", "_own", "_tool", "_ok", *[f"_p{k}" for k in range(len(needles))])
 
 
+# Patterns.
 _NAME = r"[A-Za-z][a-zA-Z'’\-]+(?:\s+[A-Za-z][a-zA-Z'’\-]+){1,2}"
 _BETWEEN = r"\s*[,–—\-:|]\s*"
 
@@ -104,8 +110,13 @@ def _clean_name(raw: Column, noise) -> Column:
 def decision_maker(pages: DataFrame, titles=V.BROKERAGE_TITLES, noise=V.NON_NAME_WORDS) -> DataFrame:
     """(lead_id, decision_maker, dm_title): "Name, Title" or "Title: Name" in the visible
     text; the most senior title wins, the first page, form and place on a tie."""
-    alternatives = "|".join(t.replace("/", "/") for t in sorted(titles, key=len, reverse=True))
-    text = H.visible_text("html")
+    return _senior(pages.select("lead_id", "page_ord", _titled("html", titles).alias("people")), titles, noise)
+
+
+def _titled(html: str, titles) -> Column:
+    """Names with a title in the visible text of a page: (form, at, name, title)."""
+    alternatives = "|".join(sorted(titles, key=len, reverse=True))
+    text = H.visible_text(html)
     forms = ((rf"(?i)({_NAME}){_BETWEEN}({alternatives})\b", 1, 2), (rf"(?i)\b({alternatives}){_BETWEEN}({_NAME})", 2, 1))
     found = []
     for k, (pattern, n, t) in enumerate(forms):
@@ -115,7 +126,12 @@ def decision_maker(pages: DataFrame, titles=V.BROKERAGE_TITLES, noise=V.NON_NAME
                 _tagged(k),
             )
         )
-    hits = pages.select("lead_id", "page_ord", F.explode(F.concat(*found)).alias("m"))
+    return F.concat(*found)
+
+
+def _senior(pages: DataFrame, titles, noise) -> DataFrame:
+    """The person of the most senior title among (lead_id, page_ord, people)."""
+    hits = pages.select("lead_id", "page_ord", F.explode("people").alias("m"))
     ranks = F.create_map(*[F.lit(v) for k, title in enumerate(titles) for v in (title, k)])
     title = F.trim(F.regexp_replace(F.col("m.title"), r"^[ .,\-—–]+|[ .,\-—–]+$", ""))
     named = hits.select(
@@ -130,7 +146,8 @@ def _tagged(form: int):
 
 
 def _first_values(pages: DataFrame, values: Column, name: str, limit: int = 5) -> DataFrame:
-    """(lead_id, name): the first different values over a lead's pages, `|`-joined."""
+    """(lead_id, name): the first different values over a lead's pages, `|`-joined. Values
+    are taken from a page before anything is shuffled."""
     each = pages.select("lead_id", "page_ord", F.posexplode(values).alias("at", "v"))
     first = each.groupBy("lead_id", "v").agg(F.min(F.struct("page_ord", "at")).alias("o"))
     rows = Window.partitionBy("lead_id").orderBy("o")
@@ -141,9 +158,18 @@ def _first_values(pages: DataFrame, values: Column, name: str, limit: int = 5) -
 
 def contact_emails(pages: DataFrame) -> DataFrame:
     """(lead_id, emails): mailto targets of all pages first, then the text of all."""
-    targets = F.flatten(F.transform(H.every("html", H.MAILTO, 1), lambda m: H.every(m, H.EMAIL)))
-    kinds = F.concat(F.transform(targets, lambda e: F.struct(F.lit(0).alias("kind"), e.alias("e"))), F.transform(H.every("html", H.EMAIL), lambda e: F.struct(F.lit(1).alias("kind"), e.alias("e"))))
-    each = pages.select("lead_id", "page_ord", F.posexplode(kinds).alias("at", "m")).select("lead_id", "m.kind", "page_ord", "at", F.lower("m.e").alias("v"))
+    return _first_emails(pages.select("lead_id", "page_ord", _addresses("html").alias("mails")))
+
+
+def _addresses(html: str) -> Column:
+    """(kind, e): mailto targets of a page (kind 0), then addresses in its text (1)."""
+    targets = F.flatten(F.transform(H.every(html, H.MAILTO, 1), lambda m: H.every(m, H.EMAIL)))
+    kind = lambda n: lambda e: F.struct(F.lit(n).alias("kind"), F.lower(e).alias("e"))
+    return F.concat(F.transform(targets, kind(0)), F.transform(H.every(html, H.EMAIL), kind(1)))
+
+
+def _first_emails(pages: DataFrame) -> DataFrame:
+    each = pages.select("lead_id", "page_ord", F.posexplode("mails").alias("at", "m")).select("lead_id", "m.kind", "page_ord", "at", F.col("m.e").alias("v"))
     domain = F.element_at(F.split("v", "@"), -1)
     junk = any_of((domain == d) | domain.endswith(f".{d}") for d in V.AUDIT_JUNK_DOMAINS)
     good = each.filter(~any_of(F.col("v").endswith(s) for s in V.ASSET_SUFFIXES) & ~junk & (F.length("v") <= 60))
@@ -186,6 +212,7 @@ def page_signals(crawl: DataFrame, as_of_year: int = 2026) -> DataFrame:
     )
 
 
+# Patterns.
 _CLIENT = (
     r"[—–-]\s*[A-Z][\w.&'\- ]{2,40},\s*([A-Z][\w.&'\- ]{2,50})",
     r"alt=\"([A-Z][\w.&'\- ]{2,50})\"",
@@ -269,27 +296,49 @@ def audit_ci(crawl: DataFrame) -> DataFrame:
     return page.join(homes, ["lead_id", "page_ord"], "left_semi").withColumn("audit_grade", S.audit_grade_v1("http_status", "https", "mobile", "load_ms")).drop("page_ord")
 
 
+def _front(as_of_year: int) -> list[Column]:
+    """What an audit tells of one page, beside its keys."""
+    return [
+        F.col("url").alias("input_url"), F.col("final_url"), F.col("status").alias("http_status"), F.lower("final_url").startswith("https://").cast("int").alias("https"),
+        H.mobile_viewport("html").alias("mobile"), F.col("load_ms"), F.bround(F.octet_length("html") / 1024, 1).alias("size_kb"), H.builder_deep("html").alias("builder_live"),
+        H.generator("html").alias("generator"), H.title("html").alias("title"), H.has_analytics("html").alias("has_analytics"), H.copyright_year("html", as_of_year).alias("copyright_year"),
+    ]
+
+
+def _graded(front: DataFrame, as_of_year: int) -> DataFrame:
+    front = front.withColumn("stale", F.coalesce(F.col("copyright_year") <= as_of_year - 3, F.lit(False)).cast("int"))
+    front = front.withColumn("site_quality", S.site_quality("http_status", "https", "mobile", "load_ms", "builder_live", "stale", "has_analytics"))
+    return front.withColumn("audit_grade", S.site_grade("http_status", "site_quality"))
+
+
+def audit_fronts(crawl: DataFrame, as_of_year: int = 2026) -> DataFrame:
+    """Signals, quality and grade of each lead's homepage, its first page."""
+    homes = crawl.groupBy("lead_id").agg(F.min("page_ord").alias("page_ord"))
+    front = crawl.select("lead_id", "page_ord", *_front(as_of_year)).join(homes, ["lead_id", "page_ord"], "left_semi")
+    return _graded(front.drop("page_ord"), as_of_year)
+
+
 def audit_sites(crawl: DataFrame, as_of_year: int = 2026) -> DataFrame:
     """The deep audit of each lead: homepage signals, contacts over its chosen pages,
-    quality and grade."""
-    chosen = select_pages(crawl, 4, 400)
-    homes = crawl.groupBy("lead_id").agg(F.min("page_ord").alias("page_ord"))
-    front = crawl.select(
-        "lead_id", "page_ord", F.col("url").alias("input_url"), "final_url", F.col("status").alias("http_status"),
-        F.lower("final_url").startswith("https://").cast("int").alias("https"), H.mobile_viewport("html").alias("mobile"), "load_ms",
-        F.bround(F.octet_length("html") / 1024, 1).alias("size_kb"), H.builder_deep("html").alias("builder_live"), H.generator("html").alias("generator"),
-        H.title("html").alias("title"), H.has_analytics("html").alias("has_analytics"), H.copyright_year("html", as_of_year).alias("copyright_year"),
-    ).join(homes, ["lead_id", "page_ord"], "left_semi").drop("page_ord")
-    front = front.withColumn("stale", F.coalesce(F.col("copyright_year") <= as_of_year - 3, F.lit(False)).cast("int"))
-    pages = crawl.join(chosen.select("lead_id", "page_ord"), ["lead_id", "page_ord"], "left_semi")
+    quality and grade. The pages are read once; what was found in each is stored without
+    its HTML, and the rest works on that table."""
+    seen = cut(
+        crawl.select(
+            "lead_id", "page_ord", "status", F.length("html").alias("size"), *_front(as_of_year),
+            _addresses("html").alias("mails"), H.raw_phones("html").alias("phones"), _titled("html", V.GENERAL_TITLES).alias("people"),
+        )
+    )
+    homes = seen.groupBy("lead_id").agg(F.min("page_ord").alias("page_ord"))
+    chosen = _selected(seen, homes.withColumnRenamed("page_ord", "_home"), 4, 400)
+    front = seen.drop("status", "size", "mails", "phones", "people").join(homes, ["lead_id", "page_ord"], "left_semi").drop("page_ord")
+    pages = seen.select("lead_id", "page_ord", "mails", "phones", "people").join(chosen.select("lead_id", "page_ord"), ["lead_id", "page_ord"], "left_semi")
     made = (
-        front.join(chosen.groupBy("lead_id").agg(F.count("*").cast("int").alias("pages_crawled")), "lead_id", "left")
-        .join(contact_emails(pages), "lead_id", "left").join(contact_phones(pages), "lead_id", "left")
-        .join(decision_maker(pages, V.GENERAL_TITLES, V.GENERAL_NON_NAME_WORDS), "lead_id", "left")
+        _graded(front, as_of_year).join(chosen.groupBy("lead_id").agg(F.count("*").cast("int").alias("pages_crawled")), "lead_id", "left")
+        .join(_first_emails(pages), "lead_id", "left").join(_first_values(pages, F.col("phones"), "phones_found"), "lead_id", "left")
+        .join(_senior(pages, V.GENERAL_TITLES, V.GENERAL_NON_NAME_WORDS), "lead_id", "left")
     )
-    made = made.withColumn("site_quality", S.site_quality("http_status", "https", "mobile", "load_ms", "builder_live", "stale", "has_analytics"))
     blank = {c: F.coalesce(c, F.lit("")) for c in ("emails", "phones_found", "decision_maker", "dm_title")}
-    return made.withColumns({**blank, "pages_crawled": F.coalesce("pages_crawled", F.lit(0)), "audit_grade": S.site_grade("http_status", "site_quality")})
+    return made.withColumns({**blank, "pages_crawled": F.coalesce("pages_crawled", F.lit(0))})
 
 
 def discover_sites(leads: DataFrame, serp: DataFrame, crawl: DataFrame, as_of_year: int = 2026) -> DataFrame:
@@ -297,7 +346,7 @@ def discover_sites(leads: DataFrame, serp: DataFrame, crawl: DataFrame, as_of_ye
     no_site or unknown else."""
     none = leads.filter(F.coalesce(F.length(F.trim("website")), F.lit(0)) == 0)
     picked = pick_site(none, serp)
-    audits = audit_sites(crawl, as_of_year).select("lead_id", "http_status", "site_quality", "audit_grade")
+    audits = audit_fronts(crawl, as_of_year).select("lead_id", "http_status", "site_quality", "audit_grade")
     found = picked.filter("site is not null").join(audits, "lead_id", "left").select(
         "lead_id", F.col("site").alias("discovered_site"), F.col("verdict").alias("discovery_verdict"),
         F.coalesce("site_quality", F.lit(0)).alias("site_quality"), F.coalesce("audit_grade", F.lit("broken")).alias("audit_grade"),

@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from ..functions import scoring
 from ..functions import values as V
-from ..functions.columns import present
+from ..functions.columns import present, settled
 from . import catalogue, joins
 from .aggregates import is_warm
 
@@ -115,6 +115,12 @@ def qualify(df: DataFrame, threshold: int = 70) -> DataFrame:
     return df.filter(F.col("site_score").isNull() | (F.col("site_score") < threshold))
 
 
+def worst_first(df: DataFrame, limit: int | None = None) -> DataFrame:
+    """Lowest site score first, unscored sites last; id settles ties."""
+    rows = df.orderBy(F.col("site_score").asc_nulls_last(), "id")
+    return rows.limit(limit) if limit else rows
+
+
 def hide_called(df: DataFrame, as_of: str) -> DataFrame:
     return df.filter(~F.col("last_contacted").eqNullSafe(F.lit(as_of)))
 
@@ -124,7 +130,8 @@ def warm_leads(leads: DataFrame) -> DataFrame:
 
 
 def callable_warm(leads: DataFrame) -> DataFrame:
-    return leads.filter((F.col("outreach_score") > 0) & (F.col("industry_fit") != "low"))
+    scored = settled(leads, "outreach_score", "industry_fit")
+    return scored.filter((F.col("outreach_score") > 0) & (F.col("industry_fit") != "low"))
 
 
 def call_order() -> list[Column]:

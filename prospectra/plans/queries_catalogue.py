@@ -10,6 +10,7 @@ from ..functions import scoring as S
 from ..functions import values as V
 from ..operators import aggregates as A
 from ..operators import catalogue, dedupe, enrich, joins
+from ..operators.shared import fresh_path
 from ..sources import readers
 from . import oracle as O
 from .profiles import union_sources
@@ -92,9 +93,10 @@ def lead_contract(t: Tables) -> DataFrame:
     return readers.accept_leads(rows)[0]
 
 
-@query("SELECT id, state AS county_file, 'Santa ' || upper(substr(lower(state), 1, 1)) || substr(lower(state), 2) AS county FROM places_v WHERE NOT contains(state, ' ')")
+@query("SELECT id, state AS county_file, 'Santa ' || array_to_string(list_transform(string_split(lower(state), ' '), lambda w: upper(substr(w, 1, 1)) || substr(w, 2)), ' ') AS county FROM places_v")
 def county_union(t: Tables) -> DataFrame:
-    rows = t.places.filter(~F.contains("state", F.lit(" "))).select("id", F.col("state").alias("county_file"), F.concat(F.lit("x/santa_"), F.lower("state"), F.lit("_leads_full.csv")).alias("path"))
+    name = F.replace(F.lower("state"), F.lit(" "), F.lit("_"))
+    rows = t.places.select("id", F.col("state").alias("county_file"), F.concat(F.lit("x/santa_"), name, F.lit("_leads_full.csv")).alias("path"))
     return rows.select("id", "county_file", readers.county_of("path").alias("county"))
 
 
@@ -105,6 +107,20 @@ def county_union_all(t: Tables) -> DataFrame:
     return rows.select("id", "county_file", readers.county_of("path").alias("county"))
 
 
+@query("""SELECT id, name, nullif(website, '') AS website, 'Santa ' || array_to_string(list_transform(string_split(lower(state), ' '), lambda w: upper(substr(w, 1, 1)) || substr(w, 2)), ' ') AS county FROM places_v
+ UNION ALL SELECT id, name, nullif(website, ''), 'North' FROM places_v WHERE seq % 5 = 0""")
+def county_files(t: Tables) -> DataFrame:
+    """Lead files of each state, and of one more county that shares rows with them."""
+    base = fresh_path(t.spark, "counties")
+    rows = t.places.select("id", F.coalesce("name", F.lit("")).alias("name"), "website", "state", "seq")
+    states = [r.state for r in t.read("region").select(F.col("r_name").alias("state")).distinct().collect()]  # a handful
+    parts = {f"santa_{s.lower().replace(' ', '_')}": rows.filter(F.col("state") == s) for s in states} | {"north": rows.filter("seq % 5 = 0")}
+    paths = [f"{base}/{name}_leads_full.csv" for name in parts]
+    for path, part in zip(paths, parts.values(), strict=True):
+        part.select("id", "name", "website").write.option("header", True).option("escape", '"').csv(path)
+    return readers.read_counties(t.spark, paths).select("id", "name", F.nullif("website", F.lit("")).alias("website"), "county")
+
+
 @query("SELECT coalesce(nullif(name, ''), '') AS name, coalesce(nullif(category, ''), '') AS category, coalesce(nullif(website, ''), '') AS website, '' AS phone FROM places_v")
 def alias_headers(t: Tables) -> DataFrame:
     rows = t.places.select(F.col("name").alias("Business"), F.col("category").alias("Niche"), F.col("website").alias("WebSite"))

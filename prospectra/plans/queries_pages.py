@@ -8,9 +8,10 @@ from pyspark.sql import functions as F
 from ..functions import html as H
 from ..functions import scoring as S
 from ..functions import values as V
-from ..functions.columns import host
+from ..functions.columns import host, name_key
 from ..operators import aggregates as A
-from ..operators import pages
+from ..operators import dedupe, pages
+from ..operators.shared import fresh_path
 from ..sources import readers
 from . import oracle as O
 from . import profiles
@@ -95,10 +96,10 @@ _PHONES = f"list_filter(list_transform({_all('html', H.PHONE)}, lambda x: {O.ten
 _DOC_PHONES = f"list_distinct(list_transform({_PHONES.replace('html', 'text')}, lambda d: {O.format_ten('d')}))"
 
 
-@query(f"SELECT doc_id, {_DOC_PHONES}[1] AS phones FROM documents WHERE len({_DOC_PHONES}) = 1")
+@query(f"SELECT doc_id, array_to_string(list_sort({_DOC_PHONES}), '|') AS phones FROM documents WHERE len({_DOC_PHONES}) > 0")
 def document_phones(t: Tables) -> DataFrame:
     found = t.read("documents").select("doc_id", H.raw_phones("text").alias("p"))
-    return found.filter(F.size("p") == 1).select("doc_id", F.array_join("p", "|").alias("phones"))
+    return found.filter(F.size("p") > 0).select("doc_id", F.array_join(F.array_sort("p"), "|").alias("phones"))
 
 
 @query(f"SELECT doc_id, unnest({_DOC_PHONES}) AS phone FROM documents")
@@ -113,7 +114,12 @@ def lead_phone_counts(t: Tables) -> DataFrame:
     return each.groupBy("lead_id").agg(F.count("*").alias("phones"))
 
 
-@query()
+_LEAD_PHONES = f"""SELECT lead_id, array_to_string(list_slice(list(v ORDER BY o), 1, 5), '|') AS phones_found FROM (
+ SELECT lead_id, v, min(page_ord * 1000000 + pos) AS o FROM (SELECT lead_id, page_ord, unnest(l) AS v, generate_subscripts(l, 1) AS pos FROM (
+  SELECT lead_id, page_ord, list_transform({_PHONES}, lambda d: {O.format_ten('d')}) AS l FROM CRAWL)) GROUP BY lead_id, v) GROUP BY lead_id"""
+
+
+@query(_LEAD_PHONES.replace("CRAWL", "crawl_v"))
 def contact_phones(t: Tables) -> DataFrame:
     return pages.contact_phones(t.crawl)
 
@@ -167,21 +173,73 @@ _QUALITY = f"""SELECT *, CASE WHEN status = 0 OR status >= 400 THEN 0 ELSE {O.cl
 
 @query(f"SELECT lead_id, builder_live, stale, has_analytics, site_quality, CASE WHEN status = 0 OR status >= 400 THEN 'broken' WHEN site_quality >= 75 THEN 'good' WHEN site_quality >= 45 THEN 'weak' ELSE 'neglected' END AS audit_grade FROM ({_QUALITY})")
 def site_quality(t: Tables) -> DataFrame:
-    return pages.audit_sites(t.crawl, YEAR).select("lead_id", "builder_live", "stale", "has_analytics", "site_quality", "audit_grade")
+    return pages.audit_fronts(t.crawl, YEAR).select("lead_id", "builder_live", "stale", "has_analytics", "site_quality", "audit_grade")
+
+
+def _people(crawl: str, titles, noise) -> str:
+    """The most senior person of each lead over the pages of a table."""
+    text = "regexp_replace(regexp_replace(html, '<[^>]+>', ' ', 'g'), '\\s+', ' ', 'g')"
+    forms = []
+    any_title = "|".join(sorted(titles, key=len, reverse=True))
+    for form, (pattern, n, t) in enumerate(((rf"(?i)({pages._NAME}){pages._BETWEEN}({any_title})\b", 1, 2), (rf"(?i)\b({any_title}){pages._BETWEEN}({pages._NAME})", 2, 1))):
+        found = f"regexp_extract_all({text}, {O.lit(pattern)}, "
+        forms.append(f"SELECT lead_id, page_ord, {form} AS form, unnest({found}{n})) AS raw, unnest({found}{t})) AS title, generate_subscripts({found}{n}), 1) AS pos FROM {crawl}")
+    noisy = f"lower(w) IN {O.in_list(noise)}"
+    first = f"coalesce(list_position(list_transform(ws, lambda w: {noisy}), false), len(ws) + 1)"
+    rank = "CASE lower(title) " + " ".join(f"WHEN {O.lit(x)} THEN {k}" for k, x in enumerate(titles)) + f" ELSE {len(titles)} END"
+    return f"""SELECT lead_id, first(who ORDER BY rank, page_ord, form, pos) AS decision_maker, first(title ORDER BY rank, page_ord, form, pos) AS dm_title FROM (
+ SELECT *, {rank} AS rank, array_to_string(kept, ' ') AS who FROM (
+  SELECT lead_id, page_ord, form, pos, trim(regexp_replace(title, '^[ .,\\-—–]+|[ .,\\-—–]+$', '', 'g')) AS title, CASE WHEN len(own) > 3 THEN own[-3:] ELSE own END AS kept FROM (
+   SELECT *, ws[{first}:] AS own FROM (SELECT *, list_filter(string_split_regex(raw, '\\s+'), lambda w: w <> '') AS ws FROM ({' UNION ALL '.join(forms)}))))
+ WHERE len(kept) BETWEEN 2 AND 3 AND NOT coalesce(list_bool_or(list_transform(kept, lambda w: {noisy})), false)
+  AND list_bool_and(list_transform(kept, lambda w: regexp_matches(w, '^\\p{{Lu}}')))) GROUP BY lead_id"""
+
+
+_MADE = """SELECT lead_id, page_ord, html || '<p>Jane Doe, Broker/Owner</p> <p>Owner: Team Al ' || upper(substr(regexp_replace(lead_id, '[0-9]', 'x', 'g'), 1, 1)) || substr(regexp_replace(lead_id, '[0-9]', 'x', 'g'), 2) || ' Smith</p>' AS html FROM crawl_v"""
+_PICKED = """SELECT c.* FROM crawl_v c JOIN (SELECT lead_id, page_ord FROM (
+ SELECT lead_id, page_ord, home, row_number() OVER (PARTITION BY lead_id, home ORDER BY page_ord) AS k FROM (
+  SELECT lead_id, page_ord, status, length(html) AS size, page_ord = min(page_ord) OVER (PARTITION BY lead_id) AS home FROM crawl_v)
+ WHERE status BETWEEN 1 AND 399 AND (home OR size > 400)) WHERE home OR k <= 4) k USING (lead_id, page_ord)"""
+
 
+def _emails(crawl: str) -> str:
+    return f"""SELECT lead_id, array_to_string(list_slice(list(e ORDER BY o), 1, 5), '|') AS emails FROM (
+ SELECT lead_id, e, min(o) AS o FROM (
+  SELECT lead_id, 0 + page_ord * 1000000 + pos AS o, lower(e) AS e FROM (SELECT lead_id, page_ord, unnest(l) AS e, generate_subscripts(l, 1) AS pos FROM (
+   SELECT lead_id, page_ord, list_reduce(list_prepend(cast([] AS varchar[]), list_transform({_all('html', H.MAILTO, 1)}, lambda x: regexp_extract_all(x, {re_lit(H.EMAIL)}))), lambda a, b: list_concat(a, b)) AS l FROM {crawl}))
+  UNION ALL SELECT lead_id, 1000000000000000 + page_ord * 1000000 + pos, lower(e) FROM (SELECT lead_id, page_ord, unnest(l) AS e, generate_subscripts(l, 1) AS pos FROM (SELECT lead_id, page_ord, {_all('html', H.EMAIL)} AS l FROM {crawl})))
+ WHERE NOT ({_ASSET}) AND NOT ({_JUNK}) AND length(e) <= 60 GROUP BY lead_id, e) GROUP BY lead_id"""
 
-@query()
+
+@query(f"""WITH picked AS ({_PICKED}), mails AS ({_emails('picked')}), phones AS ({_LEAD_PHONES.replace('CRAWL', 'picked')}), people AS ({_people('picked', V.GENERAL_TITLES, V.GENERAL_NON_NAME_WORDS)}),
+ f AS (SELECT lead_id, url AS input_url, final_url, status, cast(starts_with(lower(final_url), 'https://') AS int) AS https, cast(regexp_matches(html, {O.VIEWPORT}) AS int) AS mobile, load_ms, round_even(strlen(html) / 1024.0::double, 1) AS size_kb,
+  {_DEEP} AS builder_live, {_GEN} AS generator, {_T2} AS title, cast({O.has_any('lower(html)', V.ANALYTICS)} AS int) AS has_analytics, {_YEARS} AS copyright_year FROM crawl_v c WHERE page_ord = (SELECT min(page_ord) FROM crawl_v d WHERE d.lead_id = c.lead_id)),
+ q AS (SELECT lead_id, stale, site_quality, CASE WHEN status = 0 OR status >= 400 THEN 'broken' WHEN site_quality >= 75 THEN 'good' WHEN site_quality >= 45 THEN 'weak' ELSE 'neglected' END AS audit_grade FROM ({_QUALITY}))
+ SELECT lead_id, input_url, final_url, status AS http_status, https, mobile, load_ms, size_kb, builder_live, generator, title, has_analytics, copyright_year, stale, site_quality, audit_grade,
+  cast(coalesce((SELECT count(*) FROM picked WHERE picked.lead_id = f.lead_id), 0) AS int) AS pages_crawled, coalesce(emails, '') AS emails, coalesce(phones_found, '') AS phones_found, coalesce(decision_maker, '') AS decision_maker, coalesce(dm_title, '') AS dm_title
+ FROM f JOIN q USING (lead_id) LEFT JOIN mails USING (lead_id) LEFT JOIN phones USING (lead_id) LEFT JOIN people USING (lead_id)""")
 def full_site_audit(t: Tables) -> DataFrame:
     return pages.audit_sites(t.crawl, YEAR)
 
 
-@query()
+@query(f"WITH made AS ({_MADE}) {_people('made', V.BROKERAGE_TITLES, V.NON_NAME_WORDS)}")
 def decision_makers(t: Tables) -> DataFrame:
     who = F.concat(F.lit("<p>Jane Doe, Broker/Owner</p> <p>Owner: Team Al "), F.initcap(F.regexp_replace("lead_id", "[0-9]", "x")), F.lit(" Smith</p>"))
     return pages.decision_maker(t.crawl.withColumn("html", F.concat("html", who)))
 
 
-@query()
+def _clients() -> str:
+    text = "html"
+    for entity, char in (("&mdash;", "—"), ("&ndash;", "–"), ("&quot;", '"'), ("&#39;", "'"), ("&apos;", "'"), ("&nbsp;", " "), ("&lt;", "<"), ("&gt;", ">"), ("&amp;", "&")):
+        text = f"replace({text}, {O.lit(entity)}, {O.lit(char)})"
+    lists = ", ".join(f"regexp_extract_all(t, {O.lit(p)}, 1)" for p in pages._CLIENT)
+    return f"""SELECT DISTINCT label, name, {O.name_key('name')} AS name_key FROM (
+ SELECT label, regexp_replace(unnest(flatten([{lists}])), '^[ .,\\-]+|[ .,\\-]+$', '', 'g') AS name FROM (
+  SELECT label, {text} AS t FROM (SELECT source AS label, '<img alt="' || name || '"> "Great" - Jo Poe, ' || name || ' <cite>client logo</cite>' AS html FROM places_v)))
+ WHERE length(name) >= 3 AND NOT {O.has_any('lower(name)', V.CLIENT_JUNK)}"""
+
+
+@query(_clients())
 def competitor_clients(t: Tables) -> DataFrame:
     noted = t.places.select(F.col("source").alias("label"), F.concat(F.lit('<img alt="'), "name", F.lit('"> "Great" - Jo Poe, '), "name", F.lit(" <cite>client logo</cite>")).alias("html"))
     return pages.client_names(noted)
@@ -270,10 +328,71 @@ def run_web_design(t: Tables) -> DataFrame:
     return profiles.run(profiles.get("web_design"), t.places, t.crawl).select("id", "score", "tier")
 
 
-@query()
+_GAPS = {"hiring": "is hiring a coordinator", "open": "no coordinator found", "in_house": "signs of a coordinator in house", "confirmed": "a competitor's client"}
+
+
+def _coordination(w: dict, known: str | None = None, clients: str | None = None, cap: int | None = None) -> str:
+    """The coordination run: dedupe, known names out, pages of the first leads, score."""
+    crawl = "crawl_v" if cap is None else "pages_of"
+    blobs = f"SELECT lead_id, lower(string_agg(html, chr(10) ORDER BY page_ord)) AS blob FROM {crawl} GROUP BY lead_id"
+    tool = _first_in("blob", V.COORDINATION_SOFTWARE.items())
+    most = "greatest(coalesce(s.n, 0), coalesce(l.n, 0))"
+    roster = f"""SELECT b.lead_id, least(CASE WHEN {most} < 2 THEN greatest({most}, cards) ELSE {most} END, 1000) AS n
+ FROM (SELECT lead_id, max({_CARDS}) AS cards FROM {crawl} GROUP BY lead_id) b
+ LEFT JOIN (SELECT lead_id, count(DISTINCT lower(v)) AS n FROM (SELECT lead_id, unnest({_all('html', H.PROFILE_LINK, 1)}) AS v FROM {crawl}) GROUP BY lead_id) s USING (lead_id)
+ LEFT JOIN (SELECT lead_id, count(DISTINCT v) AS n FROM (SELECT lead_id, unnest({_all('html', H.LICENCE, 1)}) AS v FROM {crawl}) GROUP BY lead_id) l USING (lead_id)"""
+    volume = f"CASE WHEN agent_count > 0 THEN least(cast(trunc(agent_count * {float(w['per_agent'])}::double) AS int), {w['volume_cap']}) ELSE 0 END"
+    need = f"CASE gap WHEN 'hiring' THEN {w['hiring']} WHEN 'open' THEN {w['open']} WHEN 'software' THEN {w['software']} WHEN 'in_house' THEN {w['in_house']} ELSE 0 END"
+    score = f"{volume} + {need} + CASE WHEN phone <> '' THEN {w['phone']} ELSE 0 END + CASE WHEN decision_maker <> '' THEN {w['contact']} ELSE 0 END + CASE WHEN label IS NOT NULL THEN {w['suppressed']} ELSE 0 END"
+    tool_name = "coalesce(nullif(trim(software), ''), 'coordination software')"
+    told = " ".join(f"WHEN '{k}' THEN {O.lit(v)}" for k, v in _GAPS.items())
+    first = f"SELECT * FROM ({_KEYED}) WHERE name_key <> ''" + (f" AND name_key NOT IN ({known})" if known else "")
+    of_pages = "" if cap is None else f" pages_of AS (SELECT * FROM crawl_v WHERE lead_id IN (SELECT id FROM (SELECT id FROM k ORDER BY seq LIMIT {cap}))),"
+    return f"""WITH k AS ({first}),{of_pages}
+ g AS (SELECT k.*, CASE WHEN coalesce(k.website, '') = '' OR blob IS NULL THEN 'unknown' WHEN {O.has_any('blob', V.HIRING_PHRASES)} THEN 'hiring' WHEN {O.has_any('blob', V.IN_HOUSE_PHRASES)} THEN 'in_house' WHEN {tool} IS NOT NULL THEN 'software' ELSE 'open' END AS gap, {tool} AS tool
+  FROM k LEFT JOIN ({blobs}) b ON b.lead_id = k.id),
+ f AS (SELECT g.id, g.phone, g.gap, CASE WHEN gap = 'software' THEN tool END AS software, cast(CASE WHEN gap = 'unknown' THEN 0 ELSE coalesce(r.n, 0) END AS int) AS agent_count, CASE WHEN gap <> 'unknown' THEN p.decision_maker END AS decision_maker, c.label
+  FROM g LEFT JOIN ({roster}) r ON r.lead_id = g.id LEFT JOIN ({_people(crawl, V.BROKERAGE_TITLES, V.NON_NAME_WORDS)}) p ON p.lead_id = g.id
+  LEFT JOIN ({clients or "SELECT cast(NULL AS varchar) AS name_key, cast(NULL AS varchar) AS label"}) c ON c.name_key = g.name_key)
+ SELECT id, gap, agent_count, score, CASE WHEN score >= {w['tier_a']} THEN 'A' WHEN score >= {w['tier_b']} THEN 'B' ELSE 'C' END AS tier, why, opener FROM (SELECT *, cast({score} AS int) AS score,
+  concat_ws('; ', CASE WHEN agent_count > 0 THEN agent_count || ' agents, size points ' || ({volume}) ELSE 'size not known' END, CASE gap {told} WHEN 'software' THEN 'uses ' || {tool_name} ELSE 'coordination unknown' END,
+   CASE WHEN phone <> '' THEN 'phone' END, CASE WHEN decision_maker <> '' THEN 'ask for ' || decision_maker END, CASE WHEN label IS NOT NULL THEN 'client of ' || label END) AS why,
+  CASE WHEN label IS NOT NULL THEN 'Served by ' || label || ': call again when that ends.' ELSE CASE WHEN agent_count > 0 THEN agent_count || ' agents. ' ELSE '' END || CASE gap WHEN 'hiring' THEN 'They want to hire a coordinator: offer the work by the file instead.'
+   WHEN 'open' THEN 'Nobody seems to coordinate: ask who does the paperwork up to closing.' WHEN 'software' THEN 'They run ' || {tool_name} || ': ask who works it for each file.' WHEN 'in_house' THEN 'They coordinate in house: offer cover for busy weeks.' ELSE 'Ask how they coordinate.' END END AS opener FROM f)"""
+
+
+_RUN = ("id", "gap", "agent_count", "score", "tier", "why", "opener")
+
+
+@query(_coordination(V.COORDINATOR_WEIGHTS))
 def run_coordination(t: Tables) -> DataFrame:
-    out = profiles.run(profiles.get("coordination"), t.places, t.crawl)
-    return out.select("id", "gap", "agent_count", "score", "tier", "why", "opener")
+    return profiles.run(profiles.get("coordination"), t.places, t.crawl).select(*_RUN)
+
+
+_OWN_WEIGHTS = {**V.COORDINATOR_WEIGHTS, "hiring": 33, "tier_b": 20}
+
+
+@query(
+    _coordination(
+        _OWN_WEIGHTS, f"SELECT {O.name_key('name')} FROM places_v WHERE seq % 9 = 0",
+        f"SELECT name_key, arg_min(label, seq) AS label FROM (SELECT {O.name_key('name')} AS name_key, source AS label, seq FROM places_v WHERE seq % 4 < 2) WHERE name_key <> '' GROUP BY name_key", 60,
+    )
+)
+def run_with_options(t: Tables) -> DataFrame:
+    """Known names left out, clients of competitors told, only the first leads' pages read,
+    own weights over the profile's."""
+    keyed = t.places.withColumn("name_key", name_key("name"))
+    clients = dedupe.first_label(keyed.filter("seq % 4 < 2").select("name_key", F.col("source").alias("label"), F.col("seq").alias("seed_ord")))
+    out = profiles.run(profiles.get("coordination"), t.places, t.crawl, keyed.filter("seq % 9 = 0"), clients, 60, {"weights": _OWN_WEIGHTS})
+    return out.select(*_RUN)
+
+
+@query(CHOSEN)
+def crawl_snapshot(t: Tables) -> DataFrame:
+    """Pages stored as a snapshot and read back as the crawl source."""
+    path = fresh_path(t.spark, "crawl")
+    t.crawl.write.parquet(path)
+    return pages.select_pages(readers.read_crawl(t.spark, path))
 
 
 @query(f"SELECT page_id, {O.host('url')} AS host FROM pages")
@@ -284,3 +403,18 @@ def page_hosts(t: Tables) -> DataFrame:
 @query("SELECT id, cast(CASE WHEN coalesce(website, '') = '' THEN 'No site yet: offer one page for ' || concat_ws(' in ', nullif(trim(category), ''), nullif(trim(city), '')) WHEN contains(lower(website), 'facebook') OR contains(lower(website), 'instagram') THEN 'Only a social page: offer a site that searches can find.' WHEN starts_with(lower(website), 'http://') THEN 'Plain HTTP, marked as not secure by browsers: offer a rebuild with a certificate.' ELSE 'Has a site: look at its quality first.' END AS varchar) AS opener FROM places_v")
 def opener_lines(t: Tables) -> DataFrame:
     return t.places.select("id", S.site_need_opener("website", "category", "city").alias("opener"))
+
+
+_AGENTS = "SELECT id, cast(seq % 60 AS int) AS n, CASE seq % 5 WHEN 1 THEN 'open' WHEN 2 THEN 'software' WHEN 3 THEN 'in_house' ELSE 'unknown' END AS gap, website, category, city, CASE WHEN seq % 3 = 0 THEN 'Dotloop' END AS tool FROM places_v"
+
+
+@query(f"""SELECT id, CASE WHEN coalesce(website, '') = '' THEN 'No site: offer one page that is found for ''' || trim(concat_ws(' ', lower(coalesce(nullif(trim(category), ''), 'business')), nullif(trim(city), ''))) || ''' and rings on a tap.'
+ WHEN contains(lower(website), 'yelp') THEN 'Only a directory listing: offer a domain of their own.' WHEN contains(lower(website), 'facebook') OR contains(lower(website), 'instagram') THEN 'Only social pages: offer a site beside them.'
+ WHEN starts_with(lower(website), 'http://') THEN 'No certificate, so browsers warn: offer a rebuild that has one.' ELSE 'Has a site: see what it is worth first.' END AS site_opener,
+ CASE WHEN n > 0 THEN n || '-agent ' ELSE '' END || CASE gap WHEN 'open' THEN 'brokerage without coordination tools: ask who does the files now.' WHEN 'software' THEN 'brokerage with ' || coalesce(tool, 'coordination software') || ': ask who works it.'
+  WHEN 'in_house' THEN 'brokerage with a coordinator of its own: offer to step in when files pile up.' ELSE 'brokerage: ask how files are coordinated.' END AS coordinator_opener FROM ({_AGENTS})""")
+def opener_lines_v0(t: Tables) -> DataFrame:
+    k = F.col("seq") % 5
+    gap = F.when(k == 1, "open").when(k == 2, "software").when(k == 3, "in_house").otherwise("unknown")
+    rows = t.places.withColumns({"n": (F.col("seq") % 60).cast("int"), "gap": gap, "tool": F.when(F.col("seq") % 3 == 0, "Dotloop")})
+    return rows.select("id", S.site_need_opener_v0("website", "category", "city").alias("site_opener"), S.coordinator_opener_v0("n", "gap", "tool").alias("coordinator_opener"))

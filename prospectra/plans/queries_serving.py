@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from ..functions import values as V
 from ..operators import aggregates as A
 from ..operators import joins, serving, state
+from ..operators.shared import fresh_path
 from ..sources import sinks
 from . import oracle as O
 from .registry import Tables, query
@@ -101,7 +102,7 @@ def scraper_summary(t: Tables) -> DataFrame:
 
 @query(f"SELECT id, site_score FROM ({SITES}) ORDER BY site_score NULLS LAST, id LIMIT 60")
 def worst_first(t: Tables) -> DataFrame:
-    return sites(t).orderBy(F.col("site_score").asc_nulls_last(), "id").limit(60).select("id", "site_score")
+    return serving.worst_first(sites(t), 60).select("id", "site_score")
 
 
 @query("SELECT * FROM (SELECT 'city' AS facet, city AS value, count(*) AS n FROM leads_v WHERE city <> '' GROUP BY city ORDER BY n DESC, city LIMIT 300) UNION ALL SELECT * FROM (SELECT 'category', category, count(*) AS n FROM leads_v WHERE category <> '' GROUP BY category ORDER BY n DESC, category LIMIT 300) UNION ALL SELECT 'builder', builder, count(*) FROM leads_v WHERE builder <> '' GROUP BY builder")
@@ -184,12 +185,55 @@ def market_gap_top_niches(t: Tables) -> DataFrame:
     return A.market_gap(t.leads, "category").orderBy(F.desc("warm_leads"), "niche").limit(25)
 
 
+_CITY_ROWS = f"SELECT * FROM ({_gap_sql('city', 'city', '(unknown)')}) ORDER BY warm_leads DESC, city LIMIT 20"
+_NICHE_ROWS = f"SELECT * FROM ({_gap_sql('category', 'niche', '(uncategorized)')}) ORDER BY warm_leads DESC, niche LIMIT 25"
+
+
+@query(f"""SELECT 'niche' AS part, niche AS item, cast(NULL AS varchar) AS city, warm_leads, no_website AS n FROM ({_NICHE_ROWS})
+ UNION ALL SELECT 'city', NULL, city, warm_leads, no_website FROM ({_CITY_ROWS}) UNION ALL SELECT 'cell', niche, city, NULL, n FROM (SELECT * FROM ({_CELLS}) ORDER BY n DESC, niche, city LIMIT 30)""")
+def market_gap_report(t: Tables) -> DataFrame:
+    parts = A.market_gap_report(t.leads)
+    none = F.lit(None).cast("string")
+    niches = parts["top_niches"].select(F.lit("niche").alias("part"), F.col("niche").alias("item"), none.alias("city"), "warm_leads", F.col("no_website").alias("n"))
+    cities = parts["top_cities"].select(F.lit("city").alias("part"), none.alias("item"), "city", "warm_leads", F.col("no_website").alias("n"))
+    cells = parts["hottest_cells"].select(F.lit("cell").alias("part"), F.col("niche").alias("item"), "city", F.lit(None).cast("long").alias("warm_leads"), "n")
+    return niches.unionByName(cities).unionByName(cells)
+
+
+_HAVE = [c for c in V.FULL_EXPORT_FIELDS if c not in ("alt_categories", "phones_all", "websites_all", "zip", "country", "source_dataset", "source_id")]
+
+
+@query(" UNION ALL ".join([
+    "SELECT 'size' AS part, 'businesses' AS item, count(*) AS n, '' AS text FROM leads_v", "SELECT 'size', 'niches', count(DISTINCT nullif(category, '')), '' FROM leads_v", "SELECT 'size', 'cities', count(DISTINCT nullif(city, '')), '' FROM leads_v",
+    *[f"SELECT 'column', '{c}', cast(round_even(100.0 * count(*) FILTER (WHERE length(trim(cast({c} AS varchar))) > 0) / count(*), 0) AS bigint), {O.lit(V.COLUMN_TEXTS[c])} FROM leads_v" for c in _HAVE],
+    "SELECT 'tier', tier, count(*), '' FROM leads_v GROUP BY tier", "SELECT 'fit', industry_fit, count(*), '' FROM leads_v GROUP BY industry_fit",
+    "SELECT 'niche', category, n, '' FROM (SELECT category, count(*) AS n FROM leads_v WHERE category <> '' GROUP BY category ORDER BY n DESC, category LIMIT 25)",
+]))
+def data_dictionary(t: Tables) -> DataFrame:
+    parts = A.data_dictionary(t.leads)
+    row = lambda df, part, item, n, text="''": df.select(F.lit(part).alias("part"), F.expr(item).alias("item"), F.expr(n).cast("long").alias("n"), F.expr(text).alias("text"))
+    size = parts["size"].unpivot([], ["businesses", "niches", "cities"], "item", "n")
+    out = row(size, "size", "item", "n").unionByName(row(parts["columns"], "column", "column_name", "fill_pct", "text"))
+    for part, name, item in (("tier", "tiers", "tier"), ("fit", "fits", "industry_fit"), ("niche", "top_niches", "category")):
+        out = out.unionByName(row(parts[name], part, item, "n"))
+    return out
+
+
+@query("SELECT id, name, category, website, city FROM leads_v")
+def json_lines(t: Tables) -> DataFrame:
+    """Leads written as JSON lines and read back: nulls and other letters stay."""
+    path = fresh_path(t.spark, "json-lines")
+    rows = t.leads.select("id", "name", "category", "website", "city")
+    sinks.write_jsonl(rows, path)
+    return t.spark.read.schema(rows.schema).json(path)
+
+
 @query("SELECT trim(replace(coalesce(nullif(category, ''), 'business'), '_', ' ')) AS niche, count(*) AS warm_leads, round_even(cast(sum(outreach_score) AS double) / count(*), 1) AS avg_score, count(*) FILTER (WHERE tier = 'A') AS tier_a FROM warm_v GROUP BY 1 ORDER BY warm_leads DESC, niche LIMIT 40")
 def warm_by_niche(t: Tables) -> DataFrame:
     return A.warm_by_niche(serving.callable_warm(t.leads))
 
 
-_RANKED = "SELECT id, name, outreach_score, cast(row_number() OVER (ORDER BY outreach_score DESC, coalesce(category, ''), coalesce(name, ''), id) AS int) AS rank, tier FROM warm_v"
+_RANKED = "SELECT id, name, outreach_score, row_number() OVER (ORDER BY outreach_score DESC, coalesce(category, ''), coalesce(name, ''), id) AS rank, tier FROM warm_v"
 
 
 @query(f"SELECT id, name, outreach_score, rank, CASE WHEN outreach_score >= 80 THEN 'hot' WHEN outreach_score >= 65 THEN 'warm' ELSE '' END AS band FROM ({_RANKED}) WHERE rank <= 300")
@@ -197,7 +241,7 @@ def top_calls(t: Tables) -> DataFrame:
     return serving.top_calls(serving.callable_warm(t.leads)).select("id", "name", "outreach_score", "rank", "band")
 
 
-@query("SELECT id, rank FROM (SELECT id, cast(row_number() OVER (ORDER BY outreach_score DESC, coalesce(category, ''), coalesce(name, ''), id) AS int) AS rank FROM warm_v WHERE tier = 'B') WHERE rank <= 200")
+@query("SELECT id, rank FROM (SELECT id, row_number() OVER (ORDER BY outreach_score DESC, coalesce(category, ''), coalesce(name, ''), id) AS rank FROM warm_v WHERE tier = 'B') WHERE rank <= 200")
 def top_calls_tier_b(t: Tables) -> DataFrame:
     return serving.call_sheet(serving.callable_warm(t.leads))["tier_b"].select("id", "rank")
 
@@ -263,11 +307,11 @@ def region_summary(t: Tables) -> DataFrame:
     return A.region_summary(t.leads.withColumn("county", F.col("state")))
 
 
-CALLED = "SELECT lead_id AS id, CASE WHEN updated_at >= TIMESTAMP '2024-01-28' THEN '2024-01-31' ELSE strftime(updated_at, '%Y-%m-%d') END AS last_contacted FROM crm_v"
+CALLED = "SELECT lead_id AS id, CASE WHEN updated_at >= TIMESTAMP '2024-01-30 12:00:00' THEN '2024-01-31' ELSE strftime(updated_at, '%Y-%m-%d') END AS last_contacted FROM crm_v"
 
 
 def called(t: Tables) -> DataFrame:
-    day = F.when(F.col("updated_at") >= "2024-01-28", AS_OF).otherwise(F.date_format("updated_at", "yyyy-MM-dd"))
+    day = F.when(F.col("updated_at") >= "2024-01-30 12:00:00", AS_OF).otherwise(F.date_format("updated_at", "yyyy-MM-dd"))
     return t.crm.select(F.col("lead_id").alias("id"), day.alias("last_contacted"))
 
 
@@ -352,9 +396,9 @@ def skip_done(t: Tables) -> DataFrame:
     return joins.skip_done(t.leads, t.audit, "id", "lead_id").select("id")
 
 
-@query(f"SELECT lead_id, checked_at FROM ({ROWS}) WHERE lead_id NOT IN (SELECT lead_id FROM audit_v)")
+@query(f"SELECT lead_id, checked_at FROM ({ROWS}) WHERE lead_id NOT IN (SELECT lead_id FROM audit_v WHERE audit_grade = 'weak')")
 def resumed_audit(t: Tables) -> DataFrame:
-    return state.first_audits(audit_rows(t), t.audit).select("lead_id", "checked_at")
+    return state.first_audits(audit_rows(t), t.audit.filter("audit_grade = 'weak'")).select("lead_id", "checked_at")
 
 
 @query("""SELECT id, CASE WHEN http_status > 0 AND http_status < 400 THEN 'Yes' WHEN website <> '' THEN 'No' ELSE '' END AS reachable,

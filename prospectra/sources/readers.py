@@ -127,8 +127,8 @@ def read_leads(spark: SparkSession, path: str, schema: T.StructType = LEAD_SCHEM
 
 
 def county_of(path: str = "path"):
-    """County named by a file or folder like napa_leads_full.csv."""
-    return F.initcap(F.replace(F.regexp_extract(path, r"([a-z_]+)_leads_full\.[a-z]+$", 1), F.lit("_"), F.lit(" ")))
+    """County named by a file like napa_leads_full.csv, or by such a folder of files."""
+    return F.initcap(F.replace(F.regexp_extract(path, r"([a-z_]+)_leads_full\.[a-z]+(?:/[^/]*)?$", 1), F.lit("_"), F.lit(" ")))
 
 
 def read_counties(spark: SparkSession, paths) -> DataFrame:
@@ -172,9 +172,13 @@ def normalize_listings(df: DataFrame, column: str = "json", site: str = "https:/
     )
 
 
+#: Fields of a captured page.
+CRAWL_SCHEMA = "lead_id string, page_ord bigint, url string, final_url string, status int, load_ms int, html string"
+
+
 def read_crawl(spark: SparkSession, path: str) -> DataFrame:
-    """Captured pages: one row a fetched page."""
-    return spark.read.parquet(path)
+    """Captured pages: one row a fetched page. A field that the files lack is null."""
+    return spark.read.schema(CRAWL_SCHEMA).parquet(path)
 
 
 _PAGESPEED = T.StructType(

@@ -35,21 +35,36 @@ def session_counts_stream(activity: DataFrame, gap: str = "30 minutes", late: st
 
 class CrmTable:
     """CRM state as snapshots under one folder; each micro-batch of patches makes the
-    next one from the last. A batch that is run again makes the same snapshot, so the
-    sink is exact once the checkpoint is."""
+    next one from the newest complete one before it. The folder alone holds the state, so
+    a restart goes on where the last run ended, and a batch that is run again makes the
+    same snapshot: the sink is exact once the checkpoint is.
+
+    A snapshot is complete when its _SUCCESS file is there. The last KEPT are kept."""
+
+    KEPT = 3
 
     def __init__(self, spark: SparkSession, path: str) -> None:
-        self.spark, self.path, self.last = spark, path.rstrip("/"), None
+        self.spark, self.path = spark, path.rstrip("/")
+        self._root = spark._jvm.org.apache.hadoop.fs.Path(self.path)
+        self._files = self._root.getFileSystem(spark._jsc.hadoopConfiguration())
+
+    def _snapshots(self) -> list[int]:
+        """Numbers of the complete snapshots, oldest first."""
+        done = self._files.globStatus(self.spark._jvm.org.apache.hadoop.fs.Path(f"{self.path}/v=*/_SUCCESS"))
+        return sorted(int(d.getPath().getParent().getName()[2:]) for d in done or [])
+
+    def _folder(self, number: int) -> str:
+        return f"{self.path}/v={number:020d}"
 
-    def read(self) -> DataFrame:
-        return state.empty_crm(self.spark) if self.last is None else self.spark.read.parquet(self.last)
+    def read(self, below: int | None = None) -> DataFrame:
+        """The newest complete snapshot, of those before ``below`` if that is given."""
+        have = [n for n in self._snapshots() if below is None or n < below]
+        return self.spark.read.schema(state.empty_crm(self.spark).schema).parquet(self._folder(have[-1])) if have else state.empty_crm(self.spark)
 
     def merge(self, patches: DataFrame, batch_id: int, leads: DataFrame) -> None:
-        now = f"{self.path}/v={batch_id:020d}"
-        if self.last == now:
-            return
-        state.apply_crm_patches(self.read(), patches, leads).write.mode("overwrite").parquet(now)
-        self.last = now
+        state.apply_crm_patches(self.read(batch_id), patches, leads).write.mode("overwrite").parquet(self._folder(batch_id))
+        for old in self._snapshots()[: -self.KEPT]:
+            self._files.delete(self.spark._jvm.org.apache.hadoop.fs.Path(self._folder(old)), True)
 
 
 def stream_patches(patches: DataFrame, table: CrmTable, leads: DataFrame, checkpoint: str, **trigger) -> StreamingQuery:

@@ -2,12 +2,13 @@
 
 import json
 
+import numpy as np
 import pytest
 from prospectra.functions import columns as C
 from prospectra.functions import scoring as S
 from prospectra.functions import values as V
-from prospectra.operators import aggregates, catalogue, dedupe, joins, pages, state
-from prospectra.plans import profiles
+from prospectra.operators import aggregates, catalogue, dedupe, joins, pages, serving, state
+from prospectra.plans import profiles, registry
 from prospectra.sources import readers, sinks
 from prospectra.streaming import jobs
 from pyspark.sql import functions as F
@@ -177,7 +178,7 @@ def test_streams_equal_batches(spark, tmp_path):
 
 
 def test_sinks_write_what_is_declared(spark, tmp_path):
-    df = spark.createDataFrame([("é", None)], "a string, b string")
+    df = spark.createDataFrame([("é", None)], "a string, b string").coalesce(1)
     sinks.write_jsonl(df, str(tmp_path / "j"))
     text = next((tmp_path / "j").glob("part*")).read_text()
     assert json.loads(text) == {"a": "é", "b": None} and "é" in text
@@ -209,6 +210,96 @@ def test_rank_equals_a_global_window(spark):
     assert [r.rank for r in got.orderBy(F.col("v").desc(), "id").collect()] == list(range(1, 1001))
 
 
+@pytest.mark.parametrize("adaptive", ["true", "false"])
+def test_ranks_of_many_wide_rows(spark, adaptive):
+    """Columns that are pruned later, several partitions: no rank is lost or given twice."""
+    rows = spark.range(200_000).withColumns({"v": F.col("id") * 7919 % 1009, "wide": F.repeat(F.lit("x"), 200)}).repartition(7)
+    old = {k: spark.conf.get(k) for k in ("spark.sql.adaptive.enabled", "spark.sql.shuffle.partitions")}
+    spark.conf.set("spark.sql.adaptive.enabled", adaptive)
+    spark.conf.set("spark.sql.shuffle.partitions", "9")
+    try:
+        got = catalogue.rank_rows(rows, F.col("v").desc(), F.col("id").asc()).select("id", "v", "rank")
+        assert got._jdf.queryExecution().toString().count("rangepartitioning") == 0  # stored once
+        found = np.array([tuple(r) for r in got.collect()])
+    finally:
+        for k, v in old.items():
+            spark.conf.set(k, v)
+    order = np.lexsort((found[:, 0], -found[:, 1]))
+    assert len(found) == 200_000 and (found[order, 2] == np.arange(1, 200_001)).all()
+
+
+def test_hot_names_split(spark, tmp_path):
+    """With nine tenths of the rows under one name, the join's tasks stay even."""
+    rows = spark.range(400_000).selectExpr("id", "CASE WHEN id % 10 > 0 THEN 'hot' ELSE concat('n', id) END AS name", "'' AS brand", "repeat(cast(id AS string), 4) AS wide").repartition(8)
+    settings = {
+        "spark.sql.autoBroadcastJoinThreshold": "-1", "spark.sql.adaptive.autoBroadcastJoinThreshold": "-1", "spark.sql.adaptive.skewJoin.skewedPartitionThresholdInBytes": "200k",
+        "spark.sql.adaptive.advisoryPartitionSizeInBytes": "200k", "spark.sql.adaptive.skewJoin.skewedPartitionFactor": "2", "spark.sql.shuffle.partitions": "8",
+    }
+    old = {k: spark.conf.get(k, None) for k in settings}
+    for k, v in settings.items():
+        spark.conf.set(k, v)
+    try:
+        for k, df in enumerate((catalogue.join_name_counts(rows), catalogue.office_counts(rows, "name"))):
+            df.write.parquet(str(tmp_path / str(k)))
+            sizes = [r["count"] for r in spark.read.parquet(str(tmp_path / str(k))).groupBy(F.input_file_name()).count().collect()]
+            assert sum(sizes) == 400_000 and max(sizes) <= 2 * 400_000 / len(sizes) and len(sizes) >= 4, sizes
+    finally:
+        for k, v in old.items():
+            spark.conf.unset(k) if v is None else spark.conf.set(k, v)
+
+
+def test_audits_read_pages_once_and_shuffle_no_html(spark):
+    crawl = registry.Tables(spark, "/root/testdata/sf0.001").crawl
+    for df in (pages.audit_sites(crawl), pages.audit_fronts(crawl), pages.contact_phones(crawl), pages.decision_maker(crawl)):
+        plan = df._jdf.queryExecution().executedPlan().toString()
+        assert not [x for x in plan.splitlines() if "Exchange" in x and "html" in x]
+    assert "pages.parquet" not in pages.audit_sites(crawl)._jdf.queryExecution().executedPlan().toString()
+
+
+def test_call_scores_are_worked_out_once(spark):
+    """The filter stands above the scores instead of repeating what they are made of."""
+    t = registry.Tables(spark, "/root/testdata/sf0.001")
+    plan = serving.callable_warm(t.leads).select("id")._jdf.queryExecution().optimizedPlan().toString()
+    assert len(plan) < 60_000
+
+
+def test_crm_goes_on_after_a_restart(spark, tmp_path):
+    leads = spark.createDataFrame([("a",), ("b",), ("c",)], "id string")
+    patch = lambda n, lead: spark.sql(f"SELECT {n} AS event_id, timestamp'2024-01-0{n}' AS ts, '{lead}' AS lead_id, map('status', 'Won', 'notes', 'n{n}') AS patch")
+    for n, lead in enumerate("abcab", 1):
+        jobs.CrmTable(spark, str(tmp_path)).merge(patch(n, lead), n, leads)  # each time a new object
+    (tmp_path / f"v={9:020d}").mkdir()  # a snapshot that was never finished
+    jobs.CrmTable(spark, str(tmp_path)).merge(patch(5, "b"), 5, leads)  # a batch that runs again
+    every = patch(1, "a")
+    for n, lead in enumerate("bcab", 2):
+        every = every.unionByName(patch(n, lead))
+    want = state.apply_crm_patches(state.empty_crm(spark), every, leads)
+    assert sorted(map(str, jobs.CrmTable(spark, str(tmp_path)).read().collect())) == sorted(map(str, want.select(*state.empty_crm(spark).columns).collect()))
+    assert len(list(tmp_path.glob("v=*/_SUCCESS"))) == jobs.CrmTable.KEPT
+
+
+def test_targets_and_sessions_of_streams(spark, tmp_path):
+    rows = spark.sql("""SELECT 'a' AS lead_id, 'x' AS account_id, timestamp'2024-01-01 10:00:00' AS at UNION ALL SELECT 'a', 'x', timestamp'2024-01-01 10:10:00'
+     UNION ALL SELECT 'b', 'x', timestamp'2024-01-01 11:00:00' UNION ALL SELECT 'c', 'y', timestamp'2024-01-01 10:00:00'""")
+    rows.coalesce(1).write.parquet(str(tmp_path / "in"))
+    stream = lambda: spark.readStream.schema(rows.schema).parquet(str(tmp_path / "in"))
+    for name, df, mode in (("targets", jobs.new_targets_stream(stream()), "append"), ("sittings", jobs.session_counts_stream(stream().withColumnRenamed("at", "created_at")), "complete")):
+        df.writeStream.format("memory").queryName(name).outputMode(mode).trigger(availableNow=True).start().awaitTermination()
+    assert sorted(r.lead_id for r in spark.table("targets").collect()) == ["a", "b", "c"]
+    assert sorted((r.account_id, r.n) for r in spark.table("sittings").collect()) == [("x", 1), ("x", 2), ("y", 1)]
+
+
+def test_seeds_are_labelled_by_host():
+    label = profiles.seed_labels
+    assert label(None) == {} and label({"a": "u"}) == {"a": "u"}
+    assert label(["https://Me@One.com:80/x", " ", "two.com", "http://one.com/y"]) == {"one.com": "http://one.com/y", "competitor_2": "two.com"}
+
+
+def test_county_of_a_file_or_folder(spark):
+    rows = spark.createDataFrame([("/x/santa_clara_leads_full.csv",), ("file:/x/napa_leads_full.csv/part-0.csv",), ("/x/other.csv",)], "path string")
+    assert [r[0] for r in rows.select(readers.county_of("path")).collect()] == ["Santa Clara", "Napa", ""]
+
+
 def test_market_boxes_overlap(spark):
     boxes = spark.createDataFrame([("a", 0.0, 0.0, 2.0, 2.0), ("b", 1.0, 1.0, 3.0, 3.0)], "market string, south double, west double, north double, east double")
     places = spark.createDataFrame([(1, 1.0, 2.0), (2, 0.0, 0.0), (3, 9.0, 9.0), (4, None, 1.0)], "id int, lat double, lon double")
