@@ -3,12 +3,14 @@
 from __future__ import annotations
 
 import os
-import tempfile
-import uuid
+import re
+from collections.abc import Iterator
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..operators.shared import cut, fresh_path, shared_dir
+
 #: Characters that separate words: space, and tab to carriage return.
 SPACE = r"[ \t\n\x0B\f\r]+"
 
@@ -25,29 +27,62 @@ def ship_package(spark: SparkSession) -> None:
         spark.sparkContext.environment["PYTHONPATH"] = f"{root}:{known}" if known else root
 
 
-def shared_dir(spark: SparkSession) -> str:
-    """The folder all executors share, from spark.checkpoint.dir. Only where the
-    setting is absent (local tests) a temporary folder of the driver is taken."""
-    found = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
-    if not found:
-        found = "file://" + tempfile.mkdtemp(prefix="spark-shared-")
-        spark.sparkContext.setCheckpointDir(found)
-    return found.rstrip("/")
+def unused(df: DataFrame, *names: str) -> list[str]:
+    """``names``, each led by as many underscores as keep it apart from the columns."""
+    taken = {c.lower() for c in df.columns}
+    out = []
+    for name in names:
+        while name.lower() in taken:
+            name = "_" + name
+        taken.add(name.lower())
+        out.append(name)
+    return out
+
+
+#: Folders that operators wrote in this process, oldest first.
+_written: list[str] = []
+
+
+def scratch(spark: SparkSession, what: str) -> str:
+    """A fresh folder in the shared one, which clear() removes."""
+    _written.append(fresh_path(spark, what))
+    return _written[-1]
 
 
 def stored(df: DataFrame, what: str) -> DataFrame:
     """Write ``df`` to a fresh table in the shared folder and read it back: it is
     computed once, its lineage is cut and it survives the loss of executors."""
-    spark = df.sparkSession
-    path = f"{shared_dir(spark)}/{what}-{uuid.uuid4().hex}"
+    path = scratch(df.sparkSession, what)
     df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
+def marked() -> int:
+    """A point in time for clear()."""
+    return len(_written)
 
 
-def cut(df: DataFrame) -> DataFrame:
-    """Eager checkpoint in the shared folder, for small intermediate tables."""
-    shared_dir(df.sparkSession)
-    return df.checkpoint()
+def clear(spark: SparkSession, since: int = 0, but: int = 0) -> None:
+    """Remove the folders that operators wrote since marked(), except the last ``but``.
+    What was made from them must have been written by then."""
+    end = len(_written) - but
+    for path in _written[since:end]:
+        folder = spark._jvm.org.apache.hadoop.fs.Path(path)
+        folder.getFileSystem(spark._jsc.hadoopConfiguration()).delete(folder, True)
+    del _written[since:end]
+
+
+_SPACE_BYTE = re.compile(rb"[ \t-\r]")
+
+
+def parts_of(data: bytes, step: int) -> Iterator[bytes]:
+    """``data`` in parts of about ``step`` bytes, cut at white space."""
+    at = 0
+    while at < len(data):
+        end = _SPACE_BYTE.search(data, at + step) if len(data) - at > step else None
+        end = end.start() if end else len(data)
+        yield data[at:end]
+        at = end
 
 
 def id_crc32(doc_id: Column) -> Column:
@@ -57,3 +92,8 @@ def id_crc32(doc_id: Column) -> Column:
 
 def text_or_empty(text: Column) -> Column:
     return F.coalesce(text, F.lit(""))
+
+
+__all__ = [
+    "SPACE", "clear", "cut", "id_crc32", "marked", "parts_of", "scratch", "shared_dir", "ship_package", "stored", "table", "text_or_empty", "unused",
+]
