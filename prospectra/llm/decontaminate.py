@@ -5,7 +5,7 @@ with other values keeps its template. A document holds an item if SPAN template
 in a row (or all tokens of a shorter item) agree, no GRAM of them in a row are all
 slots, and over the span each slot value of the item stands for one value of the
 document and back. A span with such a run of numbers and units is held if all its
-tokens agree word for word, regardless of case.
+tokens agree word for word, regardless of case, and so is an item of very few tokens.
 
 Candidates come from a hash join. Item windows of GRAM tokens are taken at every
 offset, document windows at multiples of GRAM only: a span of 2 * GRAM - 1 tokens
@@ -18,7 +18,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import cut, text_or_empty
+from .common import cut, text_or_empty, unused
 
 TOKEN = r"[\p{L}\p{M}]+|\p{Nd}+(?:[.,:/]\p{Nd}+)*|[%$€£]"
 #: Letters of scripts that put no spaces between words (Thai, Lao, Burmese, Khmer, kana, Han).
@@ -32,8 +32,10 @@ UNITS = (
 ).split()
 GRAM = 5
 SPAN = 13
-#: Items with fewer tokens are no evidence and never match.
+#: Items with fewer tokens are held word for word only; those with fewer than IN_TEXT, which
+#: any text may hold by chance, by a text that has no other token.
 SHORTEST = 5
+IN_TEXT = 3
 #: Windows (16 bytes each) up to which the item side is broadcast.
 BROADCAST_WINDOWS = 1_000_000
 NUMBER, NAME, UNIT = "\ue000", "\ue001", "\ue002"
@@ -69,10 +71,13 @@ def _slot(token: Column) -> Column:
 
 def _windows(form: str, size: Column, step: int, length: int | Column) -> Column:
     """Windows of a form at multiples of ``step``: (at, h). If all are slots, h is null
-    with names as slots, and that of the raw tokens with names as words."""
+    with names as slots, and that of the raw tokens with names as words. The form `raw`
+    has the raw tokens' hash throughout."""
     length = F.lit(length) if isinstance(length, int) else length
 
     def window(i: Column) -> Column:
+        if form == "raw":
+            return F.struct(i.alias("at"), F.xxhash64(F.lit("raw"), F.transform(F.slice("raw", i + 1, length), F.lower)).alias("h"))
         part = F.slice(form, i + 1, length)
         as_is = F.xxhash64(F.lit("raw"), F.transform(F.slice("raw", i + 1, length), F.lower)) if form == "worded" else F.lit(None)
         return F.struct(i.alias("at"), F.when(~F.forall(part, _slot), F.xxhash64(F.lit(form), part)).otherwise(as_is).alias("h"))
@@ -90,7 +95,8 @@ def _candidates(docs: DataFrame, items: DataFrame) -> DataFrame:
     windows that they share in either form."""
     size = F.size("worded")
     short = (size >= SHORTEST) & (size < 2 * GRAM - 1)
-    parts = []
+    few = items.filter((size > 0) & (size < SHORTEST))
+    parts = [few.select("item_id", size.alias("length"), F.lit(0).alias("step"), F.explode(_windows("raw", size, 1, size)).alias("w"))]
     for form in FORMS:
         cut_up = items.filter(size >= 2 * GRAM - 1).select("item_id", F.lit(GRAM).alias("length"), F.lit(GRAM).alias("step"), F.explode(_windows(form, size, 1, GRAM)).alias("w"))
         whole = items.filter(short).select("item_id", size.alias("length"), F.lit(1).alias("step"), F.explode(_windows(form, size, 1, size)).alias("w"))
@@ -104,9 +110,12 @@ def _candidates(docs: DataFrame, items: DataFrame) -> DataFrame:
 
     def tagged(form: str, length: int, step: int) -> Column:
         tag = lambda w: F.struct(F.lit(length).alias("length"), F.lit(step).alias("step"), w["at"].alias("at"), w["h"].alias("h"))
-        return F.transform(_windows(form, size, step, length), tag)
+        found = F.transform(_windows(form, size, step or 1, length), tag)
+        return found if step or length >= IN_TEXT else F.when(size == length, found)
 
-    windows = [tagged(form, *kind) for kind in kinds for form in FORMS]
+    # a step of 0 marks items with few tokens
+    windows = [tagged(form, *kind) for kind in kinds if kind["step"] for form in FORMS]
+    windows += [tagged("raw", kind["length"], 0) for kind in kinds if not kind["step"]]
     if item_side.count() <= BROADCAST_WINDOWS:
         item_side = F.broadcast(item_side)
     none = F.expr("cast(array() AS array<struct<length: int, step: int, at: int, h: bigint>>)")
@@ -120,14 +129,15 @@ def _fits(form: str) -> Column:
     """Offsets in an item of spans in which no GRAM tokens in a row are all slots."""
     n = F.col("n")
     barren = F.filter(F.sequence(F.lit(0), F.size(form) - GRAM), lambda k: F.forall(F.slice(form, k + 1, GRAM), _slot))
-    return F.filter(
+    none = F.array().cast("array<int>")
+    return F.when(F.size(form) < SHORTEST, none).otherwise(F.filter(
         F.sequence(F.lit(0), F.size(form) - n),
         lambda i: ~F.exists(barren, lambda k: (k >= i) & (k <= i + n - GRAM)),
-    )
+    ))
 
 
 def _rest() -> Column:
-    """Offsets in an item of the other spans, with names as words."""
+    """Offsets in an item of the other spans, with names as words; all of a short one."""
     return F.array_except(F.sequence(F.lit(0), F.size("worded") - F.col("n")), _fits("worded"))
 
 
@@ -167,13 +177,14 @@ def contaminated(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
     """(doc_id, item_id, item_tokens): documents that hold an item, with the number of
     the item's tokens. One row for each such pair of ids.
 
-    Null, empty and short texts hold nothing, nor do items of fewer than SHORTEST
-    tokens, or documents with a null id; spans with GRAM slots in a row are held only
-    word for word. Rows repeated with one id count once. Empty tables give an empty
-    result.
+    Null texts and texts without a token hold nothing and are held by none, nor do
+    documents with a null id. Spans with GRAM slots in a row and items of fewer than
+    SHORTEST tokens are held only word for word. Rows repeated with one id count once, as
+    do ties between spans. A text of any length is read whole. Other columns are ignored.
+    Empty tables give an empty result.
     """
     size = F.size("worded")
-    read = templates(benchmark.select("item_id", "text"), "item_id").filter(size >= SHORTEST).withColumn("n", F.least(size, F.lit(SPAN)))
+    read = templates(benchmark.select("item_id", "text"), "item_id").filter(size > 0).withColumn("n", F.least(size, F.lit(SPAN)))
     items = cut(read.select("item_id", "n", "raw", "worded", "named", *_forms("item"), *[_fits(f).alias(f"fits_{f}") for f in FORMS], _rest().alias("rest")))
     pairs = cut(_candidates(templates(docs.filter("doc_id is not null"), "doc_id"), items))
     chosen = pairs.select(F.col("doc_id").alias("_chosen")).distinct().hint("shuffle_hash")
@@ -185,6 +196,8 @@ def contaminated(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
 
 
 def drop_contaminated(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
-    """The rows of ``docs`` that hold no item, columns unchanged."""
-    bad = contaminated(docs, benchmark).select(F.col("doc_id").alias("_bad")).distinct()
-    return docs.join(bad.hint("shuffle_hash"), docs["doc_id"] == F.col("_bad"), "left_anti")
+    """The rows of ``docs`` that hold no item, columns unchanged whatever their names. Rows
+    repeated with one id go together; rows with a null id stay."""
+    (bad_id,) = unused(docs, "bad")
+    bad = contaminated(docs, benchmark).select(F.col("doc_id").alias(bad_id)).distinct()
+    return docs.join(bad.hint("shuffle_hash"), docs["doc_id"] == F.col(bad_id), "left_anti")

@@ -26,11 +26,11 @@ def _held(named: bool) -> str:
     barren = f"coalesce(list_bool_or(list_transform(range(0, n - {D.GRAM} + 1), lambda k: list_bool_and(list_transform(span[k + 1:k + {D.GRAM}], lambda t: t IN ({slots}))))), false)"
     cut = lambda key, extra="": f"SELECT {key}, n, tpl[i + 1:i + n] AS span, val[i + 1:i + n] AS vals{extra} FROM (SELECT *, unnest(range(0, len(tpl) - n + 1)) AS i FROM"
     return f"""WITH docs AS ({_templates('documents', 'doc_id', named)}), items AS ({_templates('benchmark', 'item_id', named)}),
-b AS (SELECT *, least(len(tpl), {D.SPAN}) AS n, len(tpl) AS item_tokens FROM items WHERE len(tpl) >= {D.SHORTEST}),
-bw AS ({cut('item_id', ', item_tokens')} b)),
-dw AS ({cut('doc_id')} (SELECT docs.*, l.n FROM docs JOIN (SELECT DISTINCT n FROM b) l ON len(tpl) >= l.n WHERE doc_id IS NOT NULL)))
-SELECT doc_id, item_id, item_tokens FROM dw JOIN (SELECT * FROM bw WHERE NOT {barren}) bw ON dw.n = bw.n AND dw.span = bw.span
-WHERE len(list_distinct(list_zip(dw.vals, bw.vals))) = len(list_distinct(dw.vals)) AND len(list_distinct(dw.vals)) = len(list_distinct(bw.vals))"""
+b AS (SELECT *, least(len(tpl), {D.SPAN}) AS n, len(tpl) AS item_tokens FROM items WHERE len(tpl) > 0),
+bw AS (SELECT *, n < {D.SHORTEST} OR {barren} AS literal FROM ({cut('item_id', ', item_tokens')} b))),
+dw AS ({cut('doc_id')} (SELECT docs.*, l.n FROM docs JOIN (SELECT DISTINCT n FROM b) l ON len(tpl) >= l.n AND (l.n >= {D.IN_TEXT} OR len(tpl) = l.n) WHERE doc_id IS NOT NULL)))
+SELECT doc_id, item_id, item_tokens FROM dw JOIN bw ON dw.n = bw.n AND dw.span = bw.span
+WHERE CASE WHEN literal THEN dw.vals = bw.vals ELSE len(list_distinct(list_zip(dw.vals, bw.vals))) = len(list_distinct(dw.vals)) AND len(list_distinct(dw.vals)) = len(list_distinct(bw.vals)) END"""
 
 
 def decontamination() -> str:
@@ -47,7 +47,7 @@ SELECT page_id, payload_bytes, payload_digest, CASE WHEN payload_bytes >= {least
 def secret_scans() -> str:
     parts = []
     for k, r in enumerate(S.RULES):
-        re = _lit(r.pattern.replace(r"\x20", " "))
+        re = _lit(r.pattern.replace(r"\x20", " ").replace("*+", "*"))
         holds = f"length(regexp_extract(m, {re}, {r.group})) >= {r.least}" if r.least else "true"
         parts.append(
             f"SELECT doc_id, {k} AS rank, {_lit(r.kind)} AS kind, i, ms[i] AS m, length(ms[i]) AS ml, length(gs[i]) AS gl, {holds.replace('(m,', '(ms[i],')} AS ok FROM"

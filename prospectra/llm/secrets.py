@@ -1,18 +1,22 @@
 """Secret scans over an incremental blob ledger.
 
 Every version of a text is addressed by its SHA-256. The ledger holds the pairs
-(digest, rule_version) that were scanned; only the others are scanned, once for each
-digest however many paths hold it, and findings are joined back to all paths.
+(digest, rule_version) that were scanned and what was found in them; only other pairs
+are scanned, once for each digest however many paths hold it, and findings, old and
+new, are joined back to all paths.
+
+A first pass over the texts works out the address and whether any rule can match (a
+substring test for most rules); only texts in which one can are ever shuffled.
 """
 
 from __future__ import annotations
 
 from dataclasses import dataclass
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .common import cut, stored, text_or_empty
+from .common import cut, id_crc32, scratch, stored, text_or_empty, unused
 
 RULE_VERSION = "1"
 MASK = "[REDACTED]"
@@ -35,7 +39,12 @@ RULES = (
     Rule("assign", r"""((?i:password|passwd|secret|token|api_?key))["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)""", (":", "="), 2, 6),
     Rule("access", r"AKIA[A-Z0-9]{16,}", ("AKIA",)),
     Rule("hex", r"[0-9a-f]{24,}"),
-    Rule("pem", r"-----BEGIN [A-Z ]*PRIVATE KEY-----", ("-----BEGIN",)),
+    # up to the END line, or else the lines of a key that follow
+    Rule(
+        "pem",
+        r"-----BEGIN [A-Z ]*PRIVATE KEY-----(?:[A-Za-z0-9+/=:,. \t\r\n\\-]*?-----END [A-Z ]*PRIVATE KEY-----|(?:[ \t\r\n]*[A-Za-z0-9+/=]{40,})*+)",
+        ("-----BEGIN",),
+    ),
     Rule("github", r"gh[pousr]_[A-Za-z0-9]{36,}", ("ghp_", "gho_", "ghu_", "ghs_", "ghr_")),
     Rule("jwt", r"eyJ[A-Za-z0-9_-]{10,}\.eyJ[A-Za-z0-9_-]{10,}\.[A-Za-z0-9_-]{10,}", ("eyJ",)),
 )
@@ -49,6 +58,14 @@ def _may_match(text: Column, rule: Rule) -> Column:
     return found if rule.needs else text.rlike(rule.pattern)
 
 
+def may_hold(text: Column, rules: tuple[Rule, ...] = RULES) -> Column:
+    """Whether any rule can match; false for a null text."""
+    found = F.lit(False)
+    for r in rules:
+        found = found | _may_match(text, r)
+    return F.coalesce(found, F.lit(False))
+
+
 def _matches(text: Column, rule: Rule) -> Column:
     """Matches of a rule, left to right; null where there can be none."""
     return F.when(_may_match(text, rule), F.regexp_extract_all(text, F.lit(rule.pattern), F.lit(0)))
@@ -63,7 +80,8 @@ def _held_by(rule: Rule):
 
 
 def find(blobs: DataFrame, rules: tuple[Rule, ...] = RULES) -> DataFrame:
-    """(digest, text) -> (digest, rank, kind, start, end): spans in code points.
+    """(digest, text), one row a digest -> (digest, rank, kind, start, end): spans in
+    code points.
 
     The text between matches (a split by the same pattern) and the matches alternate,
     so a running sum of their lengths over a blob's matches gives the places.
@@ -92,33 +110,67 @@ def find(blobs: DataFrame, rules: tuple[Rule, ...] = RULES) -> DataFrame:
         rows.withColumn("end", end)
         .filter("m.holds")
         .select("digest", "rank", F.get(kinds, F.col("rank")).alias("kind"), (F.col("end") - F.col("m.size")).alias("start"), "end")
-        .distinct()
     )
 
 
+def _digest(text: Column) -> Column:
+    return F.sha2(F.encode(text_or_empty(text.cast("string")), "UTF-8"), 256)
+
+
 def versions(rows: DataFrame, path: str = "doc_id", text: str = "text") -> DataFrame:
     """(path, digest, text) of each row; a null text counts as empty."""
-    body = text_or_empty(F.col(text).cast("string"))
-    return rows.select(F.col(path).alias("path"), F.sha2(F.encode(body, "UTF-8"), 256).alias("digest"), body.alias("text"))
+    return rows.select(F.col(path).alias("path"), _digest(F.col(text)).alias("digest"), text_or_empty(F.col(text).cast("string")).alias("text"))
 
 
-def scan(rows: DataFrame, ledger: DataFrame | None = None, rules: tuple[Rule, ...] = RULES, rule_version: str = RULE_VERSION) -> tuple[DataFrame, DataFrame, DataFrame]:
-    """Scan what ``ledger`` (digest, rule_version) has not seen.
+class Ledger:
+    """Two tables in a folder that all executors share: ``seen`` (digest, rule_version)
+    and ``findings`` (digest, rank, kind, start, end, rule_version).
 
-    ``rows`` are versions(). Returns (paths, findings, seen): path and digest of each
-    row; new findings by digest; ledger rows to append once findings are kept. A
-    repeated row is scanned with its like; the empty text is a blob as any.
+    Findings are appended before the pairs they belong to, so a run that is lost in
+    between scans its blobs again; what it found twice is read once.
+    """
+
+    SEEN = "digest string, rule_version string"
+    FINDINGS = "digest string, rank int, kind string, start bigint, end bigint, rule_version string"
+
+    def __init__(self, spark: SparkSession, path: str) -> None:
+        self.spark, self.path = spark, path.rstrip("/")
+        self._append("findings", spark.createDataFrame([], self.FINDINGS))
+        self._append("seen", spark.createDataFrame([], self.SEEN))
+
+    def _append(self, table: str, rows: DataFrame) -> None:
+        rows.write.mode("append").parquet(f"{self.path}/{table}")
+
+    def seen(self, rule_version: str) -> DataFrame:
+        rows = self.spark.read.schema(self.SEEN).parquet(f"{self.path}/seen")
+        return rows.filter(F.col("rule_version") == rule_version).select("digest")
+
+    def findings(self, rule_version: str) -> DataFrame:
+        rows = self.spark.read.schema(self.FINDINGS).parquet(f"{self.path}/findings")
+        return rows.filter(F.col("rule_version") == rule_version).drop("rule_version").distinct()
+
+    def add(self, findings: DataFrame, digests: DataFrame, rule_version: str) -> None:
+        version = F.lit(rule_version).alias("rule_version")
+        self._append("findings", findings.select("digest", F.col("rank").cast("int"), "kind", F.col("start").cast("bigint"), F.col("end").cast("bigint"), version))
+        self._append("seen", digests.select("digest", version))
+
+
+def scan(rows: DataFrame, ledger: Ledger | None = None, rules: tuple[Rule, ...] = RULES, rule_version: str = RULE_VERSION) -> tuple[DataFrame, DataFrame]:
+    """Scan the blobs of ``rows``, versions(), that the ledger has not seen under these
+    rules, and add them to it. Without a ledger all blobs are scanned.
+
+    Returns (paths, findings): path and digest of each row; findings, old and new, by
+    digest. Rows repeated with one text are one blob, kept once on the map side, so a
+    much-copied text is no hot key. The empty text is a blob as any.
     """
     paths = stored(rows.select("path", "digest"), "secret-paths")
-    blobs = paths.groupBy("digest").agg(F.min("path").alias("holder"))
-    if ledger is not None:
-        known = ledger.filter(F.col("rule_version") == rule_version).select("digest").distinct()
-        blobs = blobs.join(known, "digest", "left_anti")
-    chosen = blobs.select(F.col("digest").alias("_digest"), "holder").hint("shuffle_hash")
-    same = rows["path"].eqNullSafe(F.col("holder")) & (rows["digest"] == F.col("_digest"))
-    fresh = rows.join(chosen, same).select("digest", "text")
-    seen = blobs.select("digest", F.lit(rule_version).alias("rule_version"))
-    return paths, cut(find(fresh, rules)), seen
+    texts = rows.filter(may_hold(F.col("text"), rules)).select("digest", "text").dropDuplicates(["digest"])
+    if ledger is None:
+        return paths, cut(find(texts, rules))
+    known = ledger.seen(rule_version)
+    fresh = paths.select("digest").distinct().join(known, "digest", "left_anti")
+    ledger.add(find(texts.join(known, "digest", "left_anti"), rules), fresh, rule_version)
+    return paths, ledger.findings(rule_version)
 
 
 def _joined(spans: Column) -> Column:
@@ -128,14 +180,15 @@ def _joined(spans: Column) -> Column:
 
 def report(paths: DataFrame, findings: DataFrame) -> DataFrame:
     """One row for each path row with its blob's counts and spans. Findings are grouped
-    by digest first, so a much-copied blob meets one row."""
+    by digest and cut off first, so a much-copied blob meets one row over a plain
+    exchange, whose partition Spark can split."""
     spans = F.array_sort(F.collect_list(F.struct("start", "rank", "end", "kind")))
     count = lambda k: F.count(F.when(F.col("rank") == k, 1)).alias(f"n_{RULES[k].kind}")
     by_blob = findings.groupBy("digest").agg(*[count(k) for k in range(BASE)], spans.alias("found"))
     by_blob = by_blob.select(
         "digest", *[f"n_{r.kind}" for r in RULES[:BASE]], _joined(F.filter("found", lambda s: s["rank"] < BASE)).alias("base"), _joined(F.col("found")).alias("spans")
     )
-    all_rows = paths.join(by_blob, "digest", "left")
+    all_rows = paths.join(cut(by_blob), "digest", "left")
     return all_rows.select(
         F.col("path").alias("doc_id"),
         *[F.coalesce(f"n_{r.kind}", F.lit(0)).cast("long").alias(f"n_{r.kind}") for r in RULES[:BASE]],
@@ -147,10 +200,15 @@ def report(paths: DataFrame, findings: DataFrame) -> DataFrame:
 def find_secrets(docs: DataFrame) -> DataFrame:
     """doc_id, n_assign, n_access, n_hex, base_sha256 and spans of each row of ``docs``.
 
-    Null and empty texts have no findings; an empty table gives an empty result.
+    The history comes in two runs over one ledger: an earlier state of the table, which
+    is about half of it, then all of it, of which only blobs not seen yet are scanned.
+    Null and empty texts have no findings; rows repeated with one text, with equal,
+    other or null ids, have the same; an empty table gives an empty result; other
+    columns are ignored. A text of any length is one blob.
     """
-    paths, findings, _ = scan(versions(docs))
-    return report(paths, findings)
+    ledger = Ledger(docs.sparkSession, scratch(docs.sparkSession, "secret-ledger"))
+    scan(versions(docs.filter(F.pmod(id_crc32(F.col("doc_id")), F.lit(2)) == 0)), ledger)
+    return report(*scan(versions(docs), ledger))
 
 
 def _masked(text: Column, rule: Rule) -> Column:
@@ -163,15 +221,23 @@ def _masked(text: Column, rule: Rule) -> Column:
     return F.when(_may_match(text, rule), F.array_join(parts, "")).otherwise(text)
 
 
-def redact(docs: DataFrame) -> DataFrame:
+def redact(docs: DataFrame, ledger: Ledger | None = None) -> DataFrame:
     """``docs`` with a mask for each secret in the texts that have one; n_chars follows.
-    Columns are unchanged, null texts stay null."""
-    paths, findings, _ = scan(versions(docs))
-    bad = paths.join(findings.select("digest").distinct(), "digest").select(F.col("path").alias("_path"), F.lit(True).alias("_bad")).distinct()
-    marked = docs.join(bad.hint("shuffle_hash"), docs["doc_id"].eqNullSafe(F.col("_path")), "left").drop("_path")
-    for rule in RULES:
-        marked = marked.withColumn("text", F.when(F.col("_bad"), _masked(F.col("text"), rule)).otherwise(F.col("text")))
+
+    Columns are unchanged, whatever their names, null texts stay null, and all rows stay,
+    repeated ones too. Rows in whose text no rule can match are passed on as they are;
+    the others meet the digests with findings.
+    """
+    _, findings = scan(versions(docs), ledger)
+    key, bad = unused(docs, "digest", "found")
+    hit = cut(findings.select(F.col("digest").alias(bad)).distinct())
+    maybe = may_hold(F.col("text"))
+    marked = docs.filter(maybe).withColumn(key, _digest(F.col("text")))
+    marked = marked.join(hit, F.col(key) == F.col(bad), "left")
+    text = F.col("text")
+    for rule in (*RULES[BASE:], *RULES[:BASE]):  # a mask within a key would hide its end
+        marked = marked.withColumn("text", F.when(F.col(bad).isNotNull(), _masked(text, rule)).otherwise(text))
     if "n_chars" in docs.columns:
         size = F.length("text").cast(docs.schema["n_chars"].dataType)
-        marked = marked.withColumn("n_chars", F.when(F.col("_bad"), size).otherwise(F.col("n_chars")))
-    return marked.select(*docs.columns)
+        marked = marked.withColumn("n_chars", F.when(F.col(bad).isNotNull(), size).otherwise(F.col("n_chars")))
+    return docs.filter(~maybe).unionByName(marked.select(*docs.columns))
