@@ -17,7 +17,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import cut
+from .common import cut, parts_of, unused
 from .components import components
 
 SEED = 42
@@ -26,7 +26,13 @@ RADIUS = 4
 #: Fingerprints of one bucket that are compared in one place. Larger buckets are cut
 #: into parts, and every pair of parts meets in a cell of its own.
 CELL = 2048
+#: Fingerprints of one bucket beyond which it is hashed again under further masks.
+WIDE = 31 * CELL
 SMALL = 24
+#: Fingerprints that one task hashes into buckets.
+TASK_ROWS = 1 << 15
+#: Bytes of a text that are cut into words at once.
+STEP = 4 << 20
 
 
 def _bit_counts(hashes: list[int]) -> np.ndarray:
@@ -34,20 +40,28 @@ def _bit_counts(hashes: list[int]) -> np.ndarray:
     return np.unpackbits(raw, axis=1, bitorder="little").sum(axis=0, dtype=np.int64)
 
 
-def fingerprint(data: bytes, shingle: int = SHINGLE, step: int = 1 << 16) -> int:
-    """64-bit SimHash of UTF-8 text as a signed integer; zero without a word."""
-    words = data.lower().split()
-    if not words:
-        return 0
-    joined = b" ".join(words)
-    ends = np.cumsum(np.fromiter(map(len, words), np.int64, len(words)) + 1) - 1
-    starts = np.concatenate(([0], ends[:-1] + 1))
-    n = max(1, len(words) - shingle + 1)
-    starts, ends = starts[:n].tolist(), ends[-n:].tolist()
+def fingerprint(data: bytes, shingle: int = SHINGLE, step: int = STEP) -> int:
+    """64-bit SimHash of UTF-8 text as a signed integer; zero without a word. A long
+    text is read in parts, each of which begins with the last words of the one before."""
     h = xxhash.xxh64_intdigest
-    counts = np.zeros(64, np.int64)
-    for k in range(0, n, step):
-        counts += _bit_counts([h(joined[a:b], SEED) for a, b in zip(starts[k : k + step], ends[k : k + step], strict=True)])
+    counts, n, words = np.zeros(64, np.int64), 0, []
+    for part in parts_of(data, step):
+        words += part.lower().split()
+        if len(words) < shingle:
+            continue
+        joined = b" ".join(words)
+        ends = np.cumsum(np.fromiter(map(len, words), np.int64, len(words)) + 1) - 1
+        starts = np.concatenate(([0], ends[:-1] + 1))
+        k = len(words) - shingle + 1
+        hashes = [h(joined[a:b], SEED) for a, b in zip(starts[:k].tolist(), ends[-k:].tolist(), strict=True)]
+        for at in range(0, k, 1 << 16):
+            counts += _bit_counts(hashes[at : at + (1 << 16)])
+        n += k
+        words = words[k:]
+    if not n:
+        if not words:
+            return 0
+        counts, n = _bit_counts([h(b" ".join(words), SEED)]), 1
     bits = (2 * counts > n).astype(np.uint64)
     return int((bits << np.arange(64, dtype=np.uint64)).sum(dtype=np.uint64).astype(np.int64))
 
@@ -67,10 +81,10 @@ def fingerprints(docs: DataFrame) -> DataFrame:
     )
 
 
-def covering_masks(radius: int = RADIUS, bits: int = 64) -> list[int]:
-    """2^(radius+1) - 1 masks as signed 64-bit integers."""
+def covering_masks(radius: int = RADIUS, bits: int = 64, again: bool = False) -> list[int]:
+    """2^(radius+1) - 1 masks as signed 64-bit integers; ``again``: other ones."""
     top = (1 << (radius + 1)) - 1
-    vectors = [1 + i % top for i in range(bits)]
+    vectors = [1 + (i * i * 7 + i // 5 if again else i) % top for i in range(bits)]
     masks = [sum(1 << i for i, m in enumerate(vectors) if (m & v).bit_count() & 1) for v in range(1, top + 1)]
     return [m - (1 << 64) if m >> 63 else m for m in masks]
 
@@ -190,17 +204,27 @@ def _linker(radius: int):
     return link
 
 
-def fingerprint_links(prints: DataFrame, radius: int = RADIUS, cell: int = CELL) -> DataFrame:
+def fingerprint_links(prints: DataFrame, radius: int = RADIUS, cell: int = CELL, wide: int = WIDE) -> DataFrame:
     """(fp distinct) -> (u, v): links that connect every two fingerprints at most
     ``radius`` bits apart, directly or over others.
 
     Each fingerprint goes into one bucket for each mask. Buckets of one fingerprint
-    are dropped by a count; a bucket beyond ``cell`` fingerprints is cut into parts by
-    hash, and each pair of parts is compared in a cell of bounded size.
+    are dropped by a count. One beyond ``wide`` fingerprints is hashed again under
+    other covering masks, so that each of its fingerprints is put into as many buckets
+    as there are masks, however many they are. What is still beyond ``cell`` is cut into
+    parts by hash, and each pair of parts is compared in a cell of bounded size.
     """
-    keys = F.array(*[F.xxhash64(F.lit(k), F.col("fp").bitwiseAND(F.lit(m))) for k, m in enumerate(covering_masks(radius))])
-    rows = prints.select("fp", F.explode(keys).alias("key"))
-    counts = rows.groupBy("key").agg(F.count("*").alias("n")).filter("n > 1")
+    tasks = -(-prints.count() // TASK_ROWS)
+    keyed = lambda masks, *by: F.array(*[F.xxhash64(*by, F.lit(k), F.col("fp").bitwiseAND(F.lit(m))) for k, m in enumerate(masks)])
+    rows = prints.select("fp").repartition(max(1, tasks), "fp").select("fp", F.explode(keyed(covering_masks(radius))).alias("key"))
+    counted = lambda r: cut(r.groupBy("key").agg(F.count("*").alias("n")).filter("n > 1"))
+    counts = counted(rows)
+    large = counts.filter(F.col("n") > wide)
+    if not large.isEmpty():
+        other = F.explode(keyed(covering_masks(radius, again=True), F.col("key")))
+        further = rows.join(large.select("key"), "key").select("fp", other.alias("key"))
+        counts = counts.filter(F.col("n") <= wide).unionByName(counted(further))
+        rows = rows.unionByName(further)
     parts = F.ceil(F.col("n") / F.lit(cell)).cast("int")
     own = F.pmod(F.xxhash64("fp", F.lit(1)), parts)
     cells = F.when(parts <= 1, F.array(F.lit(0).cast("long"))).otherwise(
@@ -229,7 +253,7 @@ def near_duplicates(docs: DataFrame, radius: int = RADIUS) -> DataFrame:
     unless it has none but null ids. An empty table gives an empty result.
     """
     prints = cut(fingerprints(docs))
-    vertices = prints.groupBy("fp").agg(F.min("doc_id").alias("least_id"))
+    vertices = cut(prints.groupBy("fp").agg(F.min("doc_id").alias("least_id")))
     found = components(fingerprint_links(vertices.select("fp"), radius))
     roots = vertices.join(found, vertices.fp == found.node, "left").select(
         "fp", "least_id", F.coalesce("root", "fp").alias("root")
@@ -249,13 +273,14 @@ def keep_one(docs: DataFrame, radius: int = RADIUS) -> DataFrame:
     Rows with a null id cannot be told apart and are all kept. If an id is repeated,
     one of its rows stays.
     """
+    gone_id, twice_id, n = unused(docs, "gone", "twice", "times")
     found = near_duplicates(docs, radius)
-    gone = found.filter("doc_id <> component_id").select(F.col("doc_id").alias("_gone")).distinct()
-    left = docs.join(gone.hint("shuffle_hash"), docs["doc_id"] == gone["_gone"], "left_anti")
-    twice = docs.groupBy("doc_id").count().filter("doc_id is not null and count > 1")
+    gone = found.filter("doc_id <> component_id").select(F.col("doc_id").alias(gone_id)).distinct()
+    left = docs.join(gone.hint("shuffle_hash"), docs["doc_id"] == gone[gone_id], "left_anti")
+    twice = docs.groupBy("doc_id").agg(F.count("*").alias(n)).filter((F.col(n) > 1) & F.col("doc_id").isNotNull())
     if twice.isEmpty():
         return left
-    again = cut(twice.select(F.col("doc_id").alias("_twice")))
-    once = left.join(again, left["doc_id"] == again["_twice"], "left_anti")
-    more = left.join(again, left["doc_id"] == again["_twice"], "left_semi").dropDuplicates(["doc_id"])
+    again = cut(twice.select(F.col("doc_id").alias(twice_id)))
+    once = left.join(again, left["doc_id"] == again[twice_id], "left_anti")
+    more = left.join(again, left["doc_id"] == again[twice_id], "left_semi").dropDuplicates(["doc_id"])
     return once.unionByName(more)
