@@ -26,13 +26,13 @@ ORDERS = (2, 3, 4)
 BUCKETS = 1 << 15
 SMOOTHING = 0.2
 ROUNDS = 6
-#: Languages a document's set may hold.
-MOST_LANGUAGES = 4
 #: Share of the words a further language must explain, roughly; the penalty for each
 #: language is this times the number of words, and at least half a log of that number.
 LEAST_SHARE = 0.03
 STEP = 8 << 20
 _LETTER = r"\p{L}"
+#: Letters of scripts that put no spaces between words; each is a word.
+_SPACELESS = r"[\x{0E00}-\x{0EFF}\x{1000}-\x{109F}\x{1780}-\x{17FF}\x{3040}-\x{30FF}\x{3400}-\x{4DBF}\x{4E00}-\x{9FFF}\x{F900}-\x{FAFF}\x{20000}-\x{3FFFF}]"
 
 
 def _ngram_buckets(words: pa.Array) -> tuple[np.ndarray, np.ndarray]:
@@ -59,12 +59,28 @@ def _ngram_buckets(words: pa.Array) -> tuple[np.ndarray, np.ndarray]:
 
 def _words(texts: pa.Array) -> tuple[pa.Array, np.ndarray, np.ndarray]:
     """(distinct words, code of each word, offsets of each text's codes)."""
-    lists = pc.utf8_split_whitespace(pc.utf8_lower(texts))
+    texts = pc.utf8_lower(texts)
+    if pc.any(pc.match_substring_regex(texts, _SPACELESS)).as_py():
+        texts = pc.replace_substring_regex(texts, f"({_SPACELESS})", r" \1 ")
+    lists = pc.utf8_split_whitespace(pc.utf8_trim_whitespace(texts))
     flat = lists.flatten().dictionary_encode()
     offsets = lists.offsets.to_numpy().astype(np.int64)
     return flat.dictionary, flat.indices.to_numpy(zero_copy_only=False).astype(np.int64), offsets - offsets[0]
 
 
+def _chunks(text: bytes) -> Iterator[str]:
+    """A long text in parts of about STEP bytes, cut at spaces where there are any."""
+    at = 0
+    while at < len(text):
+        end = text.find(b" ", at + STEP, at + 2 * STEP) if len(text) - at > STEP else len(text)
+        if end < 0:
+            end = min(len(text), at + STEP)
+            while end < len(text) and text[end] & 0xC0 == 0x80:  # not within a character
+                end += 1
+        yield text[at:end].decode()
+        at = end
+
+
 def _steps(texts: pa.Array) -> Iterator[pa.Array]:
     size = np.cumsum(pc.binary_length(texts).to_numpy(zero_copy_only=False)) // STEP
     at = 0
@@ -111,8 +127,8 @@ def train(docs: DataFrame, per_language: int = TRAIN_PER_LANGUAGE) -> tuple[list
     sample = rows.filter(draw < share[F.col("lang")]).select("lang", "text")
     counts = np.zeros((BUCKETS, len(languages)))
     # at most BUCKETS rows a language
-    for r in sample.mapInArrow(_counter(languages), "k int, bucket int, n long").groupBy("k", "bucket").agg(F.sum("n").alias("n")).collect():
-        counts[r.bucket, r.k] = r.n
+    found = sample.mapInArrow(_counter(languages), "k int, bucket int, n long").groupBy("k", "bucket").agg(F.sum("n").alias("n")).toArrow()
+    counts[found["bucket"].to_numpy(), found["k"].to_numpy()] = found["n"].to_numpy()
     counts += SMOOTHING
     return languages, np.log(counts / counts.sum(axis=0)).astype(np.float32)
 
@@ -129,6 +145,56 @@ def _em(likely: np.ndarray, starts: np.ndarray, doc: np.ndarray, theta: np.ndarr
     return theta, total
 
 
+def _likely(words: pa.Array, table: np.ndarray) -> np.ndarray:
+    """Each word's likelihood by language, scaled so that its largest is 1."""
+    buckets, owners = _ngram_buckets(words)
+    logs = np.stack([np.bincount(owners, table[buckets, k], len(words)) for k in range(table.shape[1])], axis=1) / len(ORDERS)
+    return np.exp(logs - logs.max(axis=1, keepdims=True)).astype(np.float32)
+
+
+def _cost(sizes: np.ndarray) -> np.ndarray:
+    """What each language of a document's set must bring in log-likelihood."""
+    return np.maximum(0.5 * np.log(sizes + 1.0), LEAST_SHARE * sizes)
+
+
+def long_mixture(text: bytes, table: np.ndarray) -> np.ndarray:
+    """mixtures() of one text that is read part by part in every round, so that memory is
+    bounded whatever its length."""
+    languages = table.shape[1]
+
+    def run(theta: np.ndarray, rounds: int) -> tuple[np.ndarray, float, int]:
+        for last in [*[False] * rounds, True]:
+            parts, value, n = np.zeros(languages), 0.0, 0
+            for chunk in _chunks(text):
+                words, codes, _ = _words(pa.array([chunk], pa.large_string()))
+                if not len(codes):
+                    continue
+                part = _likely(words, table) * theta.astype(np.float32)
+                each, often = part.sum(axis=1, keepdims=True) + 1e-30, np.bincount(codes, minlength=len(words))
+                parts += (part / each * often[:, None]).sum(axis=0)
+                value, n = value + float((np.log(each[:, 0]) * often).sum()), n + len(codes)
+            if not n:
+                return np.zeros(languages), 0.0, 0
+            if not last:
+                theta = parts / n
+        return theta, value, n
+
+    theta, _, n = run(np.full(languages, 1 / max(1, languages)), ROUNDS) if languages else (np.zeros(0), 0.0, 0)
+    if not n:
+        return np.zeros(languages, np.float32)
+    order, penalty = np.argsort(-theta, kind="stable"), float(_cost(np.array([n]))[0])
+    best, best_value = np.zeros(languages), -np.inf
+    for k in range(1, languages + 1):
+        if k > 1 and theta[order[k - 1]] <= LEAST_SHARE / 2:
+            break
+        begin = np.zeros(languages)
+        begin[order[:k]] = theta[order[:k]] + 1e-6
+        part, value, _ = run(begin / begin.sum(), ROUNDS if k > 1 else 0)
+        if value - k * penalty > best_value:
+            best, best_value = part, value - k * penalty
+    return best.astype(np.float32)
+
+
 def mixtures(texts: pa.Array, table: np.ndarray) -> np.ndarray:
     """Proportions (text, language) of the chosen set; zero rows for texts without words."""
     words, codes, offsets = _words(texts)
@@ -136,18 +202,16 @@ def mixtures(texts: pa.Array, table: np.ndarray) -> np.ndarray:
     has = np.flatnonzero(np.diff(offsets))
     if not len(has) or not table.shape[1]:
         return out
-    buckets, owners = _ngram_buckets(words)
-    logs = np.stack([np.bincount(owners, table[buckets, k], len(words)) for k in range(table.shape[1])], axis=1) / len(ORDERS)
-    likely = np.exp(logs - logs.max(axis=1, keepdims=True)).astype(np.float32)[codes]
+    likely = _likely(words, table)[codes]
     sizes = np.diff(offsets)[has]
     starts = offsets[has]
     doc = np.repeat(np.arange(len(has)), sizes)
     languages = table.shape[1]
     theta, _ = _em(likely, starts, doc, np.full((len(has), languages), 1 / languages, np.float32), ROUNDS)
     order = np.argsort(-theta, axis=1, kind="stable")
-    penalty = np.maximum(0.5 * np.log(sizes + 1.0), LEAST_SHARE * sizes)
+    penalty = _cost(sizes)
     best, best_value = None, None
-    for k in range(1, min(MOST_LANGUAGES, languages) + 1):
+    for k in range(1, languages + 1):
         inside = np.zeros_like(theta)
         np.put_along_axis(inside, order[:, :k], 1.0, axis=1)
         if k == 1:
@@ -171,13 +235,23 @@ def mixtures(texts: pa.Array, table: np.ndarray) -> np.ndarray:
     return out
 
 
+def _mixed(texts: pa.Array, table: np.ndarray) -> np.ndarray:
+    long = pc.greater(pc.binary_length(texts), 2 * STEP).to_numpy(zero_copy_only=False)
+    if not long.any():
+        return mixtures(texts, table)
+    out = mixtures(pc.if_else(pa.array(long), pa.scalar("", texts.type), texts), table)
+    for k in np.flatnonzero(long):
+        out[k] = long_mixture(texts[int(k)].as_buffer().to_pybytes(), table)
+    return out
+
+
 def _predictor(languages: list[str], table: np.ndarray):
     def predict(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         names = np.array([*languages, "und"], object)
         for b in batches:
             texts = pc.fill_null(b.column(1), "").cast(pa.large_string())
             lettered = pc.match_substring_regex(texts, _LETTER).to_numpy(zero_copy_only=False)
-            theta = np.concatenate([mixtures(t, table) for t in _steps(texts)]) if len(texts) else np.zeros((0, len(languages)))
+            theta = np.concatenate([_mixed(t, table) for t in _steps(texts)]) if len(texts) else np.zeros((0, len(languages)))
             if not languages:
                 theta, lettered = np.zeros((len(texts), 1)), np.zeros(len(texts), bool)
             pick = np.where(lettered, theta.argmax(axis=1), len(languages))
@@ -198,7 +272,9 @@ def identify(docs: DataFrame, train_docs: DataFrame) -> DataFrame:
     """(doc_id, lang_pred, score, proportions map) of each row of ``docs`` by its text.
 
     A null text, one without a letter, or no labelled document at all gives `und` with
-    score 0 and no proportions. Ties go to the language first in the alphabet.
+    score 0 and no proportions. Ties go to the language first in the alphabet. Repeated
+    rows come back as often; a very long text is read part by part; other columns are
+    ignored; an empty table gives an empty result.
     """
     languages, table = train(train_docs)
     rows = docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string"))
