@@ -1,9 +1,13 @@
 """Retrieval packing: windows of one length, filled with lexically near documents.
 
-Documents are dealt into shards of bounded size by a hash. Each shard gets an inverted
-BM25 index over token ids. A window starts at what is left of the last cut document,
-or else at the next unused one (the seed); unused neighbours of the seed by BM25 score
-fill the rest of the window, the last one is cut where the window ends.
+Documents are dealt into shards of bounded size by lexical likeness. Each shard gets an
+inverted BM25 index over token ids. A window starts at what is left of the last cut
+document, or else at the next unused one (the seed); unused neighbours of the seed by
+BM25 score fill the rest of the window, the last one is cut where the window ends.
+
+Likeness: the ids of a document, weighted by how rare they are in the whole corpus, are
+hashed into a short vector; the vectors' nearest centres, fitted on a bounded sample,
+make clusters. Small clusters share a shard, one beyond a shard's size is split.
 """
 
 from __future__ import annotations
@@ -17,13 +21,18 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .common import stored
-from .tokens import encode_table
+from .tokens import encode_table, id_counts
 
 VOCABULARY = "byte_bpe_50k.json"
 END = 0
 WINDOW = 1024
-#: Ids in one shard, on average.
-SHARD_IDS = 1_000_000
+#: Ids in one shard, on average; and beyond how many times that a cluster is split.
+SHARD_IDS, MOST = 1_000_000, 1.5
+#: Documents that the centres are fitted on, about, chosen by a hash; centres at most.
+SAMPLE, CENTRES = 16_384, 4_096
+DIMENSIONS = 128
+#: Shards that one task packs; in a corpus that makes more than MANY tasks of them, more.
+TASK_SHARDS, MANY = 4, 10_000
 #: Terms in at least one of so many documents have a full row of weights.
 DENSE = 4
 #: Neighbours that are put in order at first; each time more are asked for, GROWTH times as many.
@@ -33,6 +42,62 @@ K1, B = 1.2, 0.75
 SCHEMA = "doc_id long, start long, length long, ids_crc32 long, doc_tokens long, sequence_id long, offset long"
 
 
+class Likeness:
+    """Vectors of documents, by weights of the vocabulary's ids."""
+
+    def __init__(self, counts: np.ndarray) -> None:
+        mixed = np.arange(len(counts), dtype=np.uint32) * np.uint32(0x9E3779B1)
+        self.bucket = (mixed >> np.uint32(25)).astype(np.int64)  # of 128, DIMENSIONS
+        sign = 1.0 - 2.0 * ((mixed >> np.uint32(24)) & np.uint32(1))
+        self.weight = sign * np.log1p(counts.sum() / (counts + 1.0))
+
+    def vectors(self, column: pa.Array) -> np.ndarray:
+        """One unit vector for each binary of 16-bit ids."""
+        ids = np.frombuffer(b"".join(v.as_buffer() for v in column), "<u2")
+        sizes = np.array([len(v.as_buffer()) // 2 for v in column], np.int64)
+        at = np.repeat(np.arange(len(sizes)) * DIMENSIONS, sizes)
+        x = np.bincount(at + self.bucket[ids], self.weight[ids], len(sizes) * DIMENSIONS).reshape(-1, DIMENSIONS).astype(np.float32)
+        return x / np.maximum(np.linalg.norm(x, axis=1, keepdims=True), 1e-9)
+
+
+def centres(x: np.ndarray, k: int, rounds: int = 8) -> np.ndarray:
+    """``k`` centres of unit vectors, or as many as there are different ones, by cosine;
+    neighbours in the order are alike."""
+    x, rng = np.unique(x, axis=0), np.random.default_rng(1)
+    # k-means++: each next one is drawn by its distance from those before
+    chosen, far = [int(rng.integers(len(x)))], np.full(len(x), np.inf, np.float32)
+    while len(chosen) < min(k, len(x)):
+        far = np.minimum(far, np.maximum(1 - x @ x[chosen[-1]], 0))
+        far[chosen] = 0
+        if not far.any():
+            break
+        chosen.append(int(rng.choice(len(x), p=far.astype(np.float64) / far.sum(dtype=np.float64))))
+    c = x[chosen]
+    for _ in range(rounds):
+        near = np.concatenate([(part @ c.T).argmax(axis=1) for part in np.array_split(x, max(1, len(x) // 4096))])
+        total = np.zeros_like(c)
+        np.add.at(total, near, x)
+        size = np.linalg.norm(total, axis=1, keepdims=True)
+        c = np.where(size > 1e-9, total / np.maximum(size, 1e-9), c)
+    along = np.linalg.svd(c - c.mean(axis=0), full_matrices=False)[2][0]
+    return c[np.argsort(c @ along, kind="stable")]
+
+
+def deal(sizes: list[int], shard_ids: int) -> tuple[np.ndarray, np.ndarray]:
+    """(first shard, number of shards) of clusters with so many ids."""
+    first, parts, shard, filled = np.zeros(len(sizes), np.int64), np.ones(len(sizes), np.int64), 0, 0
+    for k, n in enumerate(sizes):
+        if filled and filled + n > MOST * shard_ids:
+            shard, filled = shard + 1, 0
+        first[k] = shard
+        if n > MOST * shard_ids:
+            parts[k] = -(-n // shard_ids)
+            shard += int(parts[k])
+        else:
+            filled += n
+    return first, parts
+
+
 class Index:
     """BM25 postings over documents given as arrays of ids."""
 
@@ -57,16 +122,16 @@ class Index:
         common = np.flatnonzero((df > 1) & (df * DENSE >= n))
         self.row = np.full(len(df), -1, np.int64)
         self.row[common] = np.arange(len(common))
-        self.rows = np.zeros((len(common), n))
+        self.rows = np.zeros((len(common), n), np.float32)
         full = np.flatnonzero(self.row[term] >= 0)
         self.rows[self.row[term[full]], doc[full]] = weight[full]
+        self.has = (self.rows.T > 0).astype(np.float32)
 
     def scores(self, seed: int) -> np.ndarray:
         """BM25 of all documents, with all terms of the seed as the query."""
+        score = (self.has[seed] @ self.rows).astype(np.float64)
         query = self.terms[self.own[seed] : self.own[seed + 1]]
-        row = self.row[query]
-        score = self.rows[row[row >= 0]].sum(axis=0)
-        query = query[row < 0]
+        query = query[self.row[query] < 0]
         a, n = self.cuts[query], self.cuts[query + 1] - self.cuts[query]
         ends = np.cumsum(n)
         if not len(ends):
@@ -77,7 +142,7 @@ class Index:
 
 def pack_shard(sizes: np.ndarray, neighbours, window: int = WINDOW) -> list[tuple[int, int, int, int, int]]:
     """(document, start, length, sequence, offset) pieces of documents 0..n-1 in seed
-    order; ``neighbours(seed)`` gives documents, nearest first."""
+    order; ``neighbours(seed, used)`` gives documents that are not used, nearest first."""
     used = np.zeros(len(sizes), bool)
     pieces, sequence, offset, seed = [], 0, 0, 0
     nearest: Iterator[int] = iter(())
@@ -101,7 +166,7 @@ def pack_shard(sizes: np.ndarray, neighbours, window: int = WINDOW) -> list[tupl
             fresh = True
         else:
             if fresh:
-                nearest, fresh = iter(neighbours(owner)), False
+                nearest, fresh = iter(neighbours(owner, used)), False
             doc = next((d for d in nearest if not used[d]), -1)
             if doc < 0:
                 while seed < len(sizes) and used[seed]:
@@ -123,9 +188,9 @@ def pack_shard(sizes: np.ndarray, neighbours, window: int = WINDOW) -> list[tupl
 
 
 def _nearest_first(index: Index):
-    def of(seed: int) -> Iterator[int]:
+    def of(seed: int, used: np.ndarray | None = None) -> Iterator[int]:
         score = index.scores(seed)
-        left, some = np.flatnonzero(score), FIRST
+        left, some = np.flatnonzero(score if used is None else np.where(used, 0, score)), FIRST
         while len(left):
             best = np.ones(len(left), bool)
             if len(left) > some:
@@ -137,7 +202,7 @@ def _nearest_first(index: Index):
 
 
 def _nearest(index: Index):
-    return lambda seed: list(_nearest_first(index)(seed))
+    return lambda seed, used=None: list(_nearest_first(index)(seed, used))
 
 
 def _shard_pieces(shard: int, doc_ids: pa.Array, docs: list[np.ndarray], window: int) -> pa.RecordBatch:
@@ -176,21 +241,71 @@ def _packer(window: int):
     return pack
 
 
+def placed(rows: DataFrame, shard_ids: int = SHARD_IDS) -> tuple[DataFrame, int]:
+    """(shard, mix, doc_id, ids) of a stored encode_table() with a row number, and the
+    number of shards. Equal documents differ in ``mix``, by the row number, so very many
+    of them split like any other large cluster."""
+    spark = rows.sparkSession
+    mix = F.xxhash64("doc_id", "ids", "row").alias("mix")
+    total, n = rows.agg(F.coalesce(F.sum("n_ids"), F.lit(0)), F.count("*")).first()
+    shards = -(-total // shard_ids)
+    if shards <= 1:
+        return rows.select(F.lit(0).cast("long").alias("shard"), mix, "doc_id", "ids"), 1
+    likeness = spark.sparkContext.broadcast(Likeness(id_counts(rows)))
+
+    def sketch(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            x = likeness.value.vectors(b.column(0))
+            yield pa.RecordBatch.from_arrays([pa.array(list(x), pa.list_(pa.float32()))], ["x"])
+
+    draw = F.pmod(F.xxhash64("ids", F.lit(3)), F.lit(1 << 20)) / float(1 << 20)
+    sample = rows.filter(draw < min(1.0, SAMPLE / n)).select("ids").mapInArrow(sketch, "x array<float>").toArrow()
+    x = np.array(sample["x"].to_pylist(), np.float32).reshape(-1, DIMENSIONS)
+    if not len(x):  # few documents, all of them long
+        x = np.zeros((1, DIMENSIONS), np.float32)
+    middle = spark.sparkContext.broadcast(centres(x, min(CENTRES, shards)))
+
+    def nearest(column: pa.Array) -> np.ndarray:
+        return (likeness.value.vectors(column) @ middle.value.T).argmax(axis=1)
+
+    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        sizes = np.zeros(len(middle.value), np.int64)
+        for b in batches:
+            np.add.at(sizes, nearest(b.column(0)), b.column(1).to_numpy())
+        yield pa.RecordBatch.from_arrays([pa.array(np.arange(len(sizes))), pa.array(sizes)], ["k", "n"])
+
+    sizes = [0] * len(middle.value)
+    # one row for each centre
+    for k, size in rows.select("ids", "n_ids").mapInArrow(count, "k long, n long").groupBy("k").agg(F.sum("n")).collect():
+        sizes[k] = size
+    first, parts = deal(sizes, shard_ids)
+
+    def place(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            k = nearest(b.column(2))
+            shard = first[k] + b.column(0).to_numpy() % parts[k]
+            yield pa.RecordBatch.from_arrays([pa.array(shard), *b.columns], ["shard", "mix", "doc_id", "ids"])
+
+    done = rows.select(mix, "doc_id", "ids").mapInArrow(place, "shard long, mix long, doc_id long, ids binary")
+    return done, int((first + parts).max())
+
+
 def pack(docs: DataFrame, window: int = WINDOW, vocabulary: str = VOCABULARY, shard_ids: int = SHARD_IDS) -> DataFrame:
     """Pieces of all documents in sequences of ``window`` ids.
 
     A null or empty text is one piece of the end id alone. Rows repeated with one id
     are documents of their own. Each shard's last sequence may be short; all others
     are full. Ties in a score go by the order in the shard, which is that of a hash
-    of id and ids. An empty table gives an empty result.
+    of id and ids. A document of any length is cut into windows; other columns are
+    ignored. An empty table gives an empty result.
     """
-    rows = stored(encode_table(docs.select(F.col("doc_id").cast("long"), "text"), vocabulary, END), "pack-ids")
-    total = rows.agg(F.sum("n_ids")).first()[0] or 0
-    shards = max(1, -(-total // shard_ids))
-    mixed = F.xxhash64("doc_id", "ids")
-    placed = rows.select(F.pmod(mixed, F.lit(shards)).alias("shard"), mixed.alias("mix"), "doc_id", "ids")
+    encoded = encode_table(docs.select(F.col("doc_id").cast("long"), "text"), vocabulary, END)
+    rows = stored(encoded.withColumn("row", F.monotonically_increasing_id()), "pack-ids")
+    found, shards = placed(rows, shard_ids)
+    tasks = max(-(-shards // (16 * TASK_SHARDS)), min(-(-shards // TASK_SHARDS), MANY))
     return (
-        placed.repartition("shard")
+        found.repartitionById(tasks, (F.col("shard") % tasks).cast("int"))
         .sortWithinPartitions("shard", "mix", "doc_id")
+        .select("shard", "doc_id", "ids")
         .mapInArrow(_packer(window), SCHEMA)
     )

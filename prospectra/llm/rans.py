@@ -17,7 +17,6 @@ is a checkpoint at which decoding can begin, and the checksums show a damaged on
 
 from __future__ import annotations
 
-import uuid
 import zlib
 from collections.abc import Iterator
 
@@ -26,7 +25,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import shared_dir, stored
+from .common import scratch, stored
 from .tokens import encode_table, id_counts
 
 VOCABULARY = "word_bpe_49k.json"
@@ -211,6 +210,6 @@ def token_files(docs: DataFrame) -> DataFrame:
     A null or empty text is the end id alone. An empty table gives an empty result.
     """
     spark = docs.sparkSession
-    path = f"{shared_dir(spark)}/rans-{uuid.uuid4().hex}"
+    path = scratch(spark, "rans")
     write_files(docs, path)
     return read_files(spark, path)
