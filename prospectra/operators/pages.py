@@ -32,19 +32,29 @@ def _selected(pages: DataFrame, firsts: DataFrame, cap: int, least: int) -> Data
     return good.withColumn("_k", F.row_number().over(order)).filter(F.col("is_home") | (F.col("_k") <= cap)).select("lead_id", "page_ord", "is_home")
 
 
-def _max_distinct(pages: DataFrame, signal: Column, name: str) -> DataFrame:
-    """(lead_id, name): number of different lower-case values over a lead's pages."""
-    each = pages.select("lead_id", F.explode(F.array_distinct(F.transform(signal, F.lower))).alias("v")).distinct()
+def _max_distinct(pages: DataFrame, signal: str, name: str) -> DataFrame:
+    """(lead_id, name): number of different values over a lead's pages."""
+    each = pages.select("lead_id", F.explode(signal).alias("v")).distinct()
     return each.groupBy("lead_id").agg(F.count("*").alias(name))
 
 
 def roster_size(pages: DataFrame, card_patterns=V.CARD_PATTERNS, cap: int = 1000) -> DataFrame:
     """(lead_id, agent_count): profile links or licence numbers, whichever has more
     different ones; with fewer than two, the most cards of one kind on a page counts."""
-    cards = F.greatest(*[F.size(H.every(F.lower("html"), p)) for p in card_patterns])
-    base = pages.groupBy("lead_id").agg(F.max(cards).alias("cards"))
-    slugs = _max_distinct(pages, H.every("html", H.PROFILE_LINK, 1), "slugs")
-    licences = _max_distinct(pages, H.every("html", H.LICENCE, 1), "licences")
+    return _roster(pages.select("lead_id", *_roster_signals("html", card_patterns)), cap)
+
+
+def _roster_signals(html: str, card_patterns) -> list[Column]:
+    """cards, slugs and licences of one page."""
+    found = lambda p: F.array_distinct(F.transform(H.every(html, p, 1), F.lower))
+    cards = F.greatest(*[F.size(H.every(F.lower(html), p)) for p in card_patterns])
+    return [cards.alias("cards"), found(H.PROFILE_LINK).alias("slugs"), found(H.LICENCE).alias("licences")]
+
+
+def _roster(pages: DataFrame, cap: int) -> DataFrame:
+    base = pages.groupBy("lead_id").agg(F.max("cards").alias("cards"))
+    slugs = _max_distinct(pages, "slugs", "slugs")
+    licences = _max_distinct(pages, "licences", "licences")
     best = F.greatest(F.coalesce("slugs", F.lit(0)), F.coalesce("licences", F.lit(0)))
     joined = base.join(slugs, "lead_id", "left").join(licences, "lead_id", "left").withColumn("best", best)
     count = F.when(F.col("best") < 2, F.greatest("best", "cards")).otherwise(F.col("best"))
@@ -68,21 +78,37 @@ def coordination_gap(leads: DataFrame, pages: DataFrame, hiring=V.HIRING_PHRASES
     """``leads`` with gap, software and evidence: hiring, in_house, software or open by
     the first hit in that order; unknown without a site or without a page."""
     tools = software or V.COORDINATION_SOFTWARE
-    needles = [*hiring, *in_house, *tools]
-    flags = pages.groupBy(F.col("lead_id").alias("id")).agg(
-        F.lit(True).alias("_read"), *[F.max(F.contains(F.lower("html"), F.lit(p)).cast("int")).alias(f"_p{k}") for k, p in enumerate(needles)]
-    )
-    first = lambda a, b: F.coalesce(F.lit(None).cast("string"), *[F.when(F.col(f"_p{k}") == 1, F.lit(needles[k])) for k in range(a, b)])
+    return _gap(leads, pages.select("lead_id", _needles("html", [*hiring, *in_house, *tools]).alias("needles")), hiring, in_house, tools)
+
+
+def _needles(html: str, needles) -> Column:
+    """Places in the list of the texts that a page holds, regardless of case."""
+    return F.array_compact(F.array(*[F.when(F.contains(F.lower(html), F.lit(p)), F.lit(k)) for k, p in enumerate(needles)]))
+
+
+def _gap(leads: DataFrame, pages: DataFrame, hiring, in_house, tools: dict[str, str]) -> DataFrame:
     x, y = len(hiring), len(hiring) + len(in_house)
-    hire, own, tool = first(0, x), first(x, y), first(y, len(needles))
-    names = F.create_map(*[F.lit(v) for kv in tools.items() for v in kv])
+    first = lambda test: F.min(F.array_min(F.filter("needles", test)))
+    found = pages.groupBy(F.col("lead_id").alias("id")).agg(
+        F.lit(True).alias("_read"), first(lambda k: k < x).alias("_hire"), first(lambda k: (k >= x) & (k < y)).alias("_own"), first(lambda k: k >= y).alias("_tool")
+    )
+    named = lambda k, texts: F.get(F.array(*[F.lit(t) for t in texts]), k) if len(texts) else F.lit(None).cast("string")
     readable = F.coalesce(F.length("website") > 0, F.lit(False)) & F.coalesce("_read", F.lit(False))
-    joined = leads.join(flags, "id", "left").withColumns({"_hire": hire, "_own": own, "_tool": tool, "_ok": readable})
-    gap = F.when(~F.col("_ok"), "unknown").when(F.col("_hire").isNotNull(), "hiring").when(F.col("_own").isNotNull(), "in_house").when(F.col("_tool").isNotNull(), "software").otherwise("open")
-    out = joined.withColumn("gap", gap)
-    out = out.withColumn("software", F.when(F.col("gap") == "software", names[F.col("_tool")]))
-    evidence = F.when(F.col("gap") == "hiring", F.col("_hire")).when(F.col("gap") == "in_house", F.col("_own")).otherwise(F.col("software"))
-    return out.withColumn("evidence", evidence).drop("_read", "_hire", "_own", "_tool", "_ok", *[f"_p{k}" for k in range(len(needles))])
+    gap = F.when(~readable, "unknown").when(F.col("_hire").isNotNull(), "hiring").when(F.col("_own").isNotNull(), "in_house").when(F.col("_tool").isNotNull(), "software").otherwise("open")
+    out = leads.join(found, "id", "left").withColumn("gap", gap)
+    out = out.withColumn("software", F.when(F.col("gap") == "software", named(F.col("_tool") - y, list(tools.values()))))
+    evidence = F.when(F.col("gap") == "hiring", named(F.col("_hire"), hiring)).when(F.col("gap") == "in_house", named(F.col("_own") - x, in_house)).otherwise(F.col("software"))
+    return out.withColumn("evidence", evidence).drop("_read", "_hire", "_own", "_tool")
+
+
+def coordination(leads: DataFrame, crawl: DataFrame, hiring, in_house, software: dict[str, str], card_patterns, titles, noise=V.NON_NAME_WORDS) -> DataFrame:
+    """``leads`` with gap, software, evidence, agent_count, decision_maker and dm_title.
+    The pages are read once; what was found in each is stored without its HTML."""
+    seen = cut(crawl.select("lead_id", "page_ord", _needles("html", [*hiring, *in_house, *software]).alias("needles"), *_roster_signals("html", card_patterns), _titled("html", titles).alias("people")))
+    out = _gap(leads, seen, hiring, in_house, software)
+    size = _roster(seen, 1000).withColumnRenamed("lead_id", "id")
+    who = _senior(seen, titles, noise).withColumnRenamed("lead_id", "id")
+    return out.join(size, "id", "left").join(who, "id", "left")
 
 
 # Patterns.

@@ -28,7 +28,7 @@ def lead_view(t: Tables) -> DataFrame:
 
 FILTERS = {
     "q": ({"q": "customer salon"}, _search_sql("customer", "salon")),
-    "city_category": ({"city": "CHINA", "category": "restaurant"}, "city = 'CHINA' AND category = 'restaurant'"),
+    "city_category": ({"city": "NATION_10", "category": "beauty_salon"}, "city = 'NATION_10' AND category = 'beauty_salon'"),
     "tier": ({"tier": "A"}, "tier = 'A'"),
     "status": ({"status": "New"}, "status = 'New'"),
     "no_website": ({"hasWebsite": "no"}, "coalesce(website, '') = ''"),

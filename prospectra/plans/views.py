@@ -41,7 +41,7 @@ SELECT 'c' || cast(page_id % 150 as string) AS lead_id, page_id AS page_ord, url
  cast(CASE page_id % 11 WHEN 0 THEN 404 WHEN 1 THEN 0 ELSE 200 END as int) AS status,
  cast((page_id * 37) % 9500 as int) AS load_ms,
  html
-   || CASE WHEN page_id % 3 = 0 THEN '<meta name="viewport" content="width=device-width">' ELSE '' END
+   || CASE WHEN page_id % 3 = 0 OR page_id % 5 = 2 THEN '<meta name="viewport" content="width=device-width">' ELSE '' END
    || CASE page_id % 5 WHEN 0 THEN '<script src="https://static.wixstatic.com/wix.com"></script>' WHEN 1 THEN '<link href="/wp-content/x.css">' ELSE '' END
    || CASE page_id % 4 WHEN 0 THEN '<footer>Copyright 2015-2023</footer>' WHEN 1 THEN '<footer>&copy; 2024</footer>' ELSE '' END
    || CASE page_id % 6 WHEN 0 THEN '<a href="mailto:Info@Biz' || cast(page_id as string) || '.com">mail</a> (707) 555-' || lpad(cast(page_id % 10000 as string), 4, '0') ELSE '' END
@@ -54,7 +54,7 @@ CRM_PATCH_V = r"""
 SELECT event_id, ts, 'c' || cast(user_id as string) AS lead_id,
  CASE event_type WHEN 'signup' THEN 'Contacted' WHEN 'purchase' THEN 'Won' WHEN 'error' THEN 'Bogus' WHEN 'click' THEN 'Quoted' END AS status,
  CASE WHEN event_id % 5 = 0 THEN 'note ' || cast(event_id as string) END AS notes,
- CASE WHEN event_id % 4 = 0 THEN cast(event_id % 2 as int) END AS favorite
+ CASE WHEN event_id % 4 = 0 THEN cast(floor(event_id / 4) % 2 as int) END AS favorite
 FROM events
 """
 
