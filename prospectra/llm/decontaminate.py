@@ -187,7 +187,8 @@ def contaminated(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
     read = templates(benchmark.select("item_id", "text"), "item_id").filter(size > 0).withColumn("n", F.least(size, F.lit(SPAN)))
     items = cut(read.select("item_id", "n", "raw", "worded", "named", *_forms("item"), *[_fits(f).alias(f"fits_{f}") for f in FORMS], _rest().alias("rest")))
     pairs = cut(_candidates(templates(docs.filter("doc_id is not null"), "doc_id"), items))
-    chosen = pairs.select(F.col("doc_id").alias("_chosen")).distinct().hint("shuffle_hash")
+    # cut off from their aggregates, so that the rows of a much-repeated id can be split
+    chosen = cut(pairs.select(F.col("doc_id").alias("_chosen")).distinct()).hint("shuffle_hash")
     few = docs.select("doc_id", "text").join(chosen, F.col("doc_id") == F.col("_chosen"), "left_semi")
     read = templates(few, "doc_id").select("doc_id", *_forms("doc"))
     both = read.join(pairs, "doc_id").join(items.drop("raw", "worded", "named"), "item_id")
@@ -199,5 +200,5 @@ def drop_contaminated(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
     """The rows of ``docs`` that hold no item, columns unchanged whatever their names. Rows
     repeated with one id go together; rows with a null id stay."""
     (bad_id,) = unused(docs, "bad")
-    bad = contaminated(docs, benchmark).select(F.col("doc_id").alias(bad_id)).distinct()
+    bad = cut(contaminated(docs, benchmark).select(F.col("doc_id").alias(bad_id)).distinct())
     return docs.join(bad.hint("shuffle_hash"), docs["doc_id"] == F.col(bad_id), "left_anti")

@@ -275,7 +275,8 @@ def keep_one(docs: DataFrame, radius: int = RADIUS) -> DataFrame:
     """
     gone_id, twice_id, n = unused(docs, "gone", "twice", "times")
     found = near_duplicates(docs, radius)
-    gone = found.filter("doc_id <> component_id").select(F.col("doc_id").alias(gone_id)).distinct()
+    # cut off from its aggregate, so that the rows of a much-repeated or null id can be split
+    gone = cut(found.filter("doc_id <> component_id").select(F.col("doc_id").alias(gone_id)).distinct())
     left = docs.join(gone.hint("shuffle_hash"), docs["doc_id"] == gone[gone_id], "left_anti")
     twice = docs.groupBy("doc_id").agg(F.count("*").alias(n)).filter((F.col(n) > 1) & F.col("doc_id").isNotNull())
     if twice.isEmpty():
