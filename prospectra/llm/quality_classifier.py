@@ -7,11 +7,12 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
+import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from . import gbdt
-from .common import id_crc32
+from .common import id_crc32, parts_of
 
 #: Labelled documents that the trees are fitted on: at most about so many, chosen by a
 #: hash of the id.
@@ -37,6 +38,60 @@ def _class_table() -> np.ndarray:
     return kind  # 6: other ASCII, such as symbols
 
 
+def _word_kinds(words: pa.Array) -> dict[str, np.ndarray]:
+    match = lambda rule: pc.match_substring_regex(words, rule).to_numpy(zero_copy_only=False)
+    return {
+        "upper_words": match(r"^[^\p{Ll}]*\p{Lu}[^\p{Ll}]*\p{Lu}[^\p{Ll}]*$"),
+        "symbol_words": match(r"[#*$%&|<>@{}\[\]\\/=+~^_]|!!|\?\?"),
+        "alpha_words": match(r"^\p{L}+[.,;:!?]?$"),
+        "stop_words": np.isin(pc.utf8_lower(words).to_numpy(zero_copy_only=False).astype(str), STOP.split()),
+    }
+
+
+def long_features(text: bytes) -> np.ndarray:
+    """features() of one text that is read part by part, so that memory is bounded by its
+    distinct words and lines."""
+    hist, vocabulary, times = np.zeros(256, np.int64), [], []
+    again, last, lines, line, filled = 0, None, [], xxhash.xxh64(), False
+    for part in parts_of(text, STEP):
+        hist += np.bincount(np.frombuffer(part, np.uint8), minlength=256)
+        words = pc.utf8_split_whitespace(pa.array([part.decode()], pa.large_string())).flatten()
+        words = words.filter(pc.greater(pc.binary_length(words), 0))
+        if len(words):
+            codes = words.dictionary_encode()
+            at = codes.indices.to_numpy()
+            vocabulary.append(codes.dictionary)
+            times.append(np.bincount(at, minlength=len(codes.dictionary)))
+            again += int((at[1:] == at[:-1]).sum()) + (words[0].as_py() == last)
+            last = words[-1].as_py()
+        first, *rest = part.split(b"\n")
+        line.update(first)
+        filled = filled or bool(first)
+        for x in rest:
+            if filled:
+                lines.append(line.intdigest())
+            line, filled = xxhash.xxh64(x), bool(x)
+    if filled:
+        lines.append(line.intdigest())
+    kinds = _class_table()
+    size = max(1, int(hist.sum()))
+    share = [hist[kinds == k].sum() / size for k in range(8)]
+    p = hist[hist > 0] / size
+    merged = pa.table({"w": pa.concat_arrays(vocabulary or [pa.array([], pa.large_string())]), "n": np.concatenate(times or [np.zeros(0, np.int64)])})
+    merged = merged.group_by("w").aggregate([("n", "sum")])
+    words, n = merged["w"].combine_chunks(), merged["n_sum"].to_numpy().astype(np.int64)
+    length, count = pc.binary_length(words).to_numpy(zero_copy_only=False).astype(float), int(n.sum())
+    per = max(1, count)
+    mean = (length * n).sum() / per
+    found = {
+        "log_bytes": np.log1p(hist.sum()), "upper": share[0], "digit": share[1], "punct": share[2], "space": share[3], "newline": share[4], "high": share[5], "symbol": share[6],
+        "entropy": -(p * np.log2(p)).sum(), "log_words": np.log1p(count), "word_bytes": mean, "word_bytes_sd": np.sqrt(max(0.0, (length**2 * n).sum() / per - mean**2)),
+        "longest_word": np.log1p(length.max(initial=0)), "distinct_words": len(words) / per, "top_word": n.max(initial=0) / per, "repeated_next": again / per,
+        "distinct_lines": len(set(lines)) / max(1, len(lines)), "line_words": count / max(1, len(lines)), **{k: (v * n).sum() / per for k, v in _word_kinds(words).items()},
+    }
+    return np.array([found[name] for name in FEATURES])
+
+
 def _features(texts: pa.Array) -> np.ndarray:
     n = len(texts)
     out = np.zeros((n, len(FEATURES)))
@@ -76,13 +131,7 @@ def _features(texts: pa.Array) -> np.ndarray:
     longest = np.zeros(n)
     np.maximum.at(longest, owner, wl)
     put("longest_word", np.log1p(longest))
-    match = lambda rule: pc.match_substring_regex(vocabulary, rule).to_numpy(zero_copy_only=False)
-    for name, flag in (
-        ("upper_words", match(r"^[^\p{Ll}]*\p{Lu}[^\p{Ll}]*\p{Lu}[^\p{Ll}]*$")),
-        ("symbol_words", match(r"[#*$%&|<>@{}\[\]\\/=+~^_]|!!|\?\?")),
-        ("alpha_words", match(r"^\p{L}+[.,;:!?]?$")),
-        ("stop_words", np.isin(pc.utf8_lower(vocabulary).to_numpy(zero_copy_only=False).astype(str), STOP.split())),
-    ):
+    for name, flag in _word_kinds(vocabulary).items():
         put(name, np.bincount(owner, flag[codes], n) / per)
     pairs, times = np.unique(owner * max(v, 1) + codes, return_counts=True)
     of = pairs // max(v, 1)
@@ -108,12 +157,20 @@ def _features(texts: pa.Array) -> np.ndarray:
 def features(texts: pa.Array) -> np.ndarray:
     """(texts, FEATURES) statistics of whole texts; a null text counts as empty."""
     texts = pc.fill_null(texts, "").cast(pa.large_string())
-    size = np.cumsum(pc.binary_length(texts).to_numpy(zero_copy_only=False)) // STEP
+    size = pc.binary_length(texts).to_numpy(zero_copy_only=False)
+    long = np.flatnonzero(size > 2 * STEP).tolist()
+    apart = [long_features(texts[k].as_buffer().to_pybytes()) for k in long]
+    if long:
+        texts = pc.if_else(pa.array(size <= 2 * STEP), texts, pa.scalar("", texts.type))
+        size = np.where(size > 2 * STEP, 0, size)
     parts, at = [np.zeros((0, len(FEATURES)))], 0
-    for k in np.unique(size, return_counts=True)[1]:
+    for k in np.unique(np.cumsum(size) // STEP, return_counts=True)[1]:
         parts.append(_features(texts.slice(at, int(k))))
         at += int(k)
-    return np.concatenate(parts)
+    out = np.concatenate(parts)
+    for k, row in zip(long, apart, strict=True):
+        out[k] = row
+    return out
 
 
 def _feature_rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -160,6 +217,13 @@ def fold(doc_id) -> F.Column:
 
 
 def held_out(docs: DataFrame, labels: DataFrame) -> DataFrame:
+    """(doc_id, held_out, score, predicted) of each row, by trees fitted on the other fold.
+
+    Null and empty texts are scored as texts without words; rows repeated with one text
+    have one score; a null id is not held out; a tie at THRESHOLD predicts 1. Without a
+    usable label all scores are the prior. Other columns are ignored; an empty table
+    gives an empty result.
+    """
     model = train(docs, labels.filter(~fold(F.col("doc_id"))))
     return scores(docs, model).select(
         "doc_id", fold(F.col("doc_id")).alias("held_out"), "score", (F.col("score") >= THRESHOLD).cast("int").alias("predicted")
@@ -175,6 +239,7 @@ def _keeper(model: gbdt.Model, text_at: int, threshold: float):
 
 
 def keep_good(docs: DataFrame, labels: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
-    """The rows of ``docs`` that the classifier does not reject, columns unchanged."""
+    """The rows of ``docs`` that the classifier does not reject, columns unchanged whatever
+    their names; null texts are scored as empty ones, equal rows stay or go together."""
     model = train(docs, labels.filter(~fold(F.col("doc_id"))))
     return docs.mapInArrow(_keeper(model, docs.columns.index("text"), threshold), docs.schema)

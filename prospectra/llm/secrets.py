@@ -135,8 +135,9 @@ class Ledger:
 
     def __init__(self, spark: SparkSession, path: str) -> None:
         self.spark, self.path = spark, path.rstrip("/")
-        self._append("findings", spark.createDataFrame([], self.FINDINGS))
-        self._append("seen", spark.createDataFrame([], self.SEEN))
+        for table, schema in (("findings", self.FINDINGS), ("seen", self.SEEN)):
+            columns = [F.lit(None).cast(kind).alias(name) for name, kind in (c.split() for c in schema.split(", "))]
+            self._append(table, spark.range(0).select(*columns))  # so that the folder is there
 
     def _append(self, table: str, rows: DataFrame) -> None:
         rows.write.mode("append").parquet(f"{self.path}/{table}")
