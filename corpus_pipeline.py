@@ -9,7 +9,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 
 from prospectra.llm import decontaminate, packing, quality_classifier, secrets, simhash
-from prospectra.llm.common import ship_package, stored, table
+from prospectra.llm.common import clear, marked, ship_package, stored, table
 
 
 def good_quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -53,10 +53,10 @@ ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """All stages on documents, each one's rows written and read again by the next."""
-    docs = table(spark, sf_dir, "documents")
-    for name, stage in STAGES:
-        docs = stage(spark, docs, sf_dir)
-        if name != STAGES[-1][0]:
-            docs = stored(docs, "stage-" + name.replace(" ", "-"))
-    return docs
+    """All stages on documents, each one's rows written and read again by the next. What a
+    stage wrote in between is removed once its rows are written."""
+    docs, since = table(spark, sf_dir, "documents"), marked()
+    for name, stage in STAGES[:-1]:
+        docs = stored(stage(spark, docs, sf_dir), "stage-" + name.replace(" ", "-"))
+        clear(spark, since, but=1)
+    return STAGES[-1][1](spark, docs, sf_dir)
