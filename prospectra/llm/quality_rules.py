@@ -12,9 +12,10 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import SPACE, stored, text_or_empty
+from .common import SPACE, cut, stored, text_or_empty
 
-BUCKETS = 1 << 13
+#: A power of two.
+BUCKETS = 1 << 15
 WINDOW = 8
 LEAST_WORDS = 20
 MOST_REPEATED = 30  # percent of words
@@ -31,20 +32,25 @@ def words_of(text: Column) -> Column:
     return F.array_remove(F.split(text, SPACE), "")
 
 
-def _grams(words: Column) -> Column:
-    """Buckets of all n-grams, repeats included: GRAMS_PER_WORD for each word, the last
-    word's pair being that with the end of the text."""
-    hashed = F.zip_with(
-        words,
-        F.slice(words, F.lit(2), F.size(words)),
-        lambda w, after: F.array(
-            F.pmod(F.xxhash64(w), F.lit(BUCKETS)),
-            F.pmod(F.xxhash64(F.right(w, F.lit(EDGE)), F.lit(1)), F.lit(BUCKETS)),
-            F.pmod(F.xxhash64(F.left(w, F.lit(EDGE)), F.lit(2)), F.lit(BUCKETS)),
-            F.pmod(F.xxhash64(w, after, F.lit(3)), F.lit(BUCKETS)),
-        ),
-    )
-    return F.flatten(hashed)
+def _hashed(words: Column) -> Column:
+    return F.transform(words, lambda w: F.xxhash64(w))
+
+
+def _buckets(words: str, hashed: str, of) -> Column:
+    """``of`` the buckets of each word's n-grams: GRAMS_PER_WORD for each word, the last
+    word's pair being that with the end of the text. Both columns are read by place."""
+
+    def grams(w: Column, i: Column) -> Column:
+        mine, after = F.get(hashed, i), F.get(hashed, i + 1)
+        hashes = (
+            mine,
+            F.xxhash64(F.right(w, F.lit(EDGE)), F.lit(1)),
+            F.xxhash64(F.left(w, F.lit(EDGE)), F.lit(2)),
+            F.xxhash64(mine, after, F.lit(3)),
+        )
+        return of([h.bitwiseAND(F.lit(BUCKETS - 1)) for h in hashes])
+
+    return F.transform(words, grams)
 
 
 def weights(docs: DataFrame, trusted: DataFrame) -> DataFrame:
@@ -54,15 +60,16 @@ def weights(docs: DataFrame, trusted: DataFrame) -> DataFrame:
     met by a shuffle of the texts. Counts run over the n-grams of all documents,
     pre-aggregated into at most BUCKETS sums a task.
     """
-    size = trusted.count()
-    target = trusted.select(F.col("doc_id").alias("_trusted")).distinct().hint("shuffle_hash")
+    # cut off from its aggregate, so that the rows of a much-repeated or null id can be split
+    target = cut(trusted.select(F.col("doc_id").alias("_trusted")).distinct())
+    size = target.count()
+    target = target.hint("shuffle_hash")
     grams = (
         docs.select("doc_id", F.col("text").cast("string").alias("text"))
         .join(target, F.col("doc_id") == F.col("_trusted"), "left")
-        .select(
-            F.col("_trusted").isNotNull().cast("int").alias("in_target"),
-            F.explode(_grams(words_of(F.col("text")))).alias("bucket"),
-        )
+        .select(F.col("_trusted").isNotNull().cast("int").alias("in_target"), words_of(F.col("text")).alias("words"))
+        .select("in_target", "words", _hashed(F.col("words")).alias("hashed"))
+        .select("in_target", F.explode(F.flatten(_buckets("words", "hashed", lambda b: F.array(*b)))).alias("bucket"))
     )
     # at most BUCKETS rows; read twice below
     counts = stored(grams.groupBy("bucket").agg(F.count("*").alias("raw"), F.sum("in_target").alias("target")), "rule-counts")
@@ -74,22 +81,23 @@ def weights(docs: DataFrame, trusted: DataFrame) -> DataFrame:
 
 
 def counts_of(docs: DataFrame) -> DataFrame:
-    """Columns of ``docs`` with words, n_words, word_chars, n_symbols, n_dup_lines and
+    """Columns of ``docs`` with words, _hashed (a hash of each), n_words, word_chars, n_symbols, n_dup_lines and
     n_repeat_words of each text."""
     text = F.col("_text")
     lines = F.filter(F.split(text, "\n"), lambda x: x.rlike(r"[^ \t\n\x0B\f\r]"))
     symbols = sum((F.octet_length(text) - F.octet_length(F.replace(text, F.lit(c), F.lit(""))) for c in SYMBOLS), F.lit(0))
     first = docs.withColumn("_text", text_or_empty(F.col("text").cast("string"))).withColumn("words", words_of(text))
+    first = first.withColumn("_hashed", _hashed(F.col("words")))
     second = first.withColumns(
         {
             "n_words": F.size("words").cast("long"),
             "word_chars": F.length(F.array_join("words", "")).cast("long"),
             "n_symbols": symbols.cast("long"),
             "_lines": lines,
-            # a window's hash takes in its words one after the other
+            # a window's hash takes in those of its words one after the other
             "_windows": F.when(
                 F.size("words") >= WINDOW + 1,
-                F.transform(F.sequence(F.lit(1), F.size("words") - (WINDOW - 1)), lambda i: F.xxhash64(F.slice("words", i, WINDOW))),
+                F.transform(F.sequence(F.lit(1), F.size("words") - (WINDOW - 1)), lambda i: F.xxhash64(F.slice("_hashed", i, WINDOW))),
             ),
         }
     )
@@ -122,15 +130,16 @@ def judge(docs: DataFrame, trusted: DataFrame, threshold: float = THRESHOLD) ->
     base_failed, kept, log_ratio) of each row of ``docs``.
 
     Null and empty texts have no words, fail the base rules and have no log ratio.
-    Without a trusted document every ratio is 0. Repeated rows come back as often. An
-    empty table gives an empty result.
+    Without a trusted document every ratio is 0. A ratio equal to the threshold is kept.
+    Repeated rows come back as often; a text of any length is read whole; other columns
+    are ignored. An empty table gives an empty result.
     """
     table = stored(weights(docs, trusted), "rule-weights")
     # BUCKETS numbers as one value
     known = table.agg(F.transform(F.array_sort(F.collect_list(F.struct("bucket", "weight"))), lambda x: x["weight"]).alias("w"))
     counted = counts_of(docs.select(F.col("doc_id").cast("long"), "text"))
-    grams = _grams(F.col("words"))
-    total = F.aggregate(grams, F.lit(0.0), lambda s, g: s + F.get("_w", g.cast("int")))
+    each = _buckets("words", "_hashed", lambda b: sum((F.get("_w", g.cast("int")) for g in b), F.lit(0.0)))
+    total = F.aggregate(each, F.lit(0.0), lambda s, x: s + x)
     scored = counted.withColumn("_w", known.scalar()).withColumn("log_ratio", F.when(F.col("n_words") > 0, total / (GRAMS_PER_WORD * F.col("n_words"))))
     failed = (F.col("n_words") < LEAST_WORDS) | (100 * F.col("n_repeat_words") > MOST_REPEATED * F.col("n_words"))
     return scored.select(
