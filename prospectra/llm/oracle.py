@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from . import decontaminate as D
 from . import secrets as S
+from . import url_filter as U
 
 
 def _lit(s: str) -> str:
@@ -59,3 +60,12 @@ def secret_scans() -> str:
 s AS (SELECT *, sum(gl + ml) OVER (PARTITION BY doc_id, rank ORDER BY i) AS e FROM m),
 f AS (SELECT doc_id, {count(0)} AS n_assign, {count(1)} AS n_access, {count(2)} AS n_hex, {span} FILTER (WHERE rank < {S.BASE}) AS base, {span} AS spans FROM s WHERE ok GROUP BY doc_id)
 SELECT doc_id, coalesce(n_assign, 0) AS n_assign, coalesce(n_access, 0) AS n_access, coalesce(n_hex, 0) AS n_hex, sha256(coalesce(base, '')) AS base_sha256, coalesce(spans, '') AS spans FROM docs LEFT JOIN f USING (doc_id)"""
+
+
+def url_filter() -> str:
+    rules = ", ".join(f"({_lit(h)}, {_lit(p)}, {_lit(v)})" for h, p, v in U.RULES)
+    return f"""WITH r(h, p, v) AS (VALUES {rules}),
+u AS (SELECT row_number() OVER () AS n, page_id, CASE WHEN contains(coalesce(url, ''), '://') THEN substr(url, strpos(url, '://') + 3) ELSE '' END AS rest FROM pages),
+s AS (SELECT n, page_id, translate(regexp_extract(rest, '^[^/?#]*'), '{U._UPPER}', '{U._LOWER}') AS host, regexp_extract(rest, '^[^/?#]*([^?#]*)', 1) AS path FROM u),
+f AS (SELECT n, h || p AS rule, v, row_number() OVER (PARTITION BY n ORDER BY length(h) + length(p) DESC, length(h) DESC) AS k FROM s JOIN r ON (host = h OR ends_with(host, '.' || h)) AND starts_with(path, p))
+SELECT page_id, host, path, rule, coalesce(v, '{U.NO_RULE}') AS verdict FROM s LEFT JOIN (SELECT * FROM f WHERE k = 1) USING (n)"""

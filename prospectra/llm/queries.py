@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import decontaminate, langid, oracle, packing, quality_classifier, quality_rules, rans, secrets, sharding, simhash, warc
+from . import alignment, decontaminate, langid, oracle, packing, periodic_runs, quality_classifier, quality_rules, rans, secrets, sharding, simhash, url_filter, warc
 from .common import ship_package, table
 
 
@@ -61,11 +61,26 @@ def op10_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
     return secrets.find_secrets(table(spark, sf_dir, "documents"))
 
 
+def op11_periodic_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """One row a document: its runs' digests and the run of greatest exponent; null texts have no word, repeated rows come back as often."""
+    return periodic_runs.run_digests(table(spark, sf_dir, "documents"))
+
+
+def op12_alignment(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """One row a document: groups and links of two tokenizers' tokens; null texts have none, repeated rows are counted one by one."""
+    return alignment.alignment(table(spark, sf_dir, "documents"))
+
+
+def op13_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """One row a page: host, path, rule and verdict; null urls have an empty host and path, repeated rows come back as often."""
+    return url_filter.judge(table(spark, sf_dir, "pages"), url_filter.rule_table(spark))
+
+
 _ALL = {
     f.__name__: f
     for f in (
         op1_simhash, op2_language_mixture, op3_decontamination, op4_quality_rules, op5_quality_classifier,
-        op6_packing, op7_sharding, op8_warc, op9_rans, op10_secrets,
+        op6_packing, op7_sharding, op8_warc, op9_rans, op10_secrets, op11_periodic_runs, op12_alignment, op13_url_filter,
     )
 }
 
@@ -83,4 +98,4 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op3_decontamination": oracle.decontamination(), "op8_warc": oracle.warc(), "op10_secrets": oracle.secret_scans()}
+    return {"op3_decontamination": oracle.decontamination(), "op8_warc": oracle.warc(), "op10_secrets": oracle.secret_scans(), "op13_url_filter": oracle.url_filter()}
