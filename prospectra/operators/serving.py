@@ -61,13 +61,13 @@ def browse(leads: DataFrame, q: str | None = None, county: str | None = None, ti
     return leads
 
 
-_SORTS = {"tier": "tier", "name": "name", "city": "city", "category": "category", "score": "score", "updated": "updated_at"}
+SORTS = {"tier": "tier", "name": "name", "city": "city", "category": "category", "score": "score", "updated": "updated_at"}
 
 
 def sort_order(sort: str | None = None, order: str = "asc") -> list[Column]:
     """Order columns of a list; nulls last for score and update, first else as ascending
     text has it in the serving store; name and id settle ties."""
-    c = F.col(_SORTS.get(sort or "", "tier"))
+    c = F.col(SORTS.get(sort or "", "tier"))
     down = str(order).lower() == "desc"
     if sort in ("score", "updated"):
         first = c.desc_nulls_last() if down else c.asc_nulls_last()
@@ -89,14 +89,6 @@ def page(view: DataFrame, number: int = 1, size: int = 50, sort: str | None = No
     return rows, total
 
 
-def next_page(view: DataFrame, after_score: int, after_name: str, after_id: str, size: int = 50) -> DataFrame:
-    """Keyset paging by score: cost does not grow with depth, as an offset's does."""
-    later = (F.col("score") < after_score) | (
-        (F.col("score") == after_score) & ((F.col("name") > after_name) | ((F.col("name") == after_name) & (F.col("id") > after_id)))
-    )
-    return view.filter(later).orderBy(*sort_order("score", "desc")).limit(size)
-
-
 def run_saved_list(view: DataFrame, filter_json: str) -> DataFrame:
     """Evaluate the stored parameters of a smart list."""
     return filter_leads(view, json.loads(filter_json))

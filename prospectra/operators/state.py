@@ -41,7 +41,11 @@ def fold_patches(patches: DataFrame) -> DataFrame:
 def apply_crm_patches(crm: DataFrame, patches: DataFrame, leads: DataFrame) -> DataFrame:
     """CRM rows after the patches: only given columns change, unknown leads are rejected,
     favorite becomes 0 or 1, updated_at is the last patch's time."""
-    known = prune_orphans(fold_patches(patches), leads)
+    return patch_crm(crm, prune_orphans(fold_patches(patches), leads))
+
+
+def patch_crm(crm: DataFrame, known: DataFrame) -> DataFrame:
+    """CRM rows after patches of fold_patches(), of leads that are known."""
     # a value column is a struct, so that a given null is told from no value
     new = known.select(
         "lead_id",
@@ -108,5 +112,5 @@ def first_audits(targets: DataFrame, done: DataFrame) -> DataFrame:
 
 __all__ = [
     "PATCHED", "apply_crm_patches", "as_patches", "coerce_audit", "empty_crm", "first_audits", "first_per_key", "fold_patches",
-    "log_outcome", "rebuild_catalogue", "timeline", "upsert_audit",
+    "log_outcome", "patch_crm", "rebuild_catalogue", "timeline", "upsert_audit",
 ]

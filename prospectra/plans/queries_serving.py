@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from ..functions import values as V
 from ..operators import aggregates as A
-from ..operators import joins, serving, state
+from ..operators import joins, paging, serving, state
 from ..operators.shared import fresh_path
 from ..sources import sinks
 from . import oracle as O
@@ -279,7 +279,7 @@ def page_totals(t: Tables) -> DataFrame:
 
 @query("SELECT id, score FROM view_v WHERE score < 75 OR (score = 75 AND name > 'Customer#000000500') ORDER BY score DESC, name, id LIMIT 50")
 def page_by_keyset(t: Tables) -> DataFrame:
-    return serving.next_page(t.view, 75, "Customer#000000500", "zzzz").select("id", "score")
+    return paging.next_page(t.view, {"score": 75, "name": "Customer#000000500", "id": "zzzz"}, 50, "score", "desc").select("id", "score")
 
 
 @query("SELECT id, seq <= (SELECT max(seq) FROM (SELECT seq FROM leads_v ORDER BY seq LIMIT 70)) AS enrich FROM leads_v")

@@ -80,7 +80,7 @@ def query(sql: str | None = None, name: str | None = None):
 
 
 def _load() -> None:
-    from . import queries_catalogue, queries_pages, queries_serving  # noqa: F401
+    from . import queries_catalogue, queries_jobs, queries_pages, queries_serving  # noqa: F401
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:

@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
+import csv
 from collections.abc import Iterable
+from urllib.parse import unquote
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -131,10 +133,51 @@ def county_of(path: str = "path"):
     return F.initcap(F.replace(F.regexp_extract(path, r"([a-z_]+)_leads_full\.[a-z]+(?:/[^/]*)?$", 1), F.lit("_"), F.lit(" ")))
 
 
-def read_counties(spark: SparkSession, paths) -> DataFrame:
-    """Lead files of several counties, with duplicates, each row with its county."""
-    rows = spark.read.csv(paths, header=True, escape='"')
-    return rows.withColumn("county", county_of("_metadata.file_path"))
+def _headers(spark: SparkSession, paths: str | list[str]) -> dict[str, list[str]]:
+    """{first line: files that begin with it}, from the first block of each file alone."""
+    lines = spark.read.text(paths).select("value", "_metadata.file_path", "_metadata.file_block_start", F.monotonically_increasing_id().alias("at"))
+    first = lines.filter("file_block_start = 0").groupBy("file_path").agg(F.min_by("value", "at").alias("header"))
+    # one row a file; Spark's driver lists the files anyway
+    found = first.groupBy("header").agg(F.sort_array(F.collect_list("file_path")).alias("files")).orderBy("header")
+    return {r.header.lstrip("\ufeff"): r.files for r in found.collect()}
+
+
+def read_by_header(spark: SparkSession, paths: str | list[str], columns: Iterable[str] | None = None) -> DataFrame:
+    """CSV files whose columns may differ in number and order, with a column ``file``.
+
+    Files with one header are one scan, and the scans are united by name, so each value
+    stands under the name that its own file gives it. ``columns`` picks names; without it
+    all names come back in the order in which headers, sorted, give them. Names that differ
+    in case alone are one. A missing column or value is ''; of a name that a header has
+    twice the last column counts; values may hold line breaks, commas and quotes in quotes.
+    Files without a line give no rows. A header with a line break in quotes is an error.
+    """
+    parts, names = [], {c.lower(): c for c in columns or ()}
+    for header, files in _headers(spark, paths).items():
+        if header.count('"') % 2:
+            raise ValueError(f"the header of {files[0]} has a line break in quotes")
+        have = next(csv.reader([header]), [])
+        if columns is None:
+            for c in have:
+                names.setdefault(c.lower(), c)
+        schema = T.StructType([T.StructField(f"_{k}", T.StringType()) for k in range(max(1, len(have)))])
+        rows = spark.read.schema(schema).csv([unquote(f) for f in files], header=True, escape='"', multiLine=True)
+        place = {c.lower(): f"_{k}" for k, c in enumerate(have)}  # the last of a name stays
+        parts.append(rows.select(F.col("_metadata.file_path").alias("file"), *[F.coalesce(F.col(i), F.lit("")).alias(f"_{c}") for c, i in place.items()]))
+    if not parts:
+        return spark.createDataFrame([], T.StructType([T.StructField(c, T.StringType()) for c in ("file", *names.values())]))
+    out = parts[0]
+    for p in parts[1:]:
+        out = out.unionByName(p, allowMissingColumns=True)
+    have = set(out.columns)
+    return out.select(F.col("file"), *[F.coalesce(F.col(f"`_{k}`"), F.lit("")).alias(c) if f"_{k}" in have else F.lit("").alias(c) for k, c in names.items()])
+
+
+def read_counties(spark: SparkSession, paths: str | list[str], columns: Iterable[str] | None = None) -> DataFrame:
+    """Lead files of several counties, with duplicates, each row with its county; columns as
+    read_by_header() gives them."""
+    rows = read_by_header(spark, paths, columns)
+    return rows.withColumn("county", county_of("file")).drop("file")
 
 
 def read_export(df: DataFrame, aliases: dict[str, tuple[str, ...]]) -> DataFrame:

@@ -268,14 +268,14 @@ def test_crm_goes_on_after_a_restart(spark, tmp_path):
     patch = lambda n, lead: spark.sql(f"SELECT {n} AS event_id, timestamp'2024-01-0{n}' AS ts, '{lead}' AS lead_id, map('status', 'Won', 'notes', 'n{n}') AS patch")
     for n, lead in enumerate("abcab", 1):
         jobs.CrmTable(spark, str(tmp_path)).merge(patch(n, lead), n, leads)  # each time a new object
-    (tmp_path / f"v={9:020d}").mkdir()  # a snapshot that was never finished
+    (tmp_path / "data" / "batch=9" / "bucket=0").mkdir(parents=True)  # a batch that was never finished
     jobs.CrmTable(spark, str(tmp_path)).merge(patch(5, "b"), 5, leads)  # a batch that runs again
     every = patch(1, "a")
     for n, lead in enumerate("bcab", 2):
         every = every.unionByName(patch(n, lead))
     want = state.apply_crm_patches(state.empty_crm(spark), every, leads)
     assert sorted(map(str, jobs.CrmTable(spark, str(tmp_path)).read().collect())) == sorted(map(str, want.select(*state.empty_crm(spark).columns).collect()))
-    assert len(list(tmp_path.glob("v=*/_SUCCESS"))) == jobs.CrmTable.KEPT
+    assert len(list(tmp_path.glob("manifests/[0-9]*"))) == jobs.CrmTable.KEPT
 
 
 def test_targets_and_sessions_of_streams(spark, tmp_path):
