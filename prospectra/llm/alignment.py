@@ -16,6 +16,7 @@ from __future__ import annotations
 import hashlib
 from collections.abc import Iterator
 from functools import lru_cache
+from itertools import chain
 
 import numpy as np
 import pyarrow as pa
@@ -28,7 +29,9 @@ from .tokens import Encoder, _byte_chars, public_path
 
 FIRST, SECOND = "byte_bpe_50k.json", "piece_bpe_32k.model"
 #: Bytes of text that are aligned at once, unless one text has more.
-STEP = 2 << 20
+STEP = 1 << 19
+#: Rows whose links are looked up at once.
+LOOK_UP = 500
 #: Characters of a text that the second tokenizer takes at once, cut before a space.
 PART = 1 << 16
 
@@ -36,7 +39,6 @@ _ALIGNED = (
     "doc_id long, n_a long, n_b long, n_groups long, n_links long, groups_sha256 string, links binary,"
     " pairs array<struct<a: int, b: int, n: long>>"
 )
-_PAIRS = pa.list_(pa.struct([("a", pa.int32()), ("b", pa.int32()), ("n", pa.int64())]))
 
 
 class _Plain(Encoder):
@@ -103,7 +105,7 @@ class Vocabularies:
         quick = iter(self.b.encode(short, num_threads=1) if short else [])
         found = [next(quick) if len(t) <= PART else self._second(t) for t in texts]
         n_b = np.fromiter(map(len, found), np.int64, len(found))
-        ids_b = np.fromiter((i for ids in found for i in ids), np.int32, int(n_b.sum()))
+        ids_b = np.fromiter(chain.from_iterable(found), np.int32, int(n_b.sum()))
         return ids_a.astype(np.int64), n_a, ids_b.astype(np.int64), n_b
 
 
@@ -170,19 +172,17 @@ def align(vocab: Vocabularies, texts: list[str]) -> tuple[list[tuple], np.ndarra
     i, j, of = (links.column(c).to_numpy() for c in ("i", "j", "doc"))
     order = np.lexsort((j, i))
     i, j, of = i[order], j[order], of[order]
-    # a token's group is the number of links before it; B tokens follow A tokens in each
-    cuts_a, cuts_b = np.unique(i), np.unique(j)
-    group_a = np.searchsorted(cuts_a, np.arange(len(ids_a)))
-    group_b = np.searchsorted(cuts_b, np.arange(len(ids_b)))
+    # a token's group is the number of shared ends before its own; B tokens follow A tokens
     last_a, last_b = np.zeros(len(ids_a), np.int64), np.zeros(len(ids_b), np.int64)
-    last_a[cuts_a], last_b[cuts_b] = 1, 2  # which of ",|;" follows
-    names = np.concatenate([ids_a + last_a * vocab.size, ids_b + last_b * vocab.size])
-    place = np.argsort(np.concatenate([2 * group_a, 2 * group_b + 1]), kind="stable")
+    last_a[i], last_b[j] = 1, 1
+    place = np.argsort(np.concatenate([2 * (np.cumsum(last_a) - last_a), 2 * (np.cumsum(last_b) - last_b) + 1]), kind="stable")
+    # "," follows an id, "|" the last A id of a group, ";" its last B id
+    names = np.concatenate([ids_a + last_a * vocab.size, ids_b + 2 * last_b * vocab.size])
     data, ends = _joined(vocab.numbers, names[place])
     ends = np.concatenate(([0], ends))
     n_a, n_b = np.where(ok, n_a, 0), np.where(ok, n_b, 0)
     at = ends[_bounds(n_a + n_b)]
-    groups = np.bincount(doc_a[cuts_a], minlength=len(texts))
+    groups = np.bincount(doc_a[last_a > 0], minlength=len(texts))
     linked = np.bincount(of, minlength=len(texts))
     rows = []
     for k in range(len(texts)):
@@ -191,9 +191,13 @@ def align(vocab: Vocabularies, texts: list[str]) -> tuple[list[tuple], np.ndarra
     return rows, of, ids_a[i], ids_b[j]
 
 
-def _counted(a: np.ndarray, b: np.ndarray) -> list[dict]:
+def _counted(a: np.ndarray, b: np.ndarray, rows: int) -> pa.Array:
+    """How often each pair is linked: a list in the first of so many rows, null in others."""
     table = pa.table({"a": a.astype(np.int32), "b": b.astype(np.int32)}).group_by(["a", "b"], use_threads=False).aggregate([([], "count_all")])
-    return table.rename_columns(["a", "b", "n"]).to_pylist()
+    n = table.num_rows
+    pairs = pa.StructArray.from_arrays([table.column(c).combine_chunks() for c in ("a", "b", "count_all")], ["a", "b", "n"])
+    ends = pa.array([0] + [n] * rows, pa.int32(), mask=np.array([False] + [True] * (rows - 1) + [False]) if rows > 1 else None)
+    return pa.ListArray.from_arrays(ends, pairs)
 
 
 def _align_batches(first: str, second: str):
@@ -214,17 +218,16 @@ def _one_step(vocab: Vocabularies, b: pa.RecordBatch) -> pa.RecordBatch:
     some = [k for k, t in enumerate(texts) if t]
     rows = [(0, 0, 0, 0, "")] * len(texts)
     links = [b""] * len(texts)
-    pairs: list[dict] = []
+    a = c = np.empty(0, np.int64)
     if some:
         found, of, a, c = align(vocab, [texts[k] for k in some])
         packed = np.stack([a, c], axis=1).astype("<u2")
         cuts = _bounds(np.bincount(of, minlength=len(some)))
         for m, k in enumerate(some):
             rows[k], links[k] = found[m], packed[cuts[m] : cuts[m + 1]].tobytes()
-        pairs = _counted(a, c)
     cols = list(zip(*rows, strict=True))
     return pa.RecordBatch.from_arrays(
-        [b.column(0), *[pa.array(c, pa.int64()) for c in cols[:4]], pa.array(cols[4], pa.string()), pa.array(links, pa.binary()), pa.array([pairs, *[None] * (len(rows) - 1)], _PAIRS)],
+        [b.column(0), *[pa.array(c, pa.int64()) for c in cols[:4]], pa.array(cols[4], pa.string()), pa.array(links, pa.binary()), _counted(a, c, len(rows))],
         ["doc_id", "n_a", "n_b", "n_groups", "n_links", "groups_sha256", "links", "pairs"],
     )
 
@@ -266,7 +269,8 @@ def alignment(docs: DataFrame, first: str = FIRST, second: str = SECOND) -> Data
     def look_up(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         code, n, best = table.value
         n, best = np.append(n, 0), np.append(best, False)
-        for b in batches:
+        # some rows at once: their links are widened to several arrays
+        for b in (b.slice(k, LOOK_UP) for b in batches for k in range(0, b.num_rows, LOOK_UP)):
             links = b.column("links")
             pairs = np.frombuffer(b"".join(x.as_buffer() for x in links), "<u2").reshape(-1, 2).astype(np.int64)
             at = np.searchsorted(code, pairs[:, 0] * 65536 + pairs[:, 1])
