@@ -34,6 +34,8 @@ from .common import stored
 EXPONENT, SHORTEST = 4, 6
 #: Words of a row of tiles, unless one tile alone has more.
 TILE_WORDS = 1 << 15
+#: Words of the tiles of one task.
+TASK_WORDS = 1 << 20
 #: Words that one hash of the stretch test covers.
 GRAM = 8
 #: Bytes of rows that are handed on at once.
@@ -263,8 +265,11 @@ def _tiles(docs: DataFrame, change) -> DataFrame:
 
 def _stitched_tiles(tiles: DataFrame) -> DataFrame:
     tile = tiles.filter("octave IS NOT NULL").select("doc_id", "digest", "octave", "first", "last", "codes")
-    # each tile once, though its document be repeated; long documents go to many tasks
-    tile = tile.dropDuplicates(["doc_id", "digest", "octave", "first"])
+    # each tile once, though its document be repeated; long documents go to many tasks, as
+    # many as the words ask for, since what a tile costs is far more than its size tells
+    key = ["doc_id", "digest", "octave", "first"]
+    words = tile.agg(F.sum(F.octet_length("codes")) / 4).first()[0] or 0
+    tile = tile.repartition(max(1, int(words) // TASK_WORDS), *key).dropDuplicates(key)
     fragments = tile.mapInArrow(_solve, "doc_id long, digest binary, period long, s long, e long")
     return stitched(fragments, "doc_id", "digest")
 
