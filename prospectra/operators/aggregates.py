@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from ..functions import values as V
 from ..functions.columns import present
+from .shared import cut
 
 
 def _count(condition: Column) -> Column:
@@ -51,10 +52,19 @@ def status_counts(leads: DataFrame, crm: DataFrame) -> DataFrame:
     return order.join(found, "status", "left").select("status", F.coalesce("n", F.lit(0)).alias("n"))
 
 
+def _filled(columns) -> list[Column]:
+    """How many rows fill each column, under the column's name with an underscore."""
+    return [_count(present(F.col(c).cast("string"))).alias(f"_{c}") for c in columns]
+
+
+def _rates(total: DataFrame, columns, n: str = "_n") -> DataFrame:
+    """(column, fill_pct) from one row of _filled() and the number of rows; null without any."""
+    return total.select(*[F.bround(100 * F.col(f"_{c}") / F.nullif(F.col(n), F.lit(0)), 0).cast("int").alias(c) for c in columns]).unpivot([], list(columns), "column_name", "fill_pct")
+
+
 def fill_rates(leads: DataFrame, columns) -> DataFrame:
     """(column, fill_pct): one pass over the leads, then one row a column."""
-    rates = leads.agg(*[F.bround(100 * _count(present(F.col(c).cast("string"))) / F.count("*"), 0).cast("int").alias(c) for c in columns])
-    return rates.unpivot([], list(columns), "column_name", "fill_pct")
+    return _rates(leads.agg(F.count("*").alias("_n"), *_filled(columns)), columns)
 
 
 def distribution(leads: DataFrame, column: str) -> DataFrame:
@@ -66,44 +76,73 @@ def is_warm() -> Column:
     return present("phone") & F.upper("tier").isin("A", "B") & F.col("industry_fit").isin("high", "medium")
 
 
+_GAP_KEYS = {"category": ("niche", "(uncategorized)"), "city": ("city", "(unknown)")}
+
+
+def _gap_key(by: str) -> Column:
+    label, blank = _GAP_KEYS[by]
+    return F.coalesce(F.nullif(F.trim(by), F.lit("")), F.lit(blank)).alias(label)
+
+
+def _gap_sums() -> list[Column]:
+    return [
+        F.count("*").alias("total"), _count(F.upper("tier") == "A").alias("no_website"), _count(is_warm()).alias("warm_leads"),
+        _count(present("phone")).alias("with_phone"), F.sum(F.coalesce("outreach_score", F.lit(0))).alias("_score"),
+    ]
+
+
+def _gap_rows(sums: DataFrame, label: str) -> DataFrame:
+    return sums.select(
+        label, "total", "no_website", F.bround(100 * F.col("no_website") / F.col("total"), 1).alias("no_website_pct"), "warm_leads", "with_phone",
+        F.bround(F.col("_score") / F.col("total"), 1).alias("avg_outreach_score"),
+    )
+
+
 def market_gap(leads: DataFrame, by: str = "category") -> DataFrame:
     """Size, need and warmth of each niche or city, in one conditional aggregate."""
-    label, blank = {"category": ("niche", "(uncategorized)"), "city": ("city", "(unknown)")}[by]
-    key = F.coalesce(F.nullif(F.trim(by), F.lit("")), F.lit(blank)).alias(label)
-    n, none = F.count("*"), _count(F.upper("tier") == "A")
-    return leads.groupBy(key).agg(
-        n.alias("total"),
-        none.alias("no_website"),
-        F.bround(100 * none / n, 1).alias("no_website_pct"),
-        _count(is_warm()).alias("warm_leads"),
-        _count(present("phone")).alias("with_phone"),
-        F.bround(F.sum(F.coalesce("outreach_score", F.lit(0))) / n, 1).alias("avg_outreach_score"),
-    )
+    return _gap_rows(leads.groupBy(_gap_key(by)).agg(*_gap_sums()), _GAP_KEYS[by][0])
 
 
 def market_gap_report(leads: DataFrame) -> dict[str, DataFrame]:
     """The 25 niches and 20 cities with the most warm leads, and the 30 cells of niche and
-    city with the most leads without a site; ties go by name."""
+    city with the most leads without a site; ties go by name. The leads are read once, by
+    grouping sets whose sums are stored: a row a niche, a city and a cell."""
+    keyed = leads.select(_gap_key("category"), _gap_key("city").alias("_city"), "tier", "phone", "industry_fit", "outreach_score").withColumnRenamed("_city", "city")
+    sums = cut(keyed.groupingSets([["niche"], ["city"], ["niche", "city"]], "niche", "city").agg(F.grouping_id().alias("_set"), *_gap_sums()))
+    of = lambda k: sums.filter(F.col("_set") == k)  # noqa: E731  bits: niche, city left out
     return {
-        "top_niches": market_gap(leads, "category").orderBy(F.desc("warm_leads"), "niche").limit(25),
-        "top_cities": market_gap(leads, "city").orderBy(F.desc("warm_leads"), "city").limit(20),
-        "hottest_cells": opportunity_matrix(leads, 1).orderBy(F.desc("n"), "niche", "city").limit(30),
+        "top_niches": _gap_rows(of(1), "niche").orderBy(F.desc("warm_leads"), "niche").limit(25),
+        "top_cities": _gap_rows(of(2), "city").orderBy(F.desc("warm_leads"), "city").limit(20),
+        "hottest_cells": of(0).filter("no_website > 0").select("niche", "city", F.col("no_website").alias("n")).orderBy(F.desc("n"), "niche", "city").limit(30),
     }
 
 
 def data_dictionary(leads: DataFrame, columns=V.FULL_EXPORT_FIELDS, docs: dict[str, str] | None = None, top: int = 25) -> dict[str, DataFrame]:
     """What an export of leads holds: size (rows, niches and cities), columns (with fill
-    rate and text) that exist, in order, tiers, fits, and the niches with the most rows."""
+    rate and text) that exist, in order, tiers, fits, and the niches with the most rows. The
+    leads are read once, by grouping sets whose counts are stored."""
     docs = V.COLUMN_TEXTS if docs is None else docs
     have = [c for c in columns if c in leads.columns]
     told = leads.sparkSession.createDataFrame([(k, c, docs.get(c, "")) for k, c in enumerate(have)], "ord int, column_name string, text string")
-    distinct = lambda c: F.count_distinct(F.when(F.length(c) > 0, F.col(c)))
+    keys = ("tier", "industry_fit", "category", "city")
+    named = leads.select(*[F.col(c).alias(f"_by_{c}") for c in keys], *have)
+    sums = cut(named.groupingSets([*[[f"_by_{c}"] for c in keys], []], *[f"_by_{c}" for c in keys]).agg(F.grouping_id().alias("_set"), F.count("*").alias("_n"), *_filled(have)))
+
+    def by(c: str) -> DataFrame:
+        left_out = (1 << len(keys)) - 1 - (1 << (len(keys) - 1 - keys.index(c)))
+        return sums.filter(F.col("_set") == left_out).select(F.col(f"_by_{c}").alias(c), F.col("_n").alias("n"))
+
+    # an aggregate, as no set has a row if there are no leads
+    total = sums.filter(F.col("_set") == (1 << len(keys)) - 1).agg(F.coalesce(F.max("_n"), F.lit(0)).alias("_n"), *[F.max(f"_{c}").alias(f"_{c}") for c in have])
+    filled = lambda c: by(c).filter(F.length(c) > 0)
+    # one row each
+    size = total.select(F.col("_n").alias("businesses")).crossJoin(filled("category").agg(F.count("*").alias("niches"))).crossJoin(filled("city").agg(F.count("*").alias("cities")))
     return {
-        "size": leads.agg(F.count("*").alias("businesses"), distinct("category").alias("niches"), distinct("city").alias("cities")),
-        "columns": told.join(F.broadcast(fill_rates(leads, have)), "column_name").select("ord", "column_name", "fill_pct", "text"),
-        "tiers": distribution(leads, "tier"),
-        "fits": distribution(leads, "industry_fit"),
-        "top_niches": counts_by(leads, "category", top),
+        "size": size,
+        "columns": told.join(F.broadcast(_rates(total, have)), "column_name").select("ord", "column_name", "fill_pct", "text"),
+        "tiers": by("tier"),
+        "fits": by("industry_fit"),
+        "top_niches": filled("category").orderBy(F.desc("n"), "category").limit(top),
     }
 
 

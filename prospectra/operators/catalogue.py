@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Iterable
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import scoring
@@ -79,19 +79,22 @@ def name_counts(df: DataFrame, name: str = "name") -> DataFrame:
 
 
 def join_name_counts(df: DataFrame, name: str = "name") -> DataFrame:
-    """Each row with how often its name occurs. Counts are pre-aggregated and cut off, so
-    that the join has a plain exchange on either side and Spark can split a very common
-    name's rows."""
-    return df.join(cut(name_counts(df, name)), name)
+    """Each row with n, how often its name occurs; null for a row without a name. Counts
+    are pre-aggregated and cut off, so that the join has a plain exchange on either side
+    and Spark can split a very common name's rows."""
+    return df.join(cut(name_counts(df, name)), name, "left")
 
 
 def flag_chains(df: DataFrame, threshold: int = V.CHAIN_THRESHOLD) -> DataFrame:
     """is_chain: a brand is given, or the exact name occurs ``threshold`` times or more.
     Only the frequent names are joined, of which there are at most rows / threshold and
-    as a rule very few: Spark broadcasts them once it knows their size."""
-    frequent = name_counts(df).filter(F.col("n") >= threshold).select("name", F.lit(True).alias("_often"))
+    as a rule very few: Spark broadcasts them once it knows their size. Where they are too
+    many, the hash beside the name asks for an exchange of its own above the aggregate, so
+    that both sides have a plain one and Spark can split a very common name's rows."""
+    frequent = name_counts(df).filter(F.col("n") >= threshold).select("name", F.xxhash64("name").alias("_hash"), F.lit(True).alias("_often"))
     branded = F.coalesce(F.length("brand") > 0, F.lit(False))
-    return df.join(frequent, "name", "left").withColumn("is_chain", branded | F.coalesce("_often", F.lit(False))).drop("_often")
+    found = df.withColumn("_hash", F.xxhash64("name")).join(frequent, ["name", "_hash"], "left")
+    return found.withColumn("is_chain", branded | F.coalesce("_often", F.lit(False))).select(*df.columns, "is_chain")
 
 
 def exclusion_counts(flagged: DataFrame) -> DataFrame:
@@ -127,25 +130,49 @@ def weak_url_like(df: DataFrame, patterns: Iterable[str] = V.WEAK_SUBSTRINGS, ur
     return df.withColumn("is_weak", weak_substring(url, patterns))
 
 
-def assign_market(places: DataFrame, markets: DataFrame, cell: float = 0.5) -> DataFrame:
+#: Levels of the cells below: those of level k are 360 / 2 ** k degrees wide.
+FINEST = 22
+#: A box is covered by cells of at most this part of its longer side.
+PARTS = 8
+
+
+def _cell(degrees: Column, level: Column) -> Column:
+    """Number of the cell of a level in which a longitude or latitude lies."""
+    return F.floor((degrees + 180) * F.pow(F.lit(2.0), level) / 360).cast("long")
+
+
+def cover(markets: DataFrame) -> DataFrame:
+    """``markets`` with _level, _y and _x of each cell that touches the box. The level goes
+    by the longer side, so a box of any size has some hundred cells at most; boxes without
+    a bound or turned over have none."""
+    side = F.greatest(F.col("north") - F.col("south"), F.col("east") - F.col("west"))
+    level = F.when(side > 0, F.ceil(F.log2(360 * PARTS / side))).otherwise(FINEST)
+    placed = markets.filter("south <= north AND west <= east").withColumn("_level", F.greatest(F.lit(0), F.least(F.lit(FINEST), level)).cast("int"))
+    cells = lambda low, high: F.explode(F.sequence(_cell(F.col(low), F.col("_level")), _cell(F.col(high), F.col("_level"))))
+    return placed.withColumn("_y", cells("south", "north")).withColumn("_x", cells("west", "east"))
+
+
+def assign_market(places: DataFrame, markets: DataFrame) -> DataFrame:
     """Rows with each market (market, south, west, north, east) whose box holds them.
 
-    Boxes overlap, so a row may come back more than once. Points and boxes meet in grid
-    cells of ``cell`` degrees: an equi-join, whatever the number of boxes.
+    Boxes overlap, so a row may come back more than once. Points and boxes meet in the
+    cells of the levels that boxes need, of which there are FINEST at most: an equi-join,
+    whatever the number and the sizes of the boxes. Boxes are not aggregated, so Spark can
+    split the points of a crowded cell. A row without a place is in no market.
     """
-    floor = lambda c: F.floor(F.col(c) / cell).cast("int")
-    boxes = markets.withColumn("_y", F.explode(F.sequence(floor("south"), floor("north")))).withColumn(
-        "_x", F.explode(F.sequence(floor("west"), floor("east")))
-    )
-    points = places.withColumns({"_y": floor("lat"), "_x": floor("lon")})
+    boxes = cover(markets)
+    levels = sorted(r[0] for r in boxes.select("_level").distinct().collect())
+    points = places.withColumn("_level", F.explode(F.array(*map(F.lit, levels)).cast("array<int>")))
+    points = points.withColumns({"_y": _cell(F.col("lat"), F.col("_level")), "_x": _cell(F.col("lon"), F.col("_level"))})
     inside = F.col("lat").between(F.col("south"), F.col("north")) & F.col("lon").between(F.col("west"), F.col("east"))
-    return points.join(boxes, ["_y", "_x"]).filter(inside).drop("_y", "_x", "south", "west", "north", "east")
+    return points.join(boxes, ["_level", "_y", "_x"]).filter(inside).drop("_level", "_y", "_x", "south", "west", "north", "east")
 
 
 def office_counts(df: DataFrame, key: str = "name_key") -> DataFrame:
-    """How many rows share a key, on each row; counts are cut off as for names."""
-    counts = cut(df.groupBy(key).agg(F.count("*").alias("offices")))
-    return df.join(counts, key)
+    """Each row with offices, how many rows share its key; null for a row without a key.
+    Counts are cut off as for names."""
+    counts = cut(df.filter(F.col(key).isNotNull()).groupBy(key).agg(F.count("*").alias("offices")))
+    return df.join(counts, key, "left")
 
 
 def fill_in(df: DataFrame, columns: Iterable[str]) -> DataFrame:

@@ -39,7 +39,8 @@ def dedupe_first(rows: DataFrame, key: str, seq: str = "seq") -> DataFrame:
 
 def dedupe_merge_label(rows: DataFrame, key: str = "id", label: str = "niche", seq: str = "seq") -> DataFrame:
     """The first row of each key; its label takes up, by " / ", each later label that it
-    does not contain yet. Distinct labels of a key are few, rows may be many."""
+    does not contain yet. Distinct labels of a key are few, rows may be many. Rows with a
+    null key share it."""
     firsts = rows.groupBy(key, label).agg(F.min(seq).alias("_at"))
     ordered = firsts.groupBy(key).agg(F.array_sort(F.collect_list(F.struct(F.col("_at"), F.col(label).alias("l")))).alias("_labels"))
     merged = F.aggregate(
@@ -47,7 +48,8 @@ def dedupe_merge_label(rows: DataFrame, key: str = "id", label: str = "niche", s
         F.lit("").cast("string"),
         lambda s, x: F.when(s == "", x["l"]).when(F.contains(s, x["l"]), s).otherwise(F.concat(s, F.lit(" / "), x["l"])),
     )
-    return first_per_key(rows, key, F.col(seq)).drop(label).join(ordered.select(key, merged.alias(label)), key)
+    labels = ordered.select(F.col(key).alias("_key"), merged.alias(label))
+    return first_per_key(rows, key, F.col(seq)).drop(label).join(labels, F.col(key).eqNullSafe(F.col("_key"))).drop("_key")
 
 
 def assign_primary(rows: DataFrame, priority: DataFrame, key: str = "id") -> DataFrame:

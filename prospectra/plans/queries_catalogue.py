@@ -409,7 +409,7 @@ def office_counts(t: Tables) -> DataFrame:
 
 @query("SELECT (SELECT count(*) FROM places_v) AS raw, (SELECT count(*) FROM leads_v) AS clean, (SELECT count(*) FROM leads_v WHERE tier = 'A') AS tier_a, (SELECT count(*) FROM leads_v WHERE phone <> '') AS with_phone, (SELECT count(*) FROM crm_v) AS crm_kept")
 def build_summary(t: Tables) -> DataFrame:
-    return A.build_summary(t.places, t.leads, t.crm)
+    return A.build_summary(t.places, t.lead_core, t.core_crm)
 
 
 FIT = f"""SELECT id, cast(seq % 60 AS int) AS agents, CASE seq % 5 WHEN 0 THEN 'hiring' WHEN 1 THEN 'open' WHEN 2 THEN 'software' WHEN 3 THEN 'in_house' ELSE 'unknown' END AS gap, phone,

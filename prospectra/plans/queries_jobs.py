@@ -8,7 +8,7 @@ from dataclasses import replace
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ..operators import guard, pages, paging, search
+from ..operators import bucketed, guard, pages, paging, search
 from ..operators.shared import fresh_path, stored
 from ..sources import readers
 from ..sources.releases import ReleaseStore
@@ -167,3 +167,12 @@ def activity_days(t: Tables) -> DataFrame:
     store.compact("all")
     found = store.read("2024-01-10", "2024-01-20").filter(F.col("lead_id").isin("c1", "c2", "c3"))
     return found.select("event_id", "account_id", "lead_id", "kind", F.date_format("created_at", "yyyy-MM-dd HH:mm:ss").alias("created"))
+
+
+@query("SELECT id, name, tier, status, favorite, audit_status, audit_https, audit_grade, notes FROM view_v")
+def bucketed_view(t: Tables) -> DataFrame:
+    """The joined view over tables in buckets of one id."""
+    path = fresh_path(t.spark, "serving")
+    tables = bucketed.ServingTables(t.spark, path, "s" + path.rpartition("-")[2], 8)
+    tables.build(leads=t.leads.select("id", "name", "tier"), crm=t.crm, audit=t.audit)
+    return tables.view().select("id", "name", "tier", "status", "favorite", "audit_status", "audit_https", "audit_grade", "notes")

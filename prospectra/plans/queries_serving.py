@@ -114,7 +114,7 @@ def facets(t: Tables) -> DataFrame:
  count(*) FILTER (WHERE phone <> '') AS with_phone, round(avg(score), 1) AS avg_score, (SELECT count(*) FROM audit_v) AS audited,
  (SELECT count(*) FROM audit_v WHERE audit_grade IN ('weak', 'broken')) AS bad_sites, (SELECT count(*) FROM crm_v WHERE favorite = 1) AS favorites FROM leads_v""")
 def stats(t: Tables) -> DataFrame:
-    return A.stats(t.leads, t.crm, t.audit)
+    return A.stats(t.lead_core, t.core_crm, t.audit)
 
 
 @query(f"SELECT s.status, count(v.id) AS n FROM (VALUES {', '.join(f'({O.lit(s)})' for s in V.STATUSES)}) s(status) LEFT JOIN view_v v ON v.status = s.status GROUP BY s.status")

@@ -8,6 +8,7 @@ from functools import cached_property
 from pyspark.sql import DataFrame, SparkSession
 
 from ..operators import catalogue, enrich, joins, pages, state
+from ..operators.shared import stored
 from . import views
 from .oracle import with_tables
 
@@ -53,6 +54,16 @@ class Tables:
     def crm(self) -> DataFrame:
         return state.apply_crm_patches(state.empty_crm(self.spark), state.as_patches(self.patch_rows), self.leads)
 
+    @cached_property
+    def lead_core(self) -> DataFrame:
+        """What reports need of the leads, stored: the lead plan runs once, however many
+        tables of a report are made from it."""
+        return stored(self.leads.select("id", "tier", "phone", "score"), "lead-core")
+
+    @cached_property
+    def core_crm(self) -> DataFrame:
+        return state.apply_crm_patches(state.empty_crm(self.spark), state.as_patches(self.patch_rows), self.lead_core)
+
     @cached_property
     def audit(self) -> DataFrame:
         return pages.audit_ci(self.crawl)

@@ -239,7 +239,7 @@ def test_hot_names_split(spark, tmp_path):
     for k, v in settings.items():
         spark.conf.set(k, v)
     try:
-        for k, df in enumerate((catalogue.join_name_counts(rows), catalogue.office_counts(rows, "name"))):
+        for k, df in enumerate((catalogue.join_name_counts(rows), catalogue.office_counts(rows, "name"), catalogue.flag_chains(rows))):
             df.write.parquet(str(tmp_path / str(k)))
             sizes = [r["count"] for r in spark.read.parquet(str(tmp_path / str(k))).groupBy(F.input_file_name()).count().collect()]
             assert sum(sizes) == 400_000 and max(sizes) <= 2 * 400_000 / len(sizes) and len(sizes) >= 4, sizes
