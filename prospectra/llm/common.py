@@ -2,14 +2,18 @@
 
 from __future__ import annotations
 
-import os
+import ctypes
 import re
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..operators.shared import cut, fresh_path, shared_dir
+from ..operators.shared import clear, cut, fresh_path, marked, shared_dir, ship_package, stored
+
+#: A fresh folder in the shared one, which clear() removes.
+scratch = fresh_path
 
 #: Characters that separate words: space, and tab to carriage return.
 SPACE = r"[ \t\n\x0B\f\r]+"
@@ -19,14 +23,6 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def ship_package(spark: SparkSession) -> None:
-    """Let Python workers import this package when it is not installed."""
-    root = os.path.dirname(os.path.dirname(os.path.dirname(os.path.abspath(__file__))))
-    known = spark.sparkContext.environment.get("PYTHONPATH", "")
-    if root not in known.split(":"):
-        spark.sparkContext.environment["PYTHONPATH"] = f"{root}:{known}" if known else root
-
-
 def unused(df: DataFrame, *names: str) -> list[str]:
     """``names``, each led by as many underscores as keep it apart from the columns."""
     taken = {c.lower() for c in df.columns}
@@ -39,39 +35,6 @@ def unused(df: DataFrame, *names: str) -> list[str]:
     return out
 
 
-#: Folders that operators wrote in this process, oldest first.
-_written: list[str] = []
-
-
-def scratch(spark: SparkSession, what: str) -> str:
-    """A fresh folder in the shared one, which clear() removes."""
-    _written.append(fresh_path(spark, what))
-    return _written[-1]
-
-
-def stored(df: DataFrame, what: str) -> DataFrame:
-    """Write ``df`` to a fresh table in the shared folder and read it back: it is
-    computed once, its lineage is cut and it survives the loss of executors."""
-    path = scratch(df.sparkSession, what)
-    df.write.parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
-
-
-def marked() -> int:
-    """A point in time for clear()."""
-    return len(_written)
-
-
-def clear(spark: SparkSession, since: int = 0, but: int = 0) -> None:
-    """Remove the folders that operators wrote since marked(), except the last ``but``.
-    What was made from them must have been written by then."""
-    end = len(_written) - but
-    for path in _written[since:end]:
-        folder = spark._jvm.org.apache.hadoop.fs.Path(path)
-        folder.getFileSystem(spark._jsc.hadoopConfiguration()).delete(folder, True)
-    del _written[since:end]
-
-
 _SPACE_BYTE = re.compile(rb"[ \t-\r]")
 
 
@@ -85,6 +48,22 @@ def parts_of(data: bytes, step: int) -> Iterator[bytes]:
         at = end
 
 
+def tidy(step: Callable[[Iterator], Iterator]) -> Callable[[Iterator], Iterator]:
+    """A step of mapInArrow() that hands back the memory it no longer needs when it ends:
+    Spark keeps the worker, and what its allocators keep would stand beside the next step's."""
+
+    def run(batches: Iterator) -> Iterator:
+        try:
+            yield from step(batches)
+        finally:
+            pa.default_memory_pool().release_unused()
+            trim = getattr(ctypes.CDLL(None), "malloc_trim", None)  # of the GNU library alone
+            if trim:
+                trim(0)
+
+    return run
+
+
 def id_crc32(doc_id: Column) -> Column:
     """crc32 of the id written as text."""
     return F.crc32(doc_id.cast("string").cast("binary"))
@@ -95,5 +74,5 @@ def text_or_empty(text: Column) -> Column:
 
 
 __all__ = [
-    "SPACE", "clear", "cut", "id_crc32", "marked", "parts_of", "scratch", "shared_dir", "ship_package", "stored", "table", "text_or_empty", "unused",
+    "SPACE", "clear", "cut", "id_crc32", "marked", "parts_of", "scratch", "shared_dir", "ship_package", "stored", "table", "text_or_empty", "tidy", "unused",
 ]

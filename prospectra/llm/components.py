@@ -11,7 +11,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import cut
+from .common import clear, cut, marked
 
 
 def _large_star(edges: DataFrame) -> DataFrame:
@@ -42,14 +42,16 @@ def components(edges: DataFrame, max_rounds: int = 60) -> DataFrame:
     Nodes without a link to another node are not listed; self links and repeated links
     are ignored; an empty input gives an empty result.
     """
+    spark = edges.sparkSession
     now = cut(
         edges.filter("u <> v")
         .select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v"))
         .distinct()
     )
-    before = _state(now)
+    before, since = _state(now), marked()
     for _ in range(max_rounds):
         now = cut(_small_star(_large_star(now)))
+        clear(spark, since, but=1)  # what the round before has left
         after = _state(now)
         if after == before:
             break

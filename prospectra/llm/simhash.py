@@ -17,7 +17,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import cut, parts_of, unused
+from .common import cut, parts_of, text_or_empty, tidy, unused
 from .components import components
 
 SEED = 42
@@ -68,17 +68,16 @@ def fingerprint(data: bytes, shingle: int = SHINGLE, step: int = STEP) -> int:
 
 def _fingerprint_batches(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for b in batches:
-        texts = b.column(1).cast(pa.large_binary())
+        texts = b.column(0).cast(pa.large_binary())
         prints = [fingerprint(t.as_py()) if t.is_valid else 0 for t in texts]
-        yield pa.RecordBatch.from_arrays([b.column(0), pa.array(prints, pa.int64())], ["doc_id", "fp"])
+        yield pa.RecordBatch.from_arrays([*b.columns[1:], pa.array(prints, pa.int64())], [*b.schema.names[1:], "fp"])
 
 
-def fingerprints(docs: DataFrame) -> DataFrame:
-    """(doc_id, fp): one row for each row of ``docs``. Null, empty and blank texts
-    have the fingerprint 0."""
-    return docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string")).mapInArrow(
-        _fingerprint_batches, "doc_id long, fp long"
-    )
+def fingerprints(docs: DataFrame, *also: str) -> DataFrame:
+    """(doc_id, also, fp): one row for each row of ``docs``, with the text columns ``also``.
+    Null, empty and blank texts have the fingerprint 0."""
+    rows = docs.select(F.col("text").cast("string").alias("text"), F.col("doc_id").cast("long").alias("doc_id"), *also)
+    return rows.mapInArrow(tidy(_fingerprint_batches), ", ".join(["doc_id long", *[f"{c} string" for c in also], "fp long"]))
 
 
 def covering_masks(radius: int = RADIUS, bits: int = 64, again: bool = False) -> list[int]:
@@ -243,6 +242,21 @@ def fingerprint_links(prints: DataFrame, radius: int = RADIUS, cell: int = CELL,
     )
 
 
+def _groups(docs: DataFrame, radius: int, *also: str) -> tuple[DataFrame, DataFrame]:
+    """(prints, named): stored doc_id, ``also`` and fp of each row, and for each fp the
+    smallest doc_id and the smallest of ``also`` of its component (as component_id and
+    least_<name>)."""
+    prints = cut(fingerprints(docs, *also))
+    smallest = lambda names: [F.min(c).alias(f"least_{c}") for c in names]
+    vertices = cut(prints.groupBy("fp").agg(*smallest(("doc_id", *also))))
+    found = components(fingerprint_links(vertices.select("fp"), radius))
+    roots = cut(vertices.join(found, vertices.fp == found.node, "left").select(vertices["*"], F.coalesce("root", "fp").alias("root")))
+    # cut off from its aggregate, so that the rows of a large component can be split
+    least = [f"least_{c}" for c in also]
+    named = cut(roots.groupBy("root").agg(F.min("least_doc_id").alias("component_id"), *[F.min(c).alias(c) for c in least]))
+    return prints, roots.select("fp", "root").join(named, "root").select("fp", "component_id", *least)
+
+
 def near_duplicates(docs: DataFrame, radius: int = RADIUS) -> DataFrame:
     """(doc_id, fingerprint, component_id) for each row of ``docs``.
 
@@ -250,38 +264,35 @@ def near_duplicates(docs: DataFrame, radius: int = RADIUS) -> DataFrame:
     bits. Equal texts share a fingerprint and so are one vertex. Null, empty and blank
     texts have fingerprint zero and are linked like any other; rows repeated with one
     id come back as often; null ids belong to their component but never name it,
-    unless it has none but null ids. An empty table gives an empty result.
+    unless it has none but null ids. A text of any length is read whole, in parts; other
+    columns are ignored. An empty table gives an empty result.
     """
-    prints = cut(fingerprints(docs))
-    vertices = cut(prints.groupBy("fp").agg(F.min("doc_id").alias("least_id")))
-    found = components(fingerprint_links(vertices.select("fp"), radius))
-    roots = vertices.join(found, vertices.fp == found.node, "left").select(
-        "fp", "least_id", F.coalesce("root", "fp").alias("root")
-    )
-    roots = cut(roots)
-    # cut off from its aggregate, so that the rows of a large component can be split
-    named = cut(roots.groupBy("root").agg(F.min("least_id").alias("component_id")))
-    by_print = roots.join(named, "root").select("fp", "component_id")
-    return prints.join(by_print, "fp").select(
-        "doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id"
-    )
+    prints, named = _groups(docs.select("doc_id", "text"), radius)
+    return prints.join(named, "fp").select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
 
 
 def keep_one(docs: DataFrame, radius: int = RADIUS) -> DataFrame:
-    """The row of each component whose id is the smallest; columns as in ``docs``.
+    """One row of each component, that with the smallest id; columns as in ``docs``,
+    whatever their names.
 
-    Rows with a null id cannot be told apart and are all kept. If an id is repeated,
-    one of its rows stays.
+    Rows with a null id are told by their texts: where a component has an id they go, else
+    one of them stays. If an id or a text without one is repeated, one of its rows stays.
+    Null, empty and blank texts are one component. Texts of any length are read whole; an
+    empty table gives an empty result.
     """
-    gone_id, twice_id, n = unused(docs, "gone", "twice", "times")
-    found = near_duplicates(docs, radius)
-    # cut off from its aggregate, so that the rows of a much-repeated or null id can be split
-    gone = cut(found.filter("doc_id <> component_id").select(F.col("doc_id").alias(gone_id)).distinct())
-    left = docs.join(gone.hint("shuffle_hash"), docs["doc_id"] == gone[gone_id], "left_anti")
-    twice = docs.groupBy("doc_id").agg(F.count("*").alias(n)).filter((F.col(n) > 1) & F.col("doc_id").isNotNull())
+    of, gone_id, gone_of, twice_id, twice_of, n = unused(docs, "of", "gone_id", "gone_of", "twice_id", "twice_of", "times")
+    text_key = F.when(F.col("doc_id").isNull(), F.sha2(F.encode(text_or_empty(F.col("text").cast("string")), "UTF-8"), 256))
+    rows = docs.withColumn(of, text_key)
+    same = lambda a, b: F.col("doc_id").eqNullSafe(F.col(a)) & F.col(of).eqNullSafe(F.col(b))
+    prints, named = _groups(docs.select("doc_id", "text", text_key.alias("key")), radius, "key")
+    stays = F.when(F.col("component_id").isNotNull(), F.col("doc_id").eqNullSafe(F.col("component_id"))).otherwise(F.col("key") == F.col("least_key"))
+    # what is joined back is stored without its aggregates: Spark knows its size, broadcasts
+    # few ids and splits the rows of a much-repeated one
+    gone = cut(prints.join(named, "fp").filter(~stays).select(F.col("doc_id").alias(gone_id), F.col("key").alias(gone_of)).distinct())
+    left = rows.join(gone, same(gone_id, gone_of), "left_anti")
+    twice = cut(prints.groupBy(F.col("doc_id").alias(twice_id), F.col("key").alias(twice_of)).agg(F.count("*").alias(n)).filter(F.col(n) > 1).drop(n))
     if twice.isEmpty():
-        return left
-    again = cut(twice.select(F.col("doc_id").alias(twice_id)))
-    once = left.join(again, left["doc_id"] == again[twice_id], "left_anti")
-    more = left.join(again, left["doc_id"] == again[twice_id], "left_semi").dropDuplicates(["doc_id"])
-    return once.unionByName(more)
+        return left.drop(of)
+    once = left.join(twice, same(twice_id, twice_of), "left_anti")
+    more = left.join(twice, same(twice_id, twice_of), "left_semi").dropDuplicates(["doc_id", of])
+    return once.unionByName(more).drop(of)
