@@ -367,11 +367,19 @@ def audit_sites(crawl: DataFrame, as_of_year: int = 2026) -> DataFrame:
     return made.withColumns({**blank, "pages_crawled": F.coalesce("pages_crawled", F.lit(0))})
 
 
+#: Lead ids (some 100 bytes each in memory) up to which they are broadcast.
+BROADCAST_LEADS = 500_000
+
+
 def discover_sites(leads: DataFrame, serp: DataFrame, crawl: DataFrame, as_of_year: int = 2026) -> DataFrame:
     """Leads without a site: what the search found, with its audit if it was captured;
-    no_site or unknown else."""
+    no_site or unknown else. Only pages of leads for which a site was found are audited,
+    as long as those are few enough to be broadcast; else all are, which shuffles no HTML."""
     none = leads.filter(F.coalesce(F.length(F.trim("website")), F.lit(0)) == 0)
-    picked = pick_site(none, serp)
+    picked = cut(pick_site(none, serp))
+    ids = picked.filter("site is not null").select("lead_id").distinct()
+    if ids.count() <= BROADCAST_LEADS:
+        crawl = crawl.join(F.broadcast(ids), "lead_id", "left_semi")
     audits = audit_fronts(crawl, as_of_year).select("lead_id", "http_status", "site_quality", "audit_grade")
     found = picked.filter("site is not null").join(audits, "lead_id", "left").select(
         "lead_id", F.col("site").alias("discovered_site"), F.col("verdict").alias("discovery_verdict"),
