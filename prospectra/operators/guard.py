@@ -148,6 +148,12 @@ def add_quarantined(spark: SparkSession, failed: DataFrame, path: str, run: str)
     failed.withColumn("run", F.lit(run)).write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("run").parquet(path)
 
 
+def quarantined(spark: SparkSession, path: str, columns: str) -> DataFrame:
+    """The table of failed rows: ``columns`` (DDL) and the run; without rows before any
+    failed."""
+    return spark.read.schema(f"{columns}, run string").parquet(path)
+
+
 def error_counts(failed: DataFrame, error: str = ERROR) -> DataFrame:
     """(error, rows): how often each text occurs, the most frequent first."""
     return failed.groupBy(error).agg(F.count("*").alias("rows")).orderBy(F.desc("rows"), error)

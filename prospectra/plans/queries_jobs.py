@@ -57,7 +57,7 @@ def quarantined_pages(t: Tables) -> DataFrame:
     path = fresh_path(t.spark, "quarantine")
     for _ in range(2):  # a run that is repeated replaces its own rows
         profiles.run(_guarded(), t.places, t.crawl, quarantine=path, run_name="first")
-    return t.spark.read.parquet(path).select("lead_id", "page_ord", "enrich_error", "run")
+    return guard.quarantined(t.spark, path, "lead_id string, page_ord long, enrich_error string")
 
 
 @query("""SELECT id, CASE WHEN seq % 4 < 3 THEN coalesce(name, '') || CASE WHEN seq % 8 = 1 THEN chr(10) || 'second "line", of it' ELSE '' END ELSE '' END AS name,

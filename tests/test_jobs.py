@@ -51,6 +51,8 @@ def test_one_row_in_a_thousand_breaks_a_hook(spark):
 def test_a_repeated_run_replaces_its_own_failed_rows(spark, tmp_path):
     failed = lambda *k: spark.createDataFrame([(i, "e") for i in k], "id long, enrich_error string")
     path = str(tmp_path / "q")
+    guard.add_quarantined(spark, failed(0).limit(0), path, "a")
+    assert guard.quarantined(spark, path, "id long, enrich_error string").collect() == []
     guard.add_quarantined(spark, failed(1, 2), path, "a")
     guard.add_quarantined(spark, failed(3), path, "b")
     guard.add_quarantined(spark, failed(4), path, "a")
