@@ -16,6 +16,8 @@ from .common import SPACE, cut, stored, text_or_empty
 
 #: A power of two.
 BUCKETS = 1 << 15
+#: Trusted ids (some 32 bytes each in memory) up to which they are broadcast.
+BROADCAST_TRUSTED = 2_000_000
 WINDOW = 8
 LEAST_WORDS = 20
 MOST_REPEATED = 30  # percent of words
@@ -53,26 +55,41 @@ def _buckets(words: str, hashed: str, of) -> Column:
     return F.transform(words, grams)
 
 
+def _gram_rows(rows: DataFrame, *keep: str) -> DataFrame:
+    """(keep, bucket): one row for each n-gram of each text."""
+    return (
+        rows.select(*keep, words_of(F.col("text")).alias("words"))
+        .select(*keep, "words", _hashed(F.col("words")).alias("hashed"))
+        .select(*keep, F.explode(F.flatten(_buckets("words", "hashed", lambda b: F.array(*b)))).alias("bucket"))
+    )
+
+
+def gram_counts(docs: DataFrame, target: DataFrame, size: int) -> DataFrame:
+    """(bucket, raw, target): n-grams of all rows of ``docs`` and of those whose doc_id is
+    among ``target`` (_trusted, ``size`` of them, each once). Up to BROADCAST_TRUSTED ids
+    are broadcast and mark the rows in one pass, in which no text is shuffled. Beyond that
+    all rows are counted without a join, and only the trusted ones are counted apart."""
+    rows, same = docs.select("doc_id", F.col("text").cast("string").alias("text")), F.col("doc_id") == F.col("_trusted")
+    if size <= BROADCAST_TRUSTED:
+        marked = rows.join(F.broadcast(target), same, "left").withColumn("in_target", F.col("_trusted").isNotNull().cast("int"))
+        return _gram_rows(marked, "in_target").groupBy("bucket").agg(F.count("*").alias("raw"), F.sum("in_target").alias("target"))
+    raw = _gram_rows(rows).groupBy("bucket").agg(F.count("*").alias("raw"))
+    trusted = _gram_rows(rows.join(target, same, "left_semi")).groupBy("bucket").agg(F.count("*").alias("target"))
+    return raw.join(trusted, "bucket", "left").select("bucket", "raw", F.coalesce("target", F.lit(0)).alias("target"))
+
+
 def weights(docs: DataFrame, trusted: DataFrame) -> DataFrame:
     """(bucket, weight): log of the target's over the corpus's smoothed share.
 
-    ``trusted`` has the doc_id of documents of the target; all of them are counted, and
-    met by a shuffle of the texts. Counts run over the n-grams of all documents,
-    pre-aggregated into at most BUCKETS sums a task.
+    ``trusted`` has the doc_id of documents of the target; all of them are counted.
+    Counts run over the n-grams of all documents, pre-aggregated into at most BUCKETS sums
+    a task.
     """
     # cut off from its aggregate, so that the rows of a much-repeated or null id can be split
-    target = cut(trusted.select(F.col("doc_id").alias("_trusted")).distinct())
+    target = cut(trusted.select(F.col("doc_id").alias("_trusted")).filter("_trusted is not null").distinct())
     size = target.count()
-    target = target.hint("shuffle_hash")
-    grams = (
-        docs.select("doc_id", F.col("text").cast("string").alias("text"))
-        .join(target, F.col("doc_id") == F.col("_trusted"), "left")
-        .select(F.col("_trusted").isNotNull().cast("int").alias("in_target"), words_of(F.col("text")).alias("words"))
-        .select("in_target", "words", _hashed(F.col("words")).alias("hashed"))
-        .select("in_target", F.explode(F.flatten(_buckets("words", "hashed", lambda b: F.array(*b)))).alias("bucket"))
-    )
     # at most BUCKETS rows; read twice below
-    counts = stored(grams.groupBy("bucket").agg(F.count("*").alias("raw"), F.sum("in_target").alias("target")), "rule-counts")
+    counts = stored(gram_counts(docs, target, size), "rule-counts")
     every = docs.sparkSession.range(BUCKETS).withColumnRenamed("id", "bucket").join(counts, "bucket", "left")
     every = every.select("bucket", *[(F.coalesce(c, F.lit(0)) + SMOOTHING).alias(c) for c in ("raw", "target")])
     sums = every.agg(F.sum("raw").alias("raws"), F.sum("target").alias("targets")).first()
