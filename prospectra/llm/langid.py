@@ -17,7 +17,7 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import id_crc32
+from .common import id_crc32, parts_of
 
 #: Labelled documents of each language that the n-gram counts are learned from: on
 #: average so many, chosen by a hash of the id.
@@ -26,8 +26,8 @@ ORDERS = (2, 3, 4)
 BUCKETS = 1 << 15
 SMOOTHING = 0.2
 ROUNDS = 6
-#: Share of the words a further language must explain, roughly; the penalty for each
-#: language is this times the number of words, and at least half a log of that number.
+#: What each language of a set must bring in log-likelihood for each word of the document,
+#: and at least half a log of the number of words in all. It alone decides on the set.
 LEAST_SHARE = 0.03
 STEP = 8 << 20
 _LETTER = r"\p{L}"
@@ -68,19 +68,6 @@ def _words(texts: pa.Array) -> tuple[pa.Array, np.ndarray, np.ndarray]:
     return flat.dictionary, flat.indices.to_numpy(zero_copy_only=False).astype(np.int64), offsets - offsets[0]
 
 
-def _chunks(text: bytes) -> Iterator[str]:
-    """A long text in parts of about STEP bytes, cut at spaces where there are any."""
-    at = 0
-    while at < len(text):
-        end = text.find(b" ", at + STEP, at + 2 * STEP) if len(text) - at > STEP else len(text)
-        if end < 0:
-            end = min(len(text), at + STEP)
-            while end < len(text) and text[end] & 0xC0 == 0x80:  # not within a character
-                end += 1
-        yield text[at:end].decode()
-        at = end
-
-
 def _steps(texts: pa.Array) -> Iterator[pa.Array]:
     size = np.cumsum(pc.binary_length(texts).to_numpy(zero_copy_only=False)) // STEP
     at = 0
@@ -165,8 +152,8 @@ def long_mixture(text: bytes, table: np.ndarray) -> np.ndarray:
     def run(theta: np.ndarray, rounds: int) -> tuple[np.ndarray, float, int]:
         for last in [*[False] * rounds, True]:
             parts, value, n = np.zeros(languages), 0.0, 0
-            for chunk in _chunks(text):
-                words, codes, _ = _words(pa.array([chunk], pa.large_string()))
+            for chunk in parts_of(text, STEP):
+                words, codes, _ = _words(pa.array([chunk.decode()], pa.large_string()))
                 if not len(codes):
                     continue
                 part = _likely(words, table) * theta.astype(np.float32)
@@ -185,7 +172,7 @@ def long_mixture(text: bytes, table: np.ndarray) -> np.ndarray:
     order, penalty = np.argsort(-theta, kind="stable"), float(_cost(np.array([n]))[0])
     best, best_value = np.zeros(languages), -np.inf
     for k in range(1, languages + 1):
-        if k > 1 and theta[order[k - 1]] <= LEAST_SHARE / 2:
+        if best_value >= -k * penalty:  # no set of k languages has a likelihood above 1
             break
         begin = np.zeros(languages)
         begin[order[:k]] = theta[order[:k]] + 1e-6
@@ -219,8 +206,9 @@ def mixtures(texts: pa.Array, table: np.ndarray) -> np.ndarray:
             value = np.add.reduceat(np.log((likely * part[doc]).sum(axis=1) + 1e-30), starts) - penalty
             best, best_value = part, value
             continue
-        # only documents in which the k-th language has a share can gain from it
-        open_ = np.flatnonzero(np.take_along_axis(theta, order[:, k - 1 : k], axis=1)[:, 0] > LEAST_SHARE / 2)
+        # no set of k languages has a likelihood above 1, as each word's largest is 1; where
+        # even that would not pay its languages, it cannot win
+        open_ = np.flatnonzero(best_value < -k * penalty)
         if not len(open_):
             break
         chosen = np.isin(doc, open_)
