@@ -12,7 +12,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from . import gbdt
-from .common import id_crc32, parts_of
+from .common import id_crc32, parts_of, tidy
 
 #: Labelled documents that the trees are fitted on: at most about so many, chosen by a
 #: hash of the id.
@@ -180,7 +180,8 @@ def _feature_rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]
 
 
 def train(docs: DataFrame, labels: DataFrame, label: str = "quality", rows: int = TRAIN_ROWS) -> gbdt.Model:
-    """Fit on the documents that have a 0/1 label. Ids labelled both ways are left out."""
+    """Fit on the documents that have a 0/1 label. Ids labelled both ways are left out; of
+    rows repeated with one id the first text in order counts, once."""
     known = (
         labels.filter(F.col(label).isin(0, 1)).groupBy("doc_id").agg(F.min(label).alias("label"), F.max(label).alias("_most"))
         .filter(F.col("label") == F.col("_most")).select("doc_id", F.col("label").cast("int"))
@@ -189,8 +190,9 @@ def train(docs: DataFrame, labels: DataFrame, label: str = "quality", rows: int
     draw = F.pmod(F.xxhash64("doc_id", F.lit(5)), F.lit(1 << 20)) / float(1 << 20)
     known = known.filter(draw < min(1.0, rows / max(size, 1)))
     # about ``rows`` ids at most, 16 bytes each: texts need no shuffle to meet them
-    chosen = docs.select("doc_id", F.col("text").cast("string")).join(F.broadcast(known), "doc_id").select("label", "text")
-    found = chosen.mapInArrow(_feature_rows, "label int, x array<double>").toArrow()
+    chosen = docs.select("doc_id", F.col("text").cast("string").alias("text")).join(F.broadcast(known), "doc_id")
+    chosen = chosen.groupBy("doc_id", "label").agg(F.min("text").alias("text")).select("label", "text")
+    found = chosen.mapInArrow(tidy(_feature_rows), "label int, x array<double>").toArrow()
     x = np.array(found["x"].to_pylist(), float).reshape(-1, len(FEATURES))
     y = found["label"].to_numpy().astype(float)
     order = np.lexsort((*x.T, y))  # rows arrive in any order
@@ -208,7 +210,7 @@ def _scorer(model: gbdt.Model):
 def scores(docs: DataFrame, model: gbdt.Model) -> DataFrame:
     """(doc_id, score) of each row; empty and null texts are scored as texts without
     words. Without any usable label all scores are the prior, 0.5."""
-    return docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string")).mapInArrow(_scorer(model), "doc_id long, score double")
+    return docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string")).mapInArrow(tidy(_scorer(model)), "doc_id long, score double")
 
 
 def fold(doc_id) -> F.Column:
@@ -242,4 +244,4 @@ def keep_good(docs: DataFrame, labels: DataFrame, threshold: float = THRESHOLD)
     """The rows of ``docs`` that the classifier does not reject, columns unchanged whatever
     their names; null texts are scored as empty ones, equal rows stay or go together."""
     model = train(docs, labels.filter(~fold(F.col("doc_id"))))
-    return docs.mapInArrow(_keeper(model, docs.columns.index("text"), threshold), docs.schema)
+    return docs.mapInArrow(tidy(_keeper(model, docs.columns.index("text"), threshold)), docs.schema)
