@@ -207,7 +207,9 @@ def read_files(spark: SparkSession, path: str) -> DataFrame:
 def token_files(docs: DataFrame) -> DataFrame:
     """Write the whole table as token files in the shared folder and read them back.
 
-    A null or empty text is the end id alone. An empty table gives an empty result.
+    A null or empty text is the end id alone, one of any length is encoded whole. Rows
+    repeated with one id are documents of their own. Other columns are ignored. An empty
+    table gives an empty result.
     """
     spark = docs.sparkSession
     path = scratch(spark, "rans")

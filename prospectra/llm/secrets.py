@@ -156,6 +156,19 @@ class Ledger:
         self._append("seen", digests.select("digest", version))
 
 
+def find_new(rows: DataFrame, digests: DataFrame, ledger: Ledger | None = None, rules: tuple[Rule, ...] = RULES, rule_version: str = RULE_VERSION) -> DataFrame:
+    """Findings, old and new, by digest: of the blobs of ``rows``, versions() with the
+    addresses ``digests``, those that the ledger has not seen under these rules are scanned
+    and added to it; all of them without a ledger."""
+    texts = rows.filter(may_hold(F.col("text"), rules)).select("digest", "text").dropDuplicates(["digest"])
+    if ledger is None:
+        return cut(find(texts, rules))
+    known = ledger.seen(rule_version)
+    fresh = digests.select("digest").distinct().join(known, "digest", "left_anti")
+    ledger.add(find(texts.join(known, "digest", "left_anti"), rules), fresh, rule_version)
+    return ledger.findings(rule_version)
+
+
 def scan(rows: DataFrame, ledger: Ledger | None = None, rules: tuple[Rule, ...] = RULES, rule_version: str = RULE_VERSION) -> tuple[DataFrame, DataFrame]:
     """Scan the blobs of ``rows``, versions(), that the ledger has not seen under these
     rules, and add them to it. Without a ledger all blobs are scanned.
@@ -165,13 +178,7 @@ def scan(rows: DataFrame, ledger: Ledger | None = None, rules: tuple[Rule, ...]
     much-copied text is no hot key. The empty text is a blob as any.
     """
     paths = stored(rows.select("path", "digest"), "secret-paths")
-    texts = rows.filter(may_hold(F.col("text"), rules)).select("digest", "text").dropDuplicates(["digest"])
-    if ledger is None:
-        return paths, cut(find(texts, rules))
-    known = ledger.seen(rule_version)
-    fresh = paths.select("digest").distinct().join(known, "digest", "left_anti")
-    ledger.add(find(texts.join(known, "digest", "left_anti"), rules), fresh, rule_version)
-    return paths, ledger.findings(rule_version)
+    return paths, find_new(rows, paths, ledger, rules, rule_version)
 
 
 def _joined(spans: Column) -> Column:
@@ -226,10 +233,12 @@ def redact(docs: DataFrame, ledger: Ledger | None = None) -> DataFrame:
     """``docs`` with a mask for each secret in the texts that have one; n_chars follows.
 
     Columns are unchanged, whatever their names, null texts stay null, and all rows stay,
-    repeated ones too. Rows in whose text no rule can match are passed on as they are;
-    the others meet the digests with findings.
+    repeated ones too; a text of any length is masked whole, an empty table gives an empty
+    result. Rows in whose text no rule can match are passed on as they are; the others meet
+    the digests with findings. With a ledger only blobs that it has not seen are scanned.
     """
-    _, findings = scan(versions(docs), ledger)
+    rows = versions(docs)
+    findings = find_new(rows, rows, ledger)
     key, bad = unused(docs, "digest", "found")
     hit = cut(findings.select(F.col("digest").alias(bad)).distinct())
     maybe = may_hold(F.col("text"))
