@@ -7,7 +7,8 @@ BM25 score fill the rest of the window, the last one is cut where the window end
 
 Likeness: the ids of a document, weighted by how rare they are in the whole corpus, are
 hashed into a short vector; the vectors' nearest centres, fitted on a bounded sample,
-make clusters. Small clusters share a shard, one beyond a shard's size is split.
+make cells. A cell beyond a shard's size is split by centres of what its documents differ
+in, level by level; small cells share a shard.
 """
 
 from __future__ import annotations
@@ -20,7 +21,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import stored
+from .common import stored, tidy
 from .tokens import encode_table, id_counts
 
 VOCABULARY = "byte_bpe_50k.json"
@@ -30,7 +31,11 @@ WINDOW = 1024
 SHARD_IDS, MOST = 1_000_000, 1.5
 #: Documents that the centres are fitted on, about, chosen by a hash; centres at most.
 SAMPLE, CENTRES = 16_384, 4_096
+#: Levels of cells, and cells that one level makes at most.
+LEVELS, CELLS = 5, 1 << 20
 DIMENSIONS = 128
+#: Rows of which vectors are made at once.
+VECTOR_ROWS = 256
 #: Shards that one task packs; in a corpus that makes more than MANY tasks of them, more.
 TASK_SHARDS, MANY = 4, 10_000
 #: Terms in at least one of so many documents have a full row of weights.
@@ -52,7 +57,12 @@ class Likeness:
         self.weight = sign * np.log1p(counts.sum() / (counts + 1.0))
 
     def vectors(self, column: pa.Array) -> np.ndarray:
-        """One unit vector for each binary of 16-bit ids."""
+        """One unit vector for each binary of 16-bit ids; some rows at once, as their ids are
+        widened to several arrays."""
+        parts = [self._vectors(column.slice(k, VECTOR_ROWS)) for k in range(0, len(column), VECTOR_ROWS)]
+        return np.concatenate(parts or [np.zeros((0, DIMENSIONS), np.float32)])
+
+    def _vectors(self, column: pa.Array) -> np.ndarray:
         ids = np.frombuffer(b"".join(v.as_buffer() for v in column), "<u2")
         sizes = np.array([len(v.as_buffer()) // 2 for v in column], np.int64)
         at = np.repeat(np.arange(len(sizes)) * DIMENSIONS, sizes)
@@ -83,6 +93,63 @@ def centres(x: np.ndarray, k: int, rounds: int = 8) -> np.ndarray:
     return c[np.argsort(c @ along, kind="stable")]
 
 
+class Cells:
+    """A tree of cells: those of the first level are around the nearest centres, and one
+    that is split has cells around centres of what its documents differ in from their
+    centre. All cells that are split on one level share those centres, so a level is a
+    bounded table however many cells it makes."""
+
+    def __init__(self, first: np.ndarray) -> None:
+        self.levels = [first]
+        self.child = np.full(len(first), -1, np.int64)  # the first cell below, -1 for a leaf
+        self.above: list[tuple[int, ...]] = [(k,) for k in range(len(first))]  # the way to each cell
+
+    def split(self, cells: np.ndarray, further: np.ndarray) -> None:
+        """Give each of ``cells``, leaves of the last level, a cell for each centre."""
+        self.levels.append(further)
+        for c in cells.tolist():
+            self.child[c] = len(self.above)
+            self.above += [(*self.above[c], k) for k in range(len(further))]
+            self.child = np.append(self.child, np.full(len(further), -1, np.int64))
+
+    def of(self, x: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """(leaf of each vector, what is left of the vector in it)."""
+        cell = (x @ self.levels[0].T).argmax(axis=1)
+        rest = x - self.levels[0][cell]
+        rows = np.flatnonzero(self.child[cell] >= 0)
+        for level in self.levels[1:]:
+            if not len(rows):
+                break
+            along = rest[rows] @ level.T
+            code = along.argmax(axis=1)
+            cell[rows] = self.child[cell[rows]] + code
+            rest[rows] -= along[np.arange(len(rows)), code][:, None] * level[code]
+            rows = rows[self.child[cell[rows]] >= 0]
+        return cell, rest
+
+    def leaves(self) -> np.ndarray:
+        """Leaves in an order in which neighbours are alike."""
+        return np.array(sorted(np.flatnonzero(self.child < 0).tolist(), key=self.above.__getitem__), np.int64)
+
+
+def grown(x: np.ndarray, ids: np.ndarray, shards: int) -> Cells:
+    """Cells for a sample of vectors with so many ids: as many centres as there are shards,
+    up to CENTRES; a cell that seems to hold more than MOST shards is split, level by level,
+    as long as its documents differ."""
+    cells = Cells(centres(x, min(CENTRES, shards)))
+    for _ in range(LEVELS - 1):
+        leaf, rest = cells.of(x)
+        share = np.bincount(leaf, ids, len(cells.child)) * shards / max(1.0, float(ids.sum()))  # in shards
+        far = np.linalg.norm(rest, axis=1)
+        large = np.flatnonzero((share > MOST) & (np.bincount(leaf, far > 1e-3, len(share)) > 1))
+        if not len(large):
+            break
+        inside = np.isin(leaf, large) & (far > 1e-3)
+        k = min(CENTRES, CELLS // len(large), int(np.ceil(4 * share[large].sum())))
+        cells.split(large, centres(rest[inside] / far[inside][:, None], max(2, k)))
+    return cells
+
+
 def deal(sizes: list[int], shard_ids: int) -> tuple[np.ndarray, np.ndarray]:
     """(first shard, number of shards) of clusters with so many ids."""
     first, parts, shard, filled = np.zeros(len(sizes), np.int64), np.ones(len(sizes), np.int64), 0, 0
@@ -256,29 +323,35 @@ def placed(rows: DataFrame, shard_ids: int = SHARD_IDS) -> tuple[DataFrame, int]
     def sketch(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             x = likeness.value.vectors(b.column(0))
-            yield pa.RecordBatch.from_arrays([pa.array(list(x), pa.list_(pa.float32()))], ["x"])
+            yield pa.RecordBatch.from_arrays([pa.array(list(x), pa.list_(pa.float32())), b.column(1)], ["x", "n"])
 
     draw = F.pmod(F.xxhash64("ids", F.lit(3)), F.lit(1 << 20)) / float(1 << 20)
-    sample = rows.filter(draw < min(1.0, SAMPLE / n)).select("ids").mapInArrow(sketch, "x array<float>").toArrow()
-    x = np.array(sample["x"].to_pylist(), np.float32).reshape(-1, DIMENSIONS)
+    sample = rows.filter(draw < min(1.0, SAMPLE / n)).select("ids", "n_ids").mapInArrow(sketch, "x array<float>, n long").toArrow()
+    x, n_ids = np.array(sample["x"].to_pylist(), np.float32).reshape(-1, DIMENSIONS), sample["n"].to_numpy()
     if not len(x):  # few documents, all of them long
-        x = np.zeros((1, DIMENSIONS), np.float32)
-    middle = spark.sparkContext.broadcast(centres(x, min(CENTRES, shards)))
+        x, n_ids = np.zeros((1, DIMENSIONS), np.float32), np.ones(1)
+    order = np.lexsort((n_ids, *x.T))  # rows arrive in any order
+    cells = grown(x[order], n_ids[order], shards)
+    tree = spark.sparkContext.broadcast(cells)
 
     def nearest(column: pa.Array) -> np.ndarray:
-        return (likeness.value.vectors(column) @ middle.value.T).argmax(axis=1)
+        return tree.value.of(likeness.value.vectors(column))[0]
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        sizes = np.zeros(len(middle.value), np.int64)
+        sizes = np.zeros(len(tree.value.child), np.int64)
         for b in batches:
             np.add.at(sizes, nearest(b.column(0)), b.column(1).to_numpy())
-        yield pa.RecordBatch.from_arrays([pa.array(np.arange(len(sizes))), pa.array(sizes)], ["k", "n"])
+        held = np.flatnonzero(sizes)
+        yield pa.RecordBatch.from_arrays([pa.array(held), pa.array(sizes[held])], ["k", "n"])
 
-    sizes = [0] * len(middle.value)
-    # one row for each centre
+    sizes = np.zeros(len(cells.child), np.int64)
+    # one row for each cell, of which there are some for each shard
     for k, size in rows.select("ids", "n_ids").mapInArrow(count, "k long, n long").groupBy("k").agg(F.sum("n")).collect():
         sizes[k] = size
-    first, parts = deal(sizes, shard_ids)
+    leaves = cells.leaves()
+    first, parts = np.zeros(len(sizes), np.int64), np.ones(len(sizes), np.int64)
+    # a cell that is still too large, such as one of copies, is split by a hash
+    first[leaves], parts[leaves] = deal(sizes[leaves].tolist(), shard_ids)
 
     def place(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
@@ -286,7 +359,7 @@ def placed(rows: DataFrame, shard_ids: int = SHARD_IDS) -> tuple[DataFrame, int]
             shard = first[k] + b.column(0).to_numpy() % parts[k]
             yield pa.RecordBatch.from_arrays([pa.array(shard), *b.columns], ["shard", "mix", "doc_id", "ids"])
 
-    done = rows.select(mix, "doc_id", "ids").mapInArrow(place, "shard long, mix long, doc_id long, ids binary")
+    done = rows.select(mix, "doc_id", "ids").mapInArrow(tidy(place), "shard long, mix long, doc_id long, ids binary")
     return done, int((first + parts).max())
 
 
@@ -307,5 +380,5 @@ def pack(docs: DataFrame, window: int = WINDOW, vocabulary: str = VOCABULARY, sh
         found.repartitionById(tasks, (F.col("shard") % tasks).cast("int"))
         .sortWithinPartitions("shard", "mix", "doc_id")
         .select("shard", "doc_id", "ids")
-        .mapInArrow(_packer(window), SCHEMA)
+        .mapInArrow(tidy(_packer(window)), SCHEMA)
     )

@@ -19,7 +19,7 @@ from .common import id_crc32, parts_of, tidy
 TRAIN_ROWS = 20_000
 #: A score from here on predicts label 1.
 THRESHOLD = 0.3
-STEP = 8 << 20
+STEP = 2 << 20
 
 FEATURES = (
     "log_bytes log_words word_bytes word_bytes_sd longest_word upper digit punct symbol high space newline entropy"

@@ -17,8 +17,10 @@ import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
 
+from .common import tidy
+
 #: Bytes of text that are cut and gathered at once.
-STEP = 4 << 20
+STEP = 2 << 20
 #: Repeated pieces whose ids a worker remembers.
 REMEMBER = 400_000
 _WHITE = r"[\s\p{Z}\x{0B}\x{1C}-\x{1F}\x{85}]"
@@ -246,7 +248,7 @@ def encode_table(docs, path_name: str, end: int, keep: tuple[str, ...] = ("doc_i
 
     rows = docs.select(*keep, F.col("text").cast("string"))
     kept = ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in rows.select(*keep).schema)
-    return rows.mapInArrow(run, f"{kept}, n_ids long, ids binary, counts binary")
+    return rows.mapInArrow(tidy(run), f"{kept}, n_ids long, ids binary, counts binary")
 
 
 def id_counts(rows) -> np.ndarray:
