@@ -7,10 +7,15 @@ slots, and over the span each slot value of the item stands for one value of the
 document and back. A span with such a run of numbers and units is held if all its
 tokens agree word for word, regardless of case, and so is an item of very few tokens.
 
-Candidates come from a hash join. Item windows of GRAM tokens are taken at every
-offset, document windows at multiples of GRAM only: a span of 2 * GRAM - 1 tokens
-covers a whole document window, so none is missed and the join is GRAM times smaller.
-Items too short for that are joined with all document windows of their own length.
+Only places of a document at which a window of an item's tokens stands are looked at.
+Item windows of LONG tokens are taken at every offset, document windows at multiples of
+LONG: a span of 2 * LONG - 1 = SPAN tokens covers a whole document window, so none is
+missed. A window that is found brings along the tokens around it, up to SPAN - LONG on
+either side, and each span among them is joined with the items' spans by a signature: its
+template with the places at which each value comes first, or its values, which is equal
+for two spans exactly where one is held by the other. So pairs of a document and an item
+are only made where a whole span agrees, however common its windows are. Shorter items
+have windows of GRAM tokens or are one window.
 """
 
 from __future__ import annotations
@@ -32,12 +37,15 @@ UNITS = (
 ).split()
 GRAM = 5
 SPAN = 13
+LONG = (SPAN + 1) // 2
 #: Items with fewer tokens are held word for word only; those with fewer than IN_TEXT, which
 #: any text may hold by chance, by a text that has no other token.
 SHORTEST = 5
 IN_TEXT = 3
-#: Windows (16 bytes each) up to which the item side is broadcast.
-BROADCAST_WINDOWS = 1_000_000
+#: Item windows (16 bytes each) and spans (some 500 bytes) up to which they are broadcast.
+BROADCAST_WINDOWS, BROADCAST_SPANS = 1_000_000, 50_000
+#: Longs of the map of item windows, a power of two; a map full of bits only spares nothing.
+MAP_WORDS = 1 << 14
 NUMBER, NAME, UNIT = "\ue000", "\ue001", "\ue002"
 
 
@@ -57,32 +65,31 @@ def _named(token: Column, worded: Column) -> Column:
     return F.when(~worded.isin(NUMBER, UNIT) & (token != worded), F.lit(NAME)).otherwise(worded)
 
 
+def _read(rows: DataFrame, raw: str = "raw") -> DataFrame:
+    """``rows`` with the two forms of the tokens in ``raw``."""
+    worded = rows.withColumn("worded", F.transform(raw, _worded))
+    return worded.withColumn("named", F.zip_with(raw, "worded", _named))
+
+
 def templates(rows: DataFrame, *keep: str) -> DataFrame:
     """``keep`` columns, raw tokens and the two forms of template tokens of each text."""
     text = text_or_empty(F.col("text").cast("string"))
-    raw = rows.select(*keep, F.regexp_extract_all(text, F.lit(PIECE), F.lit(0)).alias("raw"))
-    worded = raw.withColumn("worded", F.transform("raw", _worded))
-    return worded.withColumn("named", F.zip_with("raw", "worded", _named))
+    return _read(rows.select(*keep, F.regexp_extract_all(text, F.lit(PIECE), F.lit(0)).alias("raw")))
 
 
 def _slot(token: Column) -> Column:
     return token.isin(NUMBER, NAME, UNIT)
 
 
-def _windows(form: str, size: Column, step: int, length: int | Column) -> Column:
-    """Windows of a form at multiples of ``step``: (at, h). If all are slots, h is null
-    with names as slots, and that of the raw tokens with names as words. The form `raw`
-    has the raw tokens' hash throughout."""
+def _hashes(form: str, i: Column, length: int | Column) -> Column:
+    """Hash of a window of a form. If all are slots it is null with names as slots, and that
+    of the raw tokens with names as words. The form `raw` has the raw tokens' throughout."""
     length = F.lit(length) if isinstance(length, int) else length
-
-    def window(i: Column) -> Column:
-        if form == "raw":
-            return F.struct(i.alias("at"), F.xxhash64(F.lit("raw"), F.transform(F.slice("raw", i + 1, length), F.lower)).alias("h"))
-        part = F.slice(form, i + 1, length)
-        as_is = F.xxhash64(F.lit("raw"), F.transform(F.slice("raw", i + 1, length), F.lower)) if form == "worded" else F.lit(None)
-        return F.struct(i.alias("at"), F.when(~F.forall(part, _slot), F.xxhash64(F.lit(form), part)).otherwise(as_is).alias("h"))
-
-    return F.when(size >= length, F.transform(F.sequence(F.lit(0), size - length, F.lit(step)), window))
+    as_is = F.xxhash64(F.lit("raw"), F.transform(F.slice("raw", i + 1, length), F.lower))
+    if form == "raw":
+        return as_is
+    part = F.slice(form, i + 1, length)
+    return F.when(~F.forall(part, _slot), F.xxhash64(F.lit(form), part)).otherwise(as_is if form == "worded" else F.lit(None))
 
 
 def _values(raw: str, template: str) -> Column:
@@ -90,115 +97,147 @@ def _values(raw: str, template: str) -> Column:
     return F.zip_with(raw, template, lambda r, t: F.when(t.isin(NUMBER, NAME, UNIT), F.concat(t, F.lower(r))).otherwise(t))
 
 
-def _candidates(docs: DataFrame, items: DataFrame) -> DataFrame:
-    """(doc_id, item_id, shifts): places in the document, less those in the item, of the
-    windows that they share in either form."""
-    size = F.size("worded")
-    short = (size >= SHORTEST) & (size < 2 * GRAM - 1)
-    few = items.filter((size > 0) & (size < SHORTEST))
-    parts = [few.select("item_id", size.alias("length"), F.lit(0).alias("step"), F.explode(_windows("raw", size, 1, size)).alias("w"))]
-    for form in FORMS:
-        cut_up = items.filter(size >= 2 * GRAM - 1).select("item_id", F.lit(GRAM).alias("length"), F.lit(GRAM).alias("step"), F.explode(_windows(form, size, 1, GRAM)).alias("w"))
-        whole = items.filter(short).select("item_id", size.alias("length"), F.lit(1).alias("step"), F.explode(_windows(form, size, 1, size)).alias("w"))
-        parts += [cut_up, whole]
-    item_side = parts[0]
-    for p in parts[1:]:
-        item_side = item_side.unionByName(p)
-    item_side = cut(item_side.select("item_id", "length", "step", F.col("w.at").alias("item_at"), "w.h").filter("h is not null"))
-    # the lengths of short items, and GRAM: a handful at most
-    kinds = sorted(item_side.select("length", "step").distinct().collect())
-
-    def tagged(form: str, length: int, step: int) -> Column:
-        tag = lambda w: F.struct(F.lit(length).alias("length"), F.lit(step).alias("step"), w["at"].alias("at"), w["h"].alias("h"))
-        found = F.transform(_windows(form, size, step or 1, length), tag)
-        return found if step or length >= IN_TEXT else F.when(size == length, found)
-
-    # a step of 0 marks items with few tokens
-    windows = [tagged(form, *kind) for kind in kinds if kind["step"] for form in FORMS]
-    windows += [tagged("raw", kind["length"], 0) for kind in kinds if not kind["step"]]
-    if item_side.count() <= BROADCAST_WINDOWS:
-        item_side = F.broadcast(item_side)
-    none = F.expr("cast(array() AS array<struct<length: int, step: int, at: int, h: bigint>>)")
-    every = F.flatten(F.array(none, *[F.coalesce(w, none) for w in windows]))
-    doc_side = docs.select("doc_id", F.explode(every).alias("w")).select("doc_id", "w.*").filter("h is not null")
-    hits = doc_side.join(item_side, ["length", "step", "h"])
-    return hits.groupBy("doc_id", "item_id").agg(F.collect_set(F.col("at") - F.col("item_at")).alias("shifts"))
-
-
-def _fits(form: str) -> Column:
-    """Offsets in an item of spans in which no GRAM tokens in a row are all slots."""
+def _signature(form: str, i: Column, n: Column) -> Column:
+    """What two spans at i have in common exactly if one is held by the other. With names as
+    slots or as words: the template, and for each token the first one that stands for the
+    same, which agrees where the values are one to one. The form `raw`: the values."""
+    if form == "raw":
+        return F.concat(F.array(F.lit(form)), F.slice("worded_values", i + 1, n))
+    values = F.slice(f"{form}_values", i + 1, n)
+    return F.concat(F.array(F.lit(form)), F.slice(form, i + 1, n), F.transform(values, lambda v: F.array_position(values, v).cast("string")))
+
+
+def _with_values(rows: DataFrame) -> DataFrame:
+    return rows.withColumns({f"{f}_values": _values("raw", f) for f in FORMS})
+
+
+def _step(n: int) -> tuple[int, int, tuple[str, ...]]:
+    """(length, step, forms) of the windows that find spans of n tokens."""
+    if n >= SPAN:
+        return LONG, LONG, FORMS
+    if n >= 2 * GRAM - 1:
+        return GRAM, GRAM, FORMS
+    return n, 1, FORMS if n >= SHORTEST else ("raw",)
+
+
+def _item_windows(items: DataFrame, n: int) -> DataFrame:
+    """(n, h): windows of the items with spans of n tokens, at every offset."""
+    length, _, forms = _step(n)
+    places = F.sequence(F.lit(0), F.size("worded") - F.lit(length))
+    each = F.flatten(F.transform(places, lambda i: F.array(*[_hashes(f, i, length) for f in forms])))
+    return items.filter(F.col("n") == n).select("n", F.explode(each).alias("h")).filter("h is not null")
+
+
+def _item_spans(items: DataFrame) -> DataFrame:
+    """(n, s, h, item_id, item_tokens): signatures of the items' spans. One with GRAM slots
+    in a row, or of few tokens, has that of its values only."""
     n = F.col("n")
-    barren = F.filter(F.sequence(F.lit(0), F.size(form) - GRAM), lambda k: F.forall(F.slice(form, k + 1, GRAM), _slot))
-    none = F.array().cast("array<int>")
-    return F.when(F.size(form) < SHORTEST, none).otherwise(F.filter(
-        F.sequence(F.lit(0), F.size(form) - n),
-        lambda i: ~F.exists(barren, lambda k: (k >= i) & (k <= i + n - GRAM)),
-    ))
 
+    def fits(form: str, i: Column) -> Column:
+        last = i + n - GRAM
+        return (n >= SHORTEST) & ~F.exists(F.sequence(i, F.greatest(i, last)), lambda k: F.forall(F.slice(form, k + 1, GRAM), _slot))
 
-def _rest() -> Column:
-    """Offsets in an item of the other spans, with names as words; all of a short one."""
-    return F.array_except(F.sequence(F.lit(0), F.size("worded") - F.col("n")), _fits("worded"))
+    def of(i: Column) -> Column:
+        own = [F.when(fits(f, i), _signature(f, i, n)) for f in FORMS]
+        return F.array_compact(F.array(*own, F.when(~fits("worded", i), _signature("raw", i, n))))
 
+    spans = F.flatten(F.transform(F.sequence(F.lit(0), F.size("worded") - n), of))
+    each = _with_values(items).select("item_id", F.size("worded").cast("long").alias("item_tokens"), "n", F.explode(spans).alias("s"))
+    return each.withColumn("h", F.xxhash64("s")).distinct()
 
-def _forms(prefix: str) -> list[Column]:
-    """Tokens and values of both forms under the names <prefix>_<form>[_value]."""
-    return [c for f in FORMS for c in (F.col(f).alias(f"{prefix}_{f}"), _values("raw", f).alias(f"{prefix}_{f}_value"))]
 
+def _bitmap(windows: DataFrame) -> DataFrame:
+    """(bits): 64 * MAP_WORDS bits as one array of longs, in which that of each window is
+    set. It spares most windows of documents the way to the join, and leaves out none."""
+    word, bit = _map_place(F.col("h"))
+    set_bits = windows.groupBy(word.alias("word")).agg(F.bit_or(F.call_function("shiftleft", F.lit(1).cast("long"), bit)).alias("set"))
+    every = windows.sparkSession.range(MAP_WORDS).select(F.col("id").cast("int").alias("word")).join(set_bits, "word", "left")
+    entry = F.struct("word", F.coalesce("set", F.lit(0).cast("long")).alias("set"))
+    return every.agg(F.transform(F.array_sort(F.collect_list(entry)), lambda x: x["set"]).alias("bits"))
 
-def _holds(form: str, shift: Column, i: Column) -> Column:
-    """The spans at i of the item and at i + shift of the document agree in a form."""
-    n, j = F.col("n"), i + shift
-    mine, theirs = F.slice(f"item_{form}_value", i + 1, n), F.slice(f"doc_{form}_value", j + 1, n)
-    kinds = F.size(F.array_distinct(F.arrays_zip(mine, theirs)))
-    one_to_one = (kinds == F.size(F.array_distinct(mine))) & (kinds == F.size(F.array_distinct(theirs)))
-    same = F.slice(f"item_{form}", i + 1, n) == F.slice(f"doc_{form}", j + 1, n)
-    inside = (j >= 0) & (j + n <= F.size(f"doc_{form}"))
-    return F.when(inside, F.when(same, one_to_one).otherwise(F.lit(False))).otherwise(F.lit(False))
 
+def _map_place(h: Column) -> tuple[Column, Column]:
+    return h.bitwiseAND(F.lit(MAP_WORDS - 1)).cast("int"), F.shiftright(h, 32).bitwiseAND(F.lit(63)).cast("int")
 
-def _held(form: str):
-    return lambda shift: F.exists(f"fits_{form}", lambda i: _holds(form, shift, i))
 
+def _in_map(h: Column) -> Column:
+    word, bit = _map_place(h)
+    return F.getbit(F.get("_bits", word), bit) == 1
 
-def _copied(shift: Column) -> Column:
-    """A span of the item that _fits leaves out is in the document word for word."""
-    n = F.col("n")
 
-    def same(i: Column) -> Column:
-        j = i + shift
-        inside = (j >= 0) & (j + n <= F.size("doc_worded"))
-        return F.when(inside, F.slice("item_worded_value", i + 1, n) == F.slice("doc_worded_value", j + 1, n)).otherwise(F.lit(False))
+def _doc_windows(n: int) -> Column:
+    """Windows of a document that may lie in a span of n tokens: (n, hashes, tokens around).
+    Only those whose bit is set in the map get their tokens."""
+    length, step, forms = _step(n)
+    size = F.size("raw")
+
+    def hashed(i: Column) -> Column:
+        return F.struct(i.alias("at"), F.filter(F.array_compact(F.array(*[_hashes(f, i, length) for f in forms])), _in_map).alias("hashes"))
+
+    def window(w: Column) -> Column:
+        i = w["at"]
+        base = F.greatest(F.lit(0), i - (n - length))
+        return F.struct(F.lit(n).alias("n"), w["hashes"].alias("hashes"), F.slice("raw", base + 1, i - base + n).alias("around"))
+
+    places = F.transform(F.sequence(F.lit(0), size - length, F.lit(step)), hashed)
+    found = F.transform(F.filter(places, lambda w: F.size(w["hashes"]) > 0), window)
+    return F.when((size >= n) if n >= IN_TEXT else (size == n), found)
+
 
-    return F.exists("rest", same)
+def _small(df: DataFrame, most: int) -> DataFrame:
+    """A stored table, to be broadcast if it has at most so many rows."""
+    return F.broadcast(df) if df.count() <= most else df
+
+
+def _held(docs: DataFrame, benchmark: DataFrame, *key: str) -> DataFrame:
+    """(key, item_id, item_tokens), distinct: documents, told by ``key``, that hold an item."""
+    size = F.size("worded")
+    items = cut(templates(benchmark.select("item_id", "text"), "item_id").filter(size > 0).withColumn("n", F.least(size, F.lit(SPAN))))
+    kinds = sorted(r[0] for r in items.select("n").distinct().collect())  # SPAN at most
+    if not kinds:
+        return docs.select(*key).limit(0).crossJoin(items.select("item_id", size.cast("long").alias("item_tokens")).limit(0))
+    windows = _item_windows(items, kinds[0])
+    for n in kinds[1:]:
+        windows = windows.unionByName(_item_windows(items, n))
+    windows = cut(windows.distinct())
+    bits = cut(_bitmap(windows))
+    windows, spans = _small(windows, BROADCAST_WINDOWS), _small(cut(_item_spans(items)), BROADCAST_SPANS)
+    none = F.expr("cast(array() AS array<struct<n: int, hashes: array<bigint>, around: array<string>>>)")
+    every = F.flatten(F.array(none, *[F.coalesce(_doc_windows(n), none) for n in kinds]))
+    places = templates(docs, *key).withColumn("_bits", bits.scalar()).select(*key, F.explode(every).alias("w"))
+    hashed = places.select(*key, "w.n", "w.around", F.explode("w.hashes").alias("h"))
+    near = _with_values(_read(hashed.join(windows, ["n", "h"], "left_semi").select(*key, "n", F.col("around").alias("raw"))))
+    starts = F.sequence(F.lit(0), F.size("raw") - F.col("n"))
+    mine = F.flatten(F.transform(starts, lambda i: F.array(*[_signature(f, i, F.col("n")) for f in (*FORMS, "raw")])))
+    signed = near.filter(F.size("raw") >= F.col("n")).select(*key, "n", F.explode(F.array_distinct(mine)).alias("_mine")).withColumn("h", F.xxhash64("_mine"))
+    return signed.join(spans, ["n", "h"]).filter(F.col("_mine") == F.col("s")).select(*key, "item_id", "item_tokens").distinct()
 
 
 def contaminated(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
     """(doc_id, item_id, item_tokens): documents that hold an item, with the number of
     the item's tokens. One row for each such pair of ids.
 
-    Null texts and texts without a token hold nothing and are held by none, nor do
-    documents with a null id. Spans with GRAM slots in a row and items of fewer than
-    SHORTEST tokens are held only word for word. Rows repeated with one id count once, as
-    do ties between spans. A text of any length is read whole. Other columns are ignored.
-    Empty tables give an empty result.
+    Null texts and texts without a token hold nothing and are held by none. Documents with
+    a null id cannot be named and are left out here; drop_contaminated() judges them too.
+    Spans with GRAM slots in a row and items of fewer than SHORTEST tokens are held only
+    word for word. Rows repeated with one id count once, as do ties between spans. A text
+    of any length is read whole. Other columns are ignored. Empty tables give an empty
+    result.
     """
-    size = F.size("worded")
-    read = templates(benchmark.select("item_id", "text"), "item_id").filter(size > 0).withColumn("n", F.least(size, F.lit(SPAN)))
-    items = cut(read.select("item_id", "n", "raw", "worded", "named", *_forms("item"), *[_fits(f).alias(f"fits_{f}") for f in FORMS], _rest().alias("rest")))
-    pairs = cut(_candidates(templates(docs.filter("doc_id is not null"), "doc_id"), items))
-    # cut off from their aggregates, so that the rows of a much-repeated id can be split
-    chosen = cut(pairs.select(F.col("doc_id").alias("_chosen")).distinct()).hint("shuffle_hash")
-    few = docs.select("doc_id", "text").join(chosen, F.col("doc_id") == F.col("_chosen"), "left_semi")
-    read = templates(few, "doc_id").select("doc_id", *_forms("doc"))
-    both = read.join(pairs, "doc_id").join(items.drop("raw", "worded", "named"), "item_id")
-    found = both.filter(F.exists("shifts", _held("named")) | F.exists("shifts", _held("worded")) | F.exists("shifts", _copied))
-    return found.select("doc_id", "item_id", F.size("item_worded").cast("long").alias("item_tokens")).distinct()
+    return _held(docs.select("doc_id", "text").filter("doc_id is not null"), benchmark, "doc_id")
 
 
 def drop_contaminated(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
-    """The rows of ``docs`` that hold no item, columns unchanged whatever their names. Rows
-    repeated with one id go together; rows with a null id stay."""
-    (bad_id,) = unused(docs, "bad")
-    bad = cut(contaminated(docs, benchmark).select(F.col("doc_id").alias(bad_id)).distinct())
-    return docs.join(bad.hint("shuffle_hash"), docs["doc_id"] == F.col(bad_id), "left_anti")
+    """The rows of ``docs`` that hold no item, columns unchanged whatever their names.
+
+    Rows repeated with one id go together; rows with a null id are told by their texts, so
+    they stay or go like any other. Null, empty and very long texts are judged as in
+    contaminated(); empty tables give an empty result, an empty benchmark all rows.
+    """
+    bad_id, bad_text, of = unused(docs, "bad_id", "bad_text", "of")
+    text = F.when(F.col("doc_id").isNull(), F.sha2(F.encode(text_or_empty(F.col("text").cast("string")), "UTF-8"), 256))
+    told = docs.select("doc_id", "text", text.alias("_text"))
+    bad = cut(_held(told, benchmark, "doc_id", "_text").select(F.col("doc_id").alias(bad_id), F.col("_text").alias(bad_text)).distinct())
+    # their size is known from what is stored: Spark broadcasts few ids and shuffles many
+    rows = docs.withColumn(of, text)
+    return rows.join(bad, F.col("doc_id").eqNullSafe(F.col(bad_id)) & F.col(of).eqNullSafe(F.col(bad_text)), "left_anti").drop(of)

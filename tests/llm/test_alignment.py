@@ -1,8 +1,10 @@
 """Token alignment against a plain walk over both token lists."""
 
+import base64
 import hashlib
 import random
 from collections import Counter
+from functools import lru_cache
 
 import pytest
 from prospectra.llm import alignment as A
@@ -24,16 +26,19 @@ def piece_bytes(b, i):
     return bytes([int(p[3:5], 16)]) if b.is_byte(i) else p.replace("\u2581", " ").encode()
 
 
+@lru_cache
+def ranks_of(path):
+    with open(path, "rb") as f:
+        return {int(x[1]): base64.b64decode(x[0]) for x in map(bytes.split, f)}
+
+
 def walk(tools, text):
     """(A ids, B ids, groups of (A ids, B ids), links) of one text."""
-    import base64
-
     a, b = tools
     none = ([], [], [], [])
     if not text:
         return none
-    ranks = {int(x[1]): base64.b64decode(x[0]) for x in map(bytes.split, open(public_path("byte_bpe_50k.tiktoken"), "rb"))} if not walk.__dict__ else walk.ranks
-    walk.ranks = ranks
+    ranks = ranks_of(public_path("byte_bpe_50k.tiktoken"))
     ids_a, ids_b, want = a.encode(" " + text, add_special_tokens=False).ids, b.encode(text), (" " + text).encode()
     bytes_a, bytes_b = [ranks[i] for i in ids_a], [piece_bytes(b, i) for i in ids_b]
     if b"".join(bytes_a) != want or b"".join(bytes_b) != want:

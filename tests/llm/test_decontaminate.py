@@ -122,6 +122,45 @@ def test_nothing_in_nothing(spark):
 
 
 def test_drop_keeps_clean_rows(spark):
-    docs = spark.createDataFrame([(1, ITEMS[1][1]), (2, "clean"), (None, "no id"), (3, None)], "doc_id long, text string")
-    left = D.drop_contaminated(docs, spark.createDataFrame(ITEMS, "item_id long, text string"))
-    assert sorted((r.doc_id or 0) for r in left.collect()) == [0, 2, 3]
+    docs = spark.createDataFrame([(1, ITEMS[1][1], "b"), (2, "clean", "c"), (None, "no id", "d"), (None, ITEMS[1][1], "e"), (None, None, "f"), (3, None, "g"), (1, "clean too", "h")], "doc_id long, text string, bad_id string")
+    bench = spark.createDataFrame(ITEMS, "item_id long, text string")
+    left = D.drop_contaminated(docs, bench)
+    assert left.columns == docs.columns and sorted(r.bad_id for r in left.collect()) == ["c", "d", "f", "g"]
+    assert D.drop_contaminated(docs, bench.limit(0)).count() == 7 and D.drop_contaminated(docs.limit(0), bench).collect() == []
+
+
+def rows_made(df):
+    """The most rows that a join of the plan that ran has made."""
+    df.collect()
+    most, todo = 0, [df._jdf.queryExecution().executedPlan()]
+    while todo:
+        node = todo.pop()
+        name = node.nodeName()
+        if name == "AdaptiveSparkPlan":
+            todo.append(node.executedPlan())
+            continue
+        if "QueryStage" in name:
+            todo.append(node.plan())
+        if "Join" in name:
+            most = max(most, node.metrics().get("numOutputRows").get().value())
+        children = node.children()
+        todo += [children.apply(k) for k in range(children.size())]
+    return most
+
+
+def test_a_common_phrase_makes_no_pairs(spark):
+    phrase = "which of the following is the best answer"
+    words = lambda k, n: " ".join(f"{'abcdefghij'[(k * 7 + i) % 10]}{chr(97 + k % 26)}{chr(97 + k // 26 % 26)}{chr(97 + i)}" for i in range(n))
+    items = [(k, f"{words(k, 9)} {phrase} {words(k + 1000, 9)}") for k in range(600)]
+    docs = spark.createDataFrame([(k, f"{words(k + 5000, 13)} {phrase} {words(k + 9000, 8 + k % 7)}") for k in range(600)] + [(999, items[5][1])], "doc_id long, text string")
+    got = D.contaminated(docs, spark.createDataFrame(items, "item_id long, text string"))
+    assert rows_made(got) <= 601 * 4
+    assert [tuple(r)[:2] for r in got.collect()] == [(999, 5)]
+
+
+def test_one_bad_id_is_broadcast(spark, tmp_path):
+    docs = spark.createDataFrame([(k, ITEMS[1][1] if k == 3 else f"clean words {k}") for k in range(50)], "doc_id long, text string")
+    docs.write.parquet(str(tmp_path / "d"))
+    left = D.drop_contaminated(spark.read.parquet(str(tmp_path / "d")), spark.createDataFrame(ITEMS, "item_id long, text string"))
+    plan = left._jdf.queryExecution().executedPlan().toString()
+    assert left.count() == 49 and "BroadcastHashJoin" in plan and "LeftAnti" in plan and "hashpartitioning" not in plan

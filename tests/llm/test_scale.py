@@ -4,6 +4,7 @@ import os
 import struct
 from collections import Counter
 
+import corpus_pipeline
 import numpy as np
 import pyarrow as pa
 import pytest
@@ -74,7 +75,8 @@ def test_long_texts_are_read_in_parts(monkeypatch):
     monkeypatch.setattr(langid, "STEP", 100)
     for k in (0, 2, 6):
         assert np.allclose(langid.long_mixture(texts[k].encode(), table), mixed[k], atol=1e-4)
-    assert b"".join(c.encode() for c in langid._chunks(texts[4].encode())) == texts[4].encode()
+    lines = "\n".join(rng.choice(words, 900)).encode()  # white space, but no space
+    assert np.allclose(langid.long_mixture(lines, table), langid.mixtures(pa.array([lines.decode()], pa.large_string()), table)[0], atol=1e-4)
 
 
 def test_a_document_of_many_languages(spark):
@@ -102,9 +104,12 @@ def test_held_out_accuracy(spark):
     assert len(rows) > 50 and auc > 0.9
 
 
-def test_packing_finds_neighbours_of_all_shards(spark):
+@pytest.mark.parametrize("most", [4096, 3])
+def test_packing_finds_neighbours_of_all_shards(spark, monkeypatch, most):
     """Of the true BM25 neighbours of the documents whose id is divisible by 100, nine in
-    ten lie in the shard of the document, though each shard holds a small part of all."""
+    ten lie in the shard of the document, though each shard holds a small part of all; also
+    where there are four times as many shards as centres."""
+    monkeypatch.setattr(packing, "CENTRES", most)
     rng = np.random.default_rng(6)
     common_words = [f"w{k}" for k in range(60)]
     topics = [["".join(rng.choice(list("bcdfghjklmnpqrstvwxz"), 5)) for _ in range(40)] for _ in range(12)]
@@ -129,6 +134,52 @@ def test_packing_finds_neighbours_of_all_shards(spark):
     assert hits >= 0.9 * wanted
 
 
+def plain_windows(docs, window):
+    """(document, start, length, sequence, offset): a seed, then the unused document that its
+    scores put first, until the window is full; what a cut leaves over is the next seed."""
+    index, left, out, sequence, at = packing.Index(docs), dict(enumerate(map(len, docs))), [], 0, 0
+    seed = None
+    while left or at:
+        if seed is None:
+            if not left:
+                break
+            seed = doc = min(left)
+        else:
+            score = index.scores(seed)
+            near = [d for d in left if score[d] > 0]
+            doc = min(near, key=lambda d: (-score[d], d)) if near else min(left, default=None)
+            if doc is None:
+                break
+            seed = seed if near else doc
+        start, n = 0, left.pop(doc)
+        while n:
+            take = min(n, window - at)
+            out.append((doc, start, take, sequence, at))
+            start, n, at = start + take, n - take, at + take
+            if at == window:
+                sequence, at = sequence + 1, 0
+        if at == 0:
+            seed = None
+        elif start > take:
+            seed = doc
+    return out
+
+
+def test_windows_equal_a_plain_greedy_fill():
+    rng = np.random.default_rng(15)
+    for window in (16, 64, 200):
+        docs = [np.append(rng.zipf(1.4, int(n)) % 60, 0).astype(np.uint16) for n in rng.integers(0, 70, 150)]
+        got = packing.pack_shard(np.array([len(d) for d in docs]), packing._nearest_first(packing.Index(docs)), window)
+        assert got == plain_windows(docs, window)
+
+
+def test_cells_of_copies_are_not_split_for_ever():
+    x = np.concatenate([np.eye(128, dtype=np.float32)[[0] * 300], np.eye(128, dtype=np.float32)[1:40]])
+    cells = packing.grown(x, np.ones(len(x)), 50)
+    leaf, _ = cells.of(x)
+    assert len(set(leaf[:300])) == 1 and sorted(cells.leaves()) == np.flatnonzero(cells.child < 0).tolist()
+
+
 def test_many_copies_spread_over_shards(spark):
     rows = spark.createDataFrame([(1, "the same words in every row " * 20)] * 400 + [(2, "others")], "doc_id long, text string").repartition(3)
     encoded = tokens.encode_table(rows, packing.VOCABULARY, packing.END).withColumn("row", F.monotonically_increasing_id())
@@ -194,3 +245,24 @@ def test_scratch_is_removed(spark):
         a.count()
     common.clear(spark, since)
 
+
+
+def test_nothing_stays_in_the_shared_folder(spark, docs, labels):
+    folder = common.shared_dir(spark).removeprefix("file://")
+    before, since = set(os.listdir(folder)), common.marked()
+    bench = spark.createDataFrame([(1, "what is the tallest tree")], "item_id long, text string")
+    for df in (simhash.keep_one(docs), decontaminate.drop_contaminated(docs, bench), secrets.redact(docs), quality_rules.judge(docs, labels.filter("quality = 1"))):
+        df.write.format("noop").mode("overwrite").save()
+    assert set(os.listdir(folder)) > before
+    common.clear(spark, since)
+    assert set(os.listdir(folder)) == before
+
+
+def test_stages_of_empty_tables(spark, empty, tmp_path):
+    empty.write.parquet(str(tmp_path / "documents.parquet"))
+    spark.createDataFrame([], "doc_id long, quality int, toxic int").write.parquet(str(tmp_path / "labels.parquet"))
+    spark.createDataFrame([], "item_id long, text string").write.parquet(str(tmp_path / "benchmark.parquet"))
+    for name, stage in corpus_pipeline.STAGES[:-1]:
+        got = stage(spark, empty, str(tmp_path))
+        assert got.columns == empty.columns and got.collect() == [], name
+    assert corpus_pipeline.run(spark, str(tmp_path)).collect() == []
