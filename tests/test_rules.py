@@ -1,6 +1,8 @@
 """Rules on single rows, edge cases and properties."""
 
 import json
+import random
+import time
 
 import numpy as np
 import pytest
@@ -85,6 +87,37 @@ def test_decision_maker_prefers_seniority(spark):
     assert pages.decision_maker(crawl(spark, "<p>contact us, owner</p>")).count() == 0
 
 
+def test_titles_are_those_of_the_plain_patterns(spark):
+    pick = random.Random(3).choice
+    parts = ["Bob", "lee", "O'Brien", "’Ann", "-Jo", "Al-Owner", "x", "9Zed", "é", "owner", "Owner", "broker/owner", "CEO", "v.p.", ",", " ", " ", " ", "-", " - ", ": ", "|", "—", "\n", ".", "'"]
+    texts = spark.createDataFrame([("".join(pick(parts) for _ in range(40)),) for _ in range(3000)], "t string")
+    titles = ("owner", "broker/owner", "co-owner", "ceo", "v.p.")
+    either = "|".join(sorted(titles, key=len, reverse=True))
+    plain = (rf"(?i)({pages._NAME}){pages._BETWEEN}({either})\b", 1, 2), (rf"(?i)\b({either}){pages._BETWEEN}({pages._NAME})", 2, 1)
+    want = [F.regexp_extract_all("t", F.lit(p), F.lit(g)) for p, n, t in plain for g in (n, t)]
+    people = lambda k, part: F.transform(F.filter("people", lambda m: m["form"] == k), lambda m: m[part])
+    got = texts.select("t", pages._titled("t", titles).alias("people"), *want).select("*", *[people(k, part) for k in (0, 1) for part in ("name", "title")])
+    rows = [tuple(r) for r in got.collect()]
+    assert all(r[2:6] == r[6:] for r in rows) and sum(len(r[2]) for r in rows) > 100 and sum(len(r[4]) for r in rows) > 100
+
+
+def test_titles_in_long_runs_take_no_square_of_time(spark):
+    html = "".join(f"{run} <p>" for run in ("a" * 150_000, "a'" * 75_000, "a-" * 75_000, "x." * 75_000)) + "Bob Lee, Owner"
+    began = time.time()
+    assert pages.decision_maker(crawl(spark, html)).first().decision_maker == "Bob Lee"
+    assert pages.contact_emails(crawl(spark, html + " bob@lee.example")).first().emails == "bob@lee.example"
+    assert time.time() - began < 30
+
+
+def test_page_texts_are_made_once(spark):
+    plan = lambda df: df._jdf.queryExecution().optimizedPlan().toString()
+    page = crawl(spark, "x").coalesce(1)
+    assert plan(pages.decision_maker(page)).count("<[^>]+>") == 1
+    assert plan(pages.roster_size(page)).count("associates?") == 1 and plan(pages.contact_emails(page)).count("mailto:") == 1
+    leads = spark.createDataFrame([("c1", "http://x")], "id string, website string")
+    assert plan(pages.coordination_gap(leads, page)).count("lower(html") == 1
+
+
 def test_client_names_without_junk(spark):
     html = '"Super" — Jane Doe, Acme Realty <img alt="Hill &amp; Dale Homes"> <img alt="Company Logo"> <cite>Bay Group</cite>'
     found = pages.client_names(spark.createDataFrame([("rival", html)], "label string, html string"))
