@@ -18,6 +18,7 @@ from .common import SPACE, cut, stored, text_or_empty
 BUCKETS = 1 << 15
 #: Trusted ids (some 32 bytes each in memory) up to which they are broadcast.
 BROADCAST_TRUSTED = 2_000_000
+#: A power of two.
 WINDOW = 8
 LEAST_WORDS = 20
 MOST_REPEATED = 30  # percent of words
@@ -38,30 +39,25 @@ def _hashed(words: Column) -> Column:
     return F.transform(words, lambda w: F.xxhash64(w))
 
 
-def _buckets(words: str, hashed: str, of) -> Column:
-    """``of`` the buckets of each word's n-grams: GRAMS_PER_WORD for each word, the last
-    word's pair being that with the end of the text. Both columns are read by place."""
-
-    def grams(w: Column, i: Column) -> Column:
-        mine, after = F.get(hashed, i), F.get(hashed, i + 1)
-        hashes = (
-            mine,
-            F.xxhash64(F.right(w, F.lit(EDGE)), F.lit(1)),
-            F.xxhash64(F.left(w, F.lit(EDGE)), F.lit(2)),
-            F.xxhash64(mine, after, F.lit(3)),
-        )
-        return of([h.bitwiseAND(F.lit(BUCKETS - 1)) for h in hashes])
-
-    return F.transform(words, grams)
+def _grams(word: Column, mine: Column, after: Column) -> list[Column]:
+    """Buckets of a word's n-grams, GRAMS_PER_WORD of them, from the word, its hash and that
+    of the next word; the last word's pair is that with the end of the text."""
+    hashes = (
+        mine,
+        F.xxhash64(F.right(word, F.lit(EDGE)), F.lit(1)),
+        F.xxhash64(F.left(word, F.lit(EDGE)), F.lit(2)),
+        F.xxhash64(mine, after, F.lit(3)),
+    )
+    return [h.bitwiseAND(F.lit(BUCKETS - 1)) for h in hashes]
 
 
 def _gram_rows(rows: DataFrame, *keep: str) -> DataFrame:
-    """(keep, bucket): one row for each n-gram of each text."""
-    return (
-        rows.select(*keep, words_of(F.col("text")).alias("words"))
-        .select(*keep, "words", _hashed(F.col("words")).alias("hashed"))
-        .select(*keep, F.explode(F.flatten(_buckets("words", "hashed", lambda b: F.array(*b)))).alias("bucket"))
-    )
+    """(keep, bucket): one row for each n-gram of each text. Words become rows before they
+    are hashed, for which Spark generates code, unlike for functions over arrays."""
+    hashed = rows.select(*keep, words_of(F.col("text")).alias("words")).select(*keep, "words", _hashed(F.col("words")).alias("mine"))
+    after = F.slice("mine", 2, F.greatest(F.size("mine"), F.lit(0))).alias("after")
+    each = hashed.select(*keep, "words", "mine", after).select(*keep, F.inline(F.arrays_zip(F.col("words").alias("word"), "mine", "after")).alias("word", "mine", "after"))
+    return each.select(*keep, F.explode(F.array(*_grams(F.col("word"), F.col("mine"), F.col("after")))).alias("bucket"))
 
 
 def gram_counts(docs: DataFrame, target: DataFrame, size: int) -> DataFrame:
@@ -105,17 +101,18 @@ def counts_of(docs: DataFrame) -> DataFrame:
     symbols = sum((F.octet_length(text) - F.octet_length(F.replace(text, F.lit(c), F.lit(""))) for c in SYMBOLS), F.lit(0))
     first = docs.withColumn("_text", text_or_empty(F.col("text").cast("string"))).withColumn("words", words_of(text))
     first = first.withColumn("_hashed", _hashed(F.col("words")))
+    # hashes of windows of 1, 2, 4 and 8 words, each made of those of its halves
+    first, reach = first.withColumn("_of", F.col("_hashed")), 1
+    while reach < WINDOW:
+        later = F.slice("_of", reach + 1, F.size("_of"))
+        first, reach = first.withColumn("_of", F.zip_with("_of", later, lambda x, y: F.xxhash64(x, y))), 2 * reach
     second = first.withColumns(
         {
             "n_words": F.size("words").cast("long"),
             "word_chars": F.length(F.array_join("words", "")).cast("long"),
             "n_symbols": symbols.cast("long"),
             "_lines": lines,
-            # a window's hash takes in those of its words one after the other
-            "_windows": F.when(
-                F.size("words") >= WINDOW + 1,
-                F.transform(F.sequence(F.lit(1), F.size("words") - (WINDOW - 1)), lambda i: F.xxhash64(F.slice("_hashed", i, WINDOW))),
-            ),
+            "_windows": F.when(F.size("words") >= WINDOW + 1, F.slice("_of", 1, F.size("words") - (WINDOW - 1))),
         }
     )
     third = second.withColumns(
@@ -139,7 +136,7 @@ def counts_of(docs: DataFrame) -> DataFrame:
     covered = F.expr(
         f"aggregate(zip_with(_begins, slice(_begins, 2, size(_begins)), (x, y) -> least({WINDOW}, coalesce(y - x, {WINDOW}))), 0L, (s, x) -> s + x)"
     )
-    return fourth.withColumn("n_repeat_words", F.coalesce(covered, F.lit(0)).cast("long")).drop("_text", "_lines", "_windows", "_sorted", "_begins")
+    return fourth.withColumn("n_repeat_words", F.coalesce(covered, F.lit(0)).cast("long")).drop("_text", "_lines", "_of", "_windows", "_sorted", "_begins")
 
 
 def judge(docs: DataFrame, trusted: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
@@ -155,7 +152,8 @@ def judge(docs: DataFrame, trusted: DataFrame, threshold: float = THRESHOLD) ->
     # BUCKETS numbers as one value
     known = table.agg(F.transform(F.array_sort(F.collect_list(F.struct("bucket", "weight"))), lambda x: x["weight"]).alias("w"))
     counted = counts_of(docs.select(F.col("doc_id").cast("long"), "text"))
-    each = _buckets("words", "_hashed", lambda b: sum((F.get("_w", g.cast("int")) for g in b), F.lit(0.0)))
+    weigh = lambda w, i: sum((F.get("_w", g.cast("int")) for g in _grams(w, F.get("_hashed", i), F.get("_hashed", i + 1))), F.lit(0.0))
+    each = F.transform("words", weigh)
     total = F.aggregate(each, F.lit(0.0), lambda s, x: s + x)
     scored = counted.withColumn("_w", known.scalar()).withColumn("log_ratio", F.when(F.col("n_words") > 0, total / (GRAMS_PER_WORD * F.col("n_words"))))
     failed = (F.col("n_words") < LEAST_WORDS) | (100 * F.col("n_repeat_words") > MOST_REPEATED * F.col("n_words"))

@@ -186,3 +186,14 @@ def test_one_row_of_each_group_stays_though_ids_be_null(spark):
     got = sorted(((r.doc_id, r.text) for r in left.collect()), key=str)
     assert left.columns == docs.columns and got == sorted([(1, a), (None, b), (3, c), (9, "")], key=str)
     assert simhash.keep_one(docs.limit(0)).collect() == []
+
+
+def test_words_are_rows_before_they_are_hashed(spark):
+    docs = spark.createDataFrame([(1, "a b a"), (2, None), (3, "")], "doc_id long, text string").coalesce(1)
+    rows = quality_rules._gram_rows(docs)
+    assert rows.count() == 3 * quality_rules.GRAMS_PER_WORD
+    assert "inline(arrays_zip(" in rows._jdf.queryExecution().optimizedPlan().toString()
+    words = [f"w{k}" for k in range(9)]
+    texts = [(1, " ".join(words)), (2, " ".join(words[:8] * 2)), (3, " ".join(["w"] * 9)), (4, " ".join(words[:8] + ["x"] + words[:7] + ["y"]))]
+    found = quality_rules.counts_of(spark.createDataFrame(texts, "doc_id long, text string")).collect()
+    assert [r.n_repeat_words for r in sorted(found, key=lambda r: r.doc_id)] == [0, 16, 9, 0]
